@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, secrets
+from straitline.session import with_workers
+
+from . import mixing, pii, secrets, suffix_tree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op2_source_mixing": mixing.op2,
         "op7_personal_data": pii.op7,
         "op8_secret_scan": secrets.op8,
+        "op10_suffix_tree_score": suffix_tree.op10,
     }
+    return {name: with_workers(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
