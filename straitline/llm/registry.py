@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from straitline.session import with_workers
 
-from . import mixing, pii, secrets, suffix_tree
+from . import jaccard, langid, mixing, pii, secrets, suffix_tree, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_language_id": langid.op1,
         "op2_source_mixing": mixing.op2,
+        "op3_exact_top_k": topk.op3,
         "op7_personal_data": pii.op7,
         "op8_secret_scan": secrets.op8,
+        "op9_jaccard_join": jaccard.op9,
         "op10_suffix_tree_score": suffix_tree.op10,
     }
     return {name: with_workers(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_top_k": topk.ORACLE, "op9_jaccard_join": jaccard.ORACLE}
