@@ -291,10 +291,16 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of the smallest id of each class; of rows that share that id and class, one."""
+    """``docs`` with one row of each class: that of its smallest id. Rows without shingles, linked with nothing, all stay.
+
+    An id that several rows carry is rare; only of those rows the texts are compared, and equal rows count once.
+    """
     near = near_classes(docs, id_col=id_col, text_col=text_col)
-    keep = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    keep = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")))
+    single = kept.where("_rows = 1").drop("_keep", "_rows")
+    several = kept.where("_rows > 1").withColumn("_text", F.xxhash64(docs[text_col])).dropDuplicates(["_keep", "_text"]).drop("_keep", "_rows", "_text")
+    return single.unionByName(several)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

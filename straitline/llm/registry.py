@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from straitline.session import with_workers
 
-from . import jaccard, langid, mixing, pii, secrets, suffix_tree, topk
+from . import decontaminate, jaccard, langid, licenses, mixing, pii, quality, secrets, suffix_tree, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": langid.op1,
         "op2_source_mixing": mixing.op2,
         "op3_exact_top_k": topk.op3,
+        "op4_decontamination": decontaminate.op4,
+        "op5_quality_score": quality.op5,
+        "op6_license_scan": licenses.op6,
         "op7_personal_data": pii.op7,
         "op8_secret_scan": secrets.op8,
         "op9_jaccard_join": jaccard.op9,
