@@ -56,6 +56,7 @@ def write_hourly(stream: DataFrame, path: str, checkpoint: str, every: str = "5
 
 
 TRANSIT = "mmsi bigint, zone_key string, crossing_time timestamp, direction string, gap_hours double, ambiguous boolean"
+SILENT_MS = 86_400_000
 _STATE = "ts timestamp, lon double, lat double"
 
 
@@ -63,7 +64,7 @@ def live_transits(stream: DataFrame, zone: Zone, max_gap_hours: float = 6.0, lat
     """Crossings of one gate as fixes arrive; the last fix of each vessel is the state.
 
     Rows of a vessel are taken in time order within a batch; a fix older than the state is late and ignored, as the batch
-    plan would have placed it before. State of a vessel silent for a day is dropped.
+    plan would have placed it before. State of a vessel that the watermark leaves a day behind is dropped.
     """
     s, w, n, e = zone.bounds
     gate = list(zip(zone.gate, zone.gate[1:]))
@@ -96,11 +97,11 @@ def live_transits(stream: DataFrame, zone: Zone, max_gap_hours: float = 6.0, lat
             last = (ts, float(x), float(y))
         if last is not None:
             state.update((pd.Timestamp(last[0]).to_pydatetime(), last[1], last[2]))
-            state.setTimeoutDuration(86_400_000)
+            state.setTimeoutTimestamp(max(int(pd.Timestamp(last[0]).timestamp() * 1000) + SILENT_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["mmsi", "zone_key", "crossing_time", "direction", "gap_hours", "ambiguous"])
 
-    near = stream.where(F.col("lon").between(w, e) & F.col("lat").between(s, n)).select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "lon", "lat")
-    return near.groupBy("mmsi").applyInPandasWithState(step, TRANSIT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    near = stream.where(F.col("lon").between(w, e) & F.col("lat").between(s, n)).select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "lon", "lat").withWatermark("ts", late)
+    return near.groupBy("mmsi").applyInPandasWithState(step, TRANSIT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def deduplicated(stream: DataFrame, late: str = "10 minutes") -> DataFrame:

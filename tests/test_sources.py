@@ -106,9 +106,8 @@ def test_live_transits_equal_the_batch(spark, tmp_path):
     for day in range(3):
         df.where(F.dayofmonth("ts") == day + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = feed.live_transits(stream, ZONES["hormuz"]).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
-    q.processAllAvailable()
-    q.stop()
+    q = feed.live_transits(stream, ZONES["hormuz"]).writeStream.format("memory").queryName("live").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     key = lambda r: (r.mmsi, r.direction, round(r.gap_hours, 6), r.ambiguous)
     batch = tracks.transits(df, {"hormuz": ZONES["hormuz"]}).collect()
     assert sorted(map(key, spark.table("live").collect())) == sorted(map(key, batch)) and batch
