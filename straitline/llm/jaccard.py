@@ -1,7 +1,7 @@
 """N-gram Jaccard join by count-vector R-trees: classes of documents whose shingle sets are near.
 
-Points. A document's set of distinct five-word shingles is hashed into DIMS groups; the counts of the groups are its
-point. Two sets share at most ``sum(min(a_g, b_g))`` shingles, and a node of an R-tree whose upper corner bounds its
+Points. A document's set of distinct five-word shingles is hashed into groups, more for larger sets; the counts of the
+groups are its point. Two sets share at most ``sum(min(a_g, b_g))`` shingles, and a node of an R-tree whose upper corner bounds its
 points shares at most ``sum(min(a_g, hi_g))`` with any: no pair below it can reach the threshold if that is too little.
 
 Plan. (1) Documents with equal sets are one class from the start. (2) Two classes can only be similar if they share one of
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import column, discard, materialize
 from .components import components
-from .shingles import shingle_sets
+from .shingles import SIZE, shingle_sets
 
-DIMS = 64
+SHINGLE_WORDS = SIZE
+DIMS, PER_GROUP = 64, 12
 SKETCH_BITS = 16
 LEAF, FAN = 16, 16
 #: Classes of a block and of a cluster that one task handles; beyond, tiles.
 BLOCK_LIMIT, CLUSTER_LIMIT = 4096, 2048
+MEAN_SHINGLES = 1000  # shingles of a cluster count as a member at least each, which bounds the memory of a task
 BLOOM_BITS = 1 << 24  # of the filter that spares unneeded texts; when it is full, more texts travel
 
 
@@ -156,7 +158,7 @@ def _describe(sketch):
                 classes.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes()))) if n else None)
                 order = np.argsort(rank[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[: n - (4 * n + 4) // 5 + 1]
                 rare.append(u[order].view(np.int64) if n else np.empty(0, np.int64))
-                vecs.append(np.minimum(np.bincount((u & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS), 65535).astype(np.uint16).tobytes())
+                vecs.append(pack(u))
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), keys, pa.array(vecs, pa.binary())], names=["id", "n", "class", "rare", "vec"])
@@ -181,8 +183,38 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield pa.Table.from_batches(held)
 
 
-def _vectors(col: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint16).reshape(-1, DIMS).astype(np.int32)
+def dims(n: int) -> int:
+    """Groups of a set of n: the power of two that leaves 6 to 12 members a group, so that chance overlap stays below the
+    bound at any size; DIMS at least."""
+    return max(DIMS, 1 << max(0, -(-n // PER_GROUP) - 1).bit_length())
+
+
+def pack(u: np.ndarray) -> bytes:
+    """A set's point in the narrowest type that holds it, behind a byte that tells its width."""
+    g = dims(len(u))
+    counts = np.bincount((u & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    top = counts.max(initial=0)
+    kind = np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpack(v: bytes) -> np.ndarray:
+    return np.frombuffer(v, {1: np.uint8, 2: np.uint16, 4: np.uint32}[v[0]], offset=1).astype(np.int64)
+
+
+def levelled_forest(vecs: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Forest over points of different numbers of groups. Sizes of a similar pair differ by a quarter, so their numbers of
+    groups are equal or one doubling apart: a tree for each number, with the doubled ones folded to it."""
+    wide, edges = np.array([len(v) for v in vecs]), []
+    for g in np.unique(wide).tolist():
+        sel = np.flatnonzero((wide == g) | (wide == 2 * g))
+        if len(sel) < 2:
+            continue
+        own = wide[sel] == g
+        folded = np.stack([vecs[i] if len(vecs[i]) == g else vecs[i].reshape(2, g).sum(0) for i in sel])
+        mine = forest(folded, sizes[sel], lambda x, cand, own=own: cand if own[x] else cand[own[cand]])
+        edges += [(int(sel[x]), int(sel[y])) for x, y in mine]
+    return edges
 
 
 def _block_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +222,7 @@ def _block_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for run in _unpack(batches):
         if run.num_rows > 1:
             ids = run.column("class").to_numpy()
-            for x, y in forest(_vectors(run.column("vec")), run.column("n").to_numpy()):
+            for x, y in levelled_forest([unpack(v) for v in run.column("vec").to_pylist()], run.column("n").to_numpy()):
                 a.append(int(ids[x]))
                 b.append(int(ids[y]))
         if len(a) > 50_000:
@@ -208,14 +240,14 @@ def _cluster_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def tiled(rows: DataFrame, group: str, limit: int) -> DataFrame:
-    """``rows`` with ``_task``: the group, or for a group beyond ``limit`` each pair of its tiles that holds the row."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > limit)
-    rows = rows.join(sizes, group, "left").withColumn("_t", F.ceil(F.coalesce("_m", F.lit(1)) * 2 / F.lit(limit)).cast("int"))
-    own = F.pmod(F.xxhash64("class", F.lit("tile")), F.col("_t").cast("long")).cast("int")
-    other = F.explode(F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_t") - 1)))
-    rows = rows.withColumn("_own", own).withColumn("_other", other)
+    """``rows`` (class, group, _met: size of the group) with ``_task``: the group, or for a group beyond ``limit`` each pair
+    of its tiles that holds the row. Only keys are in these rows; what they stand for is joined afterwards."""
+    tiles = F.ceil(F.col("_met") * 2 / F.lit(limit)).cast("int")
+    large = F.col("_met") > limit
+    rows = rows.withColumn("_own", F.when(large, F.pmod(F.xxhash64("class", F.lit("tile")), tiles.cast("long")).cast("int")).otherwise(0))
+    rows = rows.withColumn("_other", F.explode(F.when(large, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.lit(0)))))
     pair = F.xxhash64(group, F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return rows.withColumn("_task", F.when(F.col("_m").isNull(), F.col(group)).otherwise(pair)).drop("_m", "_t", "_own", "_other")
+    return rows.withColumn("_task", F.when(large, pair).otherwise(F.col(group))).select("class", "_task")
 
 
 def _bloom(rows: DataFrame, col: str) -> np.ndarray:
@@ -264,21 +296,23 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         ranks[r.slot] = r.n
     described = materialize(rows.mapInArrow(_describe(sc.broadcast(ranks)), f"id {kind}, n long, class long, rare array<long>, vec binary"), "sets")
 
-    classes = described.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("id").alias("rep"))
-    blocks = classes.select("class", F.explode("rare").alias("key"))
+    classes = described.where("class is not null").groupBy("class").agg(F.first("rare").alias("rare"))
     met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    blocks = materialize(blocks.withColumn("_met", met).where("_met > 1").drop("_met"), "blocks")
+    blocks = materialize(classes.select("class", F.explode("rare").alias("key")).withColumn("_met", met).where("_met > 1"), "blocks")
     vectors = described.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    tasks = tiled(blocks.join(vectors, "class"), "key", BLOCK_LIMIT).select("_task", "class", "n", "vec")
+    tasks = tiled(blocks, "key", BLOCK_LIMIT).join(vectors, "class").select("_task", "class", "n", "vec")
     pairs = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_block_forests, "a long, b long").distinct(), "pairs")
+    discard(blocks)
     clusters = materialize(components(pairs), "clusters")
 
     reps = described.where("class is not null").groupBy("class").agg(F.min("id").alias("rep")).join(clusters.select(F.col("node").alias("class")), "class", "left_semi")
     key = F.xxhash64("rep")
     bloom = sc.broadcast(_bloom(reps.select(key.alias("h")), "h"))
     fetched = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_fetch(bloom), "class long, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
-    members = fetched.join(clusters.select(F.col("node").alias("class"), "component"), "class")
-    tasks = tiled(materialize(members, "members"), "component", CLUSTER_LIMIT).select("_task", "class", "set")
+    named = clusters.withColumnRenamed("node", "class").join(vectors.select("class", "n"), "class")
+    weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / F.lit(MEAN_SHINGLES)))  # long texts count as several
+    tasks = tiled(named.join(named.groupBy("component").agg(weight.alias("_met")), "component"), "component", CLUSTER_LIMIT)
+    tasks = tasks.join(fetched, "class").select("_task", "class", "set")
     links = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_cluster_forests, "a long, b long"), "links")
 
     parts = components(links)
@@ -286,7 +320,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     least = named.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
     out = named.join(least, "component", "left")
     result = materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "near")
-    discard(described, blocks, pairs, clusters, links)
+    discard(described, pairs, clusters, links)
     return result
 
 
