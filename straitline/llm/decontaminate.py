@@ -34,9 +34,10 @@ from .common import column, slices
 
 SIMILARITY = 0.8
 MIN_WORDS = 8
-BITS, REPEATS, STEPS = 3, 16, 1.0  # steps of a walk as a multiple of the item's words
+BITS, REPEATS = 3, 16
 RECALL = 0.95
 ITEM_GROUP = 1_000_000
+TABLE_BYTES = 32 << 20
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -90,41 +91,52 @@ class Items:
         self.symbols = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocab] + [0], dtype=np.uint64)
         self.sizes: dict[int, dict] = {}
         rng = np.random.default_rng(seed)
+        self.salts = rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64)
+        self.tables: dict[tuple[int, int], np.ndarray] = {}
         for m in sorted({len(ws) for _, ws in rows}):
             group = [(i, ws) for i, ws in rows if len(ws) == m]
             words = np.array([[self.vocab[w] for w in ws] for _, ws in group], dtype=np.int32)
-            steps = int(STEPS * m)
-            plan = [(rng.integers(0, 1 << 63, dtype=np.uint64), np.sort(rng.choice(steps, min(BITS, steps), replace=False))) for _ in range(REPEATS)]
+            plan = [np.sort(rng.choice(m, min(BITS, m), replace=False)) for _ in range(REPEATS)]
             entry = {"ids": np.array([i for i, _ in group], dtype=np.int64), "words": words, "plan": plan, "tables": []}
-            for salt, picks in plan:
-                _, keys, sampled = self.walk(words.ravel(), np.arange(len(group)) * m, m, salt, picks)
+            for repeat, picks in enumerate(plan):
+                _, keys, sampled = self.walk(words.ravel(), np.arange(len(group)) * m, repeat, picks)
                 order = np.argsort(keys, kind="stable")
                 entry["tables"].append((keys[order], order, sampled))
             self.sizes[m] = entry
         self.unknown = size - 1
 
-    def walk(self, flat: np.ndarray, starts: np.ndarray, m: int, salt: np.uint64, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks over windows of m.
-
-        With ``wanted``, the items' symbols by pick, a window leaves as soon as a sampled symbol is that of no item; its
-        hash could equal none of theirs.
+    def bits(self, repeat: int, step: int, sym: np.ndarray) -> np.ndarray:
+        """The walk's random bit of (repeat, step, symbol); tables of all symbols are kept up to TABLE_BYTES."""
+        table = self.tables.get((repeat, step))
+        if table is None:
+            mixed = lambda code: (((code ^ self.salts[repeat]) * np.uint64(0x9E3779B97F4A7C15 + 2 * step)) >> np.uint64(63)).astype(np.int8)
+            if (len(self.tables) + 1) * len(self.symbols) > TABLE_BYTES:
+                return mixed(self.symbols[sym])
+            table = self.tables[repeat, step] = mixed(self.symbols)
+        return table[sym]
+
+    def walk(self, flat: np.ndarray, starts: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks from ``starts``.
+
+        A walk of no more steps than the window has words never leaves it. With ``wanted``, the items' symbols by pick, a
+        window leaves as soon as a sampled symbol is that of no item; its hash could equal none of theirs.
         """
-        alive, pointer, out = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.zeros(len(starts), np.uint64)
+        alive, at, out = np.arange(len(starts)), starts.copy(), np.zeros(len(starts), np.uint64)
         mult, sampled, k = np.uint64(0x9E3779B97F4A7C15), [], 0
         for step in range(int(picks[-1]) + 1):
-            sym = np.where(pointer < m, flat[np.minimum(starts + pointer, len(flat) - 1)], len(self.symbols) - 1)
+            sym = flat[at]
             if step == picks[k]:
                 sampled.append(sym)
                 if wanted is not None:
                     ok = np.zeros(len(self.symbols), bool)
                     ok[wanted[k]] = True
-                    keep = ok[sym]
-                    alive, pointer, out, sym, starts = alive[keep], pointer[keep], out[keep], sym[keep], starts[keep]
+                    keep = np.flatnonzero(ok[sym])
+                    alive, at, out, sym = alive[keep], at[keep], out[keep], sym[keep]
                 out = out * mult + self.symbols[sym] + np.uint64(step + 1)
                 k += 1
                 if k == len(picks) or not len(alive):
                     break
-            pointer += (((self.symbols[sym] ^ salt) * (mult + np.uint64(2 * step))) >> np.uint64(63)).astype(np.int64)
+            at += self.bits(repeat, step, sym)
         return alive, out, sampled
 
 
@@ -141,7 +153,8 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
     seq = np.array(flat, dtype=np.int32)
     owner = np.repeat(np.arange(len(docs)), [len(ws) + pad for ws in docs])
     offsets, total = np.array(offsets, dtype=np.int64), len(seq)
-    hits = np.concatenate([[0], np.cumsum(seq != unknown)])
+    zero = np.zeros(1, np.int32)
+    hits = np.concatenate([zero, np.cumsum(seq != unknown, dtype=np.int32)])
     found: list[list[np.ndarray]] = []
     for m, group in items.sizes.items():
         e = allowed(m)
@@ -150,15 +163,15 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
         starts = np.flatnonzero(hits[m:] - hits[:-m] >= m - e)
         starts = starts[owner[starts] == owner[starts + m - 1]]
         if len(starts):
-            mine = np.zeros(len(items.symbols), np.int32)
+            mine = np.zeros(len(items.symbols), np.int8)
             mine[group["words"].ravel()] = 1
-            mine = np.concatenate([[0], np.cumsum(mine[seq])])
+            mine = np.concatenate([zero, np.cumsum(mine[seq], dtype=np.int32)])
             starts = starts[mine[starts + m] - mine[starts] >= m - e]
         if not len(starts):
             continue
         pairs = []
-        for (salt, picks), (keys, order, sampled) in zip(group["plan"], group["tables"]):
-            alive, own, _ = items.walk(seq, starts, m, salt, picks, sampled)
+        for repeat, (picks, (keys, order, sampled)) in enumerate(zip(group["plan"], group["tables"])):
+            alive, own, _ = items.walk(seq, starts, repeat, picks, sampled)
             lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
             w = np.flatnonzero(hi > lo)
             if len(w):
