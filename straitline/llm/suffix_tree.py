@@ -1,16 +1,17 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to MAX_ORDER words. A context enters when it is frequent and its next-word
-distribution diverges from that of its longest retained suffix. Its distribution gives own mass to the next words that
-are frequent after it and hands the rest, with a smoothing weight, to its suffix; at the root stands the add-one unigram
-with one slot for unknown words, so each distribution sums to one. A text's score adds log10 of the probability of each
-word, and of the end, given the longest suffix of the words before that is a node. The boundary before the first word is
-a context too.
-
-All counts are sums over every training row. Frequencies that decide on contexts, next words and the word table are
-relative to all tokens, so at most 1/P_CONTEXT contexts, 1/P_NEXT transitions an order and 1/P_TABLE table words exist,
-at any size: that is the size bound of what is broadcast. Words below P_TABLE are counted exactly too; their counts are
-joined by a shuffle on their 64-bit hash.
+The tree's nodes are contexts of up to MAX_ORDER words. A context enters when its next-word distribution diverges from
+that of its suffix. Its distribution gives own mass to the next words seen MIN_COUNT times after it and hands the rest,
+with a smoothing weight, to its suffix; at the root stands the add-one unigram with one slot for unknown words, so each
+distribution sums to one. A text's score adds log10 of the probability of each word, and of the end, given the longest
+suffix of the words before that is a node. The boundary before the first word is a context too.
+
+All counts are sums over every training row, and MIN_COUNT is absolute, so the tree grows with the corpus. A run of words
+(a gram) has as key the mix of the keys of its prefix and its suffix, so the context of a transition is its prefix, and
+what it backs off to is its suffix. In logarithms each order adds a term, so a text's score is a sum over its grams of one
+value each. Values are a table that is joined by a shuffle on keys. Two things are broadcast, both of bounded size: grams
+with a share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only saves their shuffle; and a bit set of keys,
+which lets a task drop grams that can't be in the table. It errs to the safe side only, so neither changes a score.
 
 Cases: a null or empty text is its end alone; repeated rows and ids are scored row by row; with nothing to train on,
 every probability is that of an empty unigram, 1; an empty table gives an empty result; other columns are ignored.
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import column, count_rows, crc_mod, materialize, slices, words
 
-P_CONTEXT, P_NEXT, P_TABLE = 1e-5, 1e-6, 1e-6
-MAX_ORDER = 2
+#: Share of all tokens from which an entry is broadcast.
+P_TABLE = 1e-6
+MAX_ORDER, MIN_COUNT = 3, 2
 #: Smoothing weight of the suffix, and least divergence in nats an occurrence that retains a context.
 ALPHA, DIVERGENCE = 4.0, 0.02
 #: Entries that a task counts before it emits them.
 FLUSH = 400_000
+#: Largest bit set of keys, and bits of a segment of it.
+SCREEN_BITS, SEGMENT = 1 << 29, 1 << 16
 END = b""  # the end of a text as a token; no word is empty
 
 
@@ -53,46 +57,133 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from count_rows(counts, schema)
 
 
-class Table:
-    """Words by descending count: id, count. Id of END is ``end``; ids below ``n_ctx`` are frequent enough for a context."""
+class Hashes(dict):
+    """64-bit hash of each word, as the engine's xxhash64 has it."""
 
-    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        self.ids = {bytes(w): i for i, (w, _) in enumerate(rows)}
-        self.counts = np.array([n for _, n in rows], dtype=np.int64)
-        self.total, self.distinct = total, distinct
-        self.k = len(rows) + 1
-        self.end = self.ids.get(END, -1)
-        self.n_ctx = int((self.counts >= max(2, P_CONTEXT * total)).sum())
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w, 42)
+        return h
+
+
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 42))
+
+
+def encode(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, an END before the first text and after each; the length of each text with its end."""
+    tokens, out = [words(t) for t in texts], [int(END_HASH)]
+    for ws in tokens:
+        out.extend([hashes[w] for w in ws])
+        out.append(int(END_HASH))
+    return np.array(out, dtype=np.uint64), np.array([len(ws) + 1 for ws in tokens], dtype=np.int64)
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of a gram from those of its prefix and its suffix."""
+    x = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(x: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(positions, keys, keys of contexts, keys of suffixes) of the grams of 1, 2 .. ``order`` words before a token.
 
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Ids of all texts, an END before the first and after each; the length of each; the tokens."""
-        tokens = [words(t) for t in texts]
-        get, ids = self.ids.get, [self.end]
-        for ws in tokens:
-            ids.extend([get(w, -1) for w in ws])
-            ids.append(self.end)
-        return np.array(ids, dtype=np.int64), np.array([len(ws) + 1 for ws in tokens], dtype=np.int64), tokens
+    A gram ends at its position; only its first token and its last may be an END.
+    """
+    at, key = np.arange(len(x)), x
+    for _ in range(order):
+        full = np.zeros(len(x), np.uint64)
+        full[at] = key
+        has = np.zeros(len(x), bool)
+        has[at] = True
+        at = at[at > 0]
+        at = at[has[at - 1] & ((x[at - 1] != END_HASH) if _ else True)]
+        ctx, sub = full[at - 1], full[at]
+        key = mix(ctx, sub)
+        yield at, key, ctx, sub
 
 
-class Accumulator:
-    """Counts of int64 keys in sorted arrays."""
+class Screen:
+    """A bit set of keys, of bounded size: has() is True for each of its keys and for some others."""
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+    def __init__(self, keys: DataFrame, rows: int):
+        bits = SEGMENT
+        while bits < min(8 * rows, SCREEN_BITS):
+            bits *= 2
+        self.mask, self.bytes = np.uint64(bits - 1), np.zeros(bits // 8, np.uint8)
 
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
-        self.size += len(k)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            segments: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                cuts = np.flatnonzero(np.diff(at // SEGMENT)) + 1
+                for part in np.split(at, cuts) if len(at) else ():
+                    seg = segments.setdefault(int(part[0] // SEGMENT), np.zeros(SEGMENT, bool))
+                    seg[part % SEGMENT] = True
+                    if len(segments) > 512:
+                        yield rows_of(segments)
+                        segments = {}
+            yield rows_of(segments)
+
+        def rows_of(segments: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(segments), pa.int64()), pa.array([np.packbits(s, bitorder="little").tobytes() for s in segments.values()], pa.binary())], names=["segment", "bits"])
+
+        at = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("at"))
+        dealt = at.repartition(F.shiftright("at", 16)) if rows > SEGMENT else at
+        for r in dealt.mapInArrow(run, "segment long, bits binary").toLocalIterator():
+            a = r.segment * SEGMENT // 8
+            self.bytes[a : a + SEGMENT // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & self.mask
+        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def count_grams(docs: DataFrame, screen, order: int) -> DataFrame:
+    """(key, ctx, sub, n) of the grams of ``order`` words and the next that occur MIN_COUNT times.
+
+    Prefix and suffix of such a gram occur as often, so a gram leaves early unless ``screen`` has both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, hashes, parts, size = ["ctx", "sub", "n"], Hashes(), [], 0
+
+        def merged() -> list[np.ndarray]:
+            key, ctx, sub, n = (np.concatenate(x) for x in zip(*parts))
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
+            return [key[first], ctx[first], sub[first], np.bincount(at, weights=n).astype(np.int64)]
+
+        def batch_of(p: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p[1].view(np.int64)), pa.array(p[2].view(np.int64)), pa.array(p[3])], names=names)
+
+        for batch in batches:
+            texts = column(batch, "text")
+            for a, b in slices(texts):
+                x, _ = encode(texts[a:b], hashes)
+                *_, (_, key, ctx, sub) = grams(x, order)
+                ok = screen.value.has(ctx) & screen.value.has(sub)
+                key, ctx, sub = key[ok], ctx[ok], sub[ok]
+                k, first, n = np.unique(key, return_index=True, return_counts=True)
+                parts.append([k, ctx[first], sub[first], n])
+                size += len(k)
+                if size > 2 * FLUSH:
+                    parts = [merged()]
+                    size = len(parts[0][0])
+                    if size > FLUSH:
+                        yield batch_of(parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield batch_of(merged())
+
+    counted = docs.mapInArrow(run, "ctx long, sub long, n long").groupBy("ctx", "sub").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, sub = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(ctx, sub).view(np.int64)), *batch.columns], names=["key", "ctx", "sub", "n"])
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        k, at = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([p[1] for p in self.parts]), minlength=len(k)).astype(np.int64)
-        self.parts, self.size = [(k, n)], len(k)
-        return k, n
+    return materialize(counted.mapInArrow(keyed, "key long, ctx long, sub long, n long"), f"pst-grams{order}")
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -104,137 +195,140 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def context_ids(table: Table, pairs: np.ndarray, ids: np.ndarray, order: int) -> np.ndarray:
-    """For each token after the first, the number of its context of that order, or -1."""
-    prev = ids[:-1]
-    if order == 1:
-        return np.where((prev >= 0) & (prev < table.n_ctx), prev, -1)
-    before = np.concatenate([[-1], ids[:-2]])
-    ok = (prev >= 0) & (prev != table.end) & (before >= 0)
-    return np.where(ok, lookup(pairs, np.where(ok, before * table.k + prev, -1)), -1)
-
+class Table:
+    """Words by descending count: id, count, hash. Id of END is ``end``."""
 
-def count_next(docs: DataFrame, table, pairs, order: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (context * k + word) that occur at least ``least`` times, and their counts."""
+    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
+        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        ids = {bytes(w): i for i, (w, _) in enumerate(rows)}
+        self.counts = np.array([n for _, n in rows], dtype=np.int64)
+        self.hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in ids], dtype=np.uint64)
+        self.order = np.argsort(self.hashes)
+        self.sorted, self.total, self.distinct, self.end = self.hashes[self.order], total, distinct, ids.get(END, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, acc, t = pa.schema([("key", pa.int64()), ("n", pa.int64())]), Accumulator(), table.value
-        for batch in batches:
-            texts = column(batch, "text")
-            for a, b in slices(texts):
-                ids, _, _ = t.encode(texts[a:b])
-                ctx, cur = context_ids(t, pairs.value, ids, order), ids[1:]
-                ok = (ctx >= 0) & (cur >= 0)
-                acc.add(ctx[ok] * t.k + cur[ok])
-                if acc.size > 2 * FLUSH and len(acc.merged()[0]) > FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in acc.merged()], schema=schema)
-                    acc = Accumulator()
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in acc.merged()], schema=schema)
-
-    counted = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(float(least)))
-    got = counted.toArrow()
-    k, n = (np.asarray(got.column(c).to_numpy(), dtype=np.int64) for c in ("key", "n"))
-    at = np.argsort(k, kind="stable")
-    return k[at], n[at]
-
-
-class Level:
-    """Contexts of one order: retained or not, log10 weight handed to the suffix, log10 probability of own next words."""
-
-    def __init__(self, contexts: int, seen: np.ndarray, keys: np.ndarray, counts: np.ndarray, k: int, below: np.ndarray):
-        """``seen``: occurrences of each context; ``below``: log10 probability of each key's word given the suffix."""
-        ctx = keys // k
-        own = np.bincount(ctx, weights=counts, minlength=contexts)
-        rest = np.maximum(seen - own, 0)
-        weight = (ALPHA + rest) / (seen + ALPHA)
-        logp = np.log10((counts + (ALPHA + rest[ctx]) * 10.0**below) / (seen[ctx] + ALPHA))
-        gain = np.bincount(ctx, weights=counts * (logp - below), minlength=contexts) + rest * np.log10(weight)
-        self.retained = gain * math.log(10) >= DIVERGENCE * np.maximum(seen, 1)
-        keep = self.retained[ctx]
-        self.keys, self.logp, self.log_weight = keys[keep], logp[keep], np.log10(weight)
-
-    def apply(self, ctx: np.ndarray, cur: np.ndarray, below: np.ndarray, k: int) -> np.ndarray:
-        """``below`` raised to this order where the context is a node; ``cur`` -1 has no own mass anywhere."""
-        node = (ctx >= 0) & self.retained[np.maximum(ctx, 0)] if len(self.retained) else np.zeros(len(ctx), bool)
-        at = lookup(self.keys, np.where(node & (cur >= 0), ctx * k + cur, -1))
-        handed = below + self.log_weight[np.maximum(ctx, 0)] if len(self.retained) else below
-        own = self.logp[np.maximum(at, 0)] if len(self.logp) else below
-        return np.where(~node, below, np.where(at >= 0, own, handed))
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Ids of hashes, or -1."""
+        at = lookup(self.sorted, x)
+        return np.where(at >= 0, self.order[np.maximum(at, 0)], -1) if len(self.order) else at
 
 
 class Model:
-    def __init__(self, table: Table, pairs: np.ndarray, levels: list[Level]):
-        self.table, self.pairs, self.levels = table, pairs, levels
+    """What is broadcast for scoring: frequent words, frequent grams with their values, a screen of the other grams."""
+
+    def __init__(self, table: Table, rows: pa.Table, screen: Screen):
+        keys, raised, weight = (rows.column(c).to_numpy() for c in ("key", "raised", "weight"))
+        keys = keys.astype(np.int64).view(np.uint64)
+        at = np.argsort(keys)
+        self.table, self.keys, self.raised, self.weight, self.screen = table, keys[at], raised[at].astype(float), weight[at].astype(float), screen
         self.root = np.log10(table.counts + 1.0) - math.log10(table.total + table.distinct + 1)
 
     def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; a rare word's lacks its root probability."""
-        cur = ids[1:]
-        out = np.where(cur >= 0, self.root[np.maximum(cur, 0)], 0.0) if len(self.root) else np.zeros(len(cur))
-        for order, level in enumerate(self.levels, 1):
-            out = level.apply(context_ids(self.table, self.pairs, ids, order), cur, out, self.table.k)
-        return out
-
-
-def fit(train: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """(model, vocabulary (word, h, n), tokens, distinct tokens) of rows (text binary)."""
+        """log10 of each token's probability by what is broadcast; a rare word, -1, lacks its root probability."""
+        x = np.where(ids >= 0, self.table.hashes[np.maximum(ids, 0)], np.uint64(0)) if len(self.table.hashes) else np.zeros(len(ids), np.uint64)
+        out = np.where(ids >= 0, self.root[np.maximum(ids, 0)], 0.0) if len(self.root) else np.zeros(len(ids))
+        for at, key, ctx, _ in grams(x, MAX_ORDER):
+            for values, wanted in ((self.raised, key), (self.weight, ctx)):
+                i = lookup(self.keys, wanted)
+                out[at[i >= 0]] += values[i[i >= 0]]
+        return out[1:]
+
+
+def learn(train: DataFrame) -> tuple[Model, DataFrame, int, int, DataFrame]:
+    """(model, vocabulary (word, h, n), tokens, distinct tokens, values (key, value)) of rows (text binary)."""
     sc = train.sparkSession.sparkContext
     vocab = train.mapInArrow(_count_words, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
     vocab = materialize(vocab.select("word", F.xxhash64("word").alias("h"), "n"), "pst-vocab")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = [(r.word, r.n) for r in vocab.where(F.col("n") >= max(1.0, P_TABLE * total)).select("word", "n").collect()]
-    table = Table(rows, total, distinct)
-    shared, pairs, levels = sc.broadcast(table), np.empty(0, np.int64), []
-    least = max(2.0, P_NEXT * total)
+    often = max(1.0, P_TABLE * total)
+    rows = [(r.word, r.n) for r in vocab.where(F.col("n") >= often).select("word", "n").collect()]
+    norm, weights, raised = math.log10(total + distinct + 1), [], []
+    # (key, n, s): count of each gram and log10 probability of its last word after the words before
+    below = vocab.where(F.col("n") >= MIN_COUNT).select(F.col("h").alias("key"), "n", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))
     for order in range(1, MAX_ORDER + 1):
-        keys, counts = count_next(train, shared, sc.broadcast(pairs), order, least)
-        cur = keys % table.k
-        root = np.log10(table.counts + 1.0) - math.log10(total + distinct + 1) if total else np.empty(0)
-        if order == 1:
-            levels.append(Level(table.n_ctx, table.counts[: table.n_ctx].astype(float), keys, counts, table.k, root[cur]))
-            often = (counts >= max(2.0, P_CONTEXT * total)) & (cur != table.end)
-            pairs, seen = keys[often], counts[often].astype(float)
-        else:
-            suffix = pairs[keys // table.k] % table.k
-            below = levels[0].apply(np.where(suffix < table.n_ctx, suffix, -1), cur, root[cur], table.k)
-            levels.append(Level(len(pairs), seen, keys, counts, table.k, below))
-    return Model(table, pairs, levels), vocab, total, distinct
+        found = count_grams(train, sc.broadcast(Screen(below, below.count())), order)
+        own = found.groupBy("ctx").agg(F.sum("n").alias("own"))
+        seen = below.select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
+        rest = F.greatest(F.col("seen") - F.col("own"), F.lit(0))
+        contexts = own.join(seen, "ctx").select("ctx", "seen", rest.cast("double").alias("rest"), F.log10((ALPHA + rest) / (F.col("seen") + ALPHA)).alias("weight"))
+        t = found.join(below.select(F.col("key").alias("sub"), F.col("s").alias("below")), "sub").join(contexts, "ctx")
+        logp = F.log10((F.col("n") + (ALPHA + F.col("rest")) * F.pow(F.lit(10.0), "below")) / (F.col("seen") + ALPHA))
+        t = materialize(t.select("key", "ctx", "n", "below", "seen", "rest", "weight", logp.alias("logp")), f"pst-order{order}")
+        gain = t.groupBy("ctx").agg(F.sum(F.col("n") * (F.col("logp") - F.col("below"))).alias("gain"), *[F.first(c).alias(c) for c in ("seen", "rest", "weight")])
+        kept = (F.col("gain") + F.col("rest") * F.col("weight")) * math.log(10) >= DIVERGENCE * F.col("seen")
+        nodes = materialize(gain.where(kept).select(F.col("ctx").alias("key"), F.col("seen").alias("n"), "weight"), f"pst-nodes{order}")
+        t = t.join(nodes.select(F.col("key").alias("ctx"), F.lit(True).alias("node")), "ctx", "left")
+        node = F.coalesce("node", F.lit(False))
+        t = t.select("key", "n", F.when(node, F.col("logp")).otherwise(F.col("below")).alias("s"), F.when(node, F.col("logp") - F.col("below") - F.col("weight")).otherwise(F.lit(0.0)).alias("raised"))
+        below = materialize(t, f"pst-scores{order}")
+        weights.append(nodes.select("key", "n", F.lit(0.0).alias("raised"), "weight"))
+        raised.append(below.where("raised <> 0").select("key", "n", "raised", F.lit(0.0).alias("weight")))
+    values = raised[0]
+    for part in [*raised[1:], *weights]:
+        values = values.unionByName(part)
+    values = materialize(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("raised").alias("raised"), F.sum("weight").alias("weight")), "pst-values")
+    rare = values.where(F.col("n") < often).select("key", (F.col("raised") + F.col("weight")).alias("value"))
+    model = Model(Table(rows, total, distinct), values.where(F.col("n") >= often).toArrow(), Screen(rare, rare.count()))
+    return model, vocab, total, distinct, rare
+
+
+def fit(train: DataFrame) -> tuple[Model, DataFrame, int, int]:
+    """(model, vocabulary (word, h, n), tokens, distinct tokens) of rows (text binary)."""
+    return learn(train)[:4]
+
+
+def by_text(owner: np.ndarray, keys: np.ndarray, texts: int) -> pa.StructArray:
+    """For each text the distinct keys and how often it has them, as two lists."""
+    at = np.lexsort((keys, owner))
+    owner, keys = owner[at], keys[at]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.empty(0, np.int64)
+    n = np.diff(np.concatenate([new, [len(keys)]]))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=texts))]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[new].view(np.int64), n.astype(np.int64))]
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_when: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     train_when = F.lit(True) if train_when is None else train_when
     rows = docs.select(docs[id_col].alias("id"), (~train_when).alias("held_out"), docs[text_col].cast("binary").alias("text"))
-    model, vocab, total, distinct = fit(rows.where(~F.col("held_out")).select("text"))
+    model, vocab, total, distinct, values = learn(rows.where(~F.col("held_out")).select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs = np.log10(m.table.counts + 1.0)
+        m, hashes = shared.value, Hashes()
+        logs, both = np.log10(m.table.counts + 1.0), m.raised + m.weight
         for batch in batches:
-            texts, at = column(batch, "text"), 0
+            texts = column(batch, "text")
             for a, b in slices(texts):
-                ids, lengths, tokens = m.table.encode(texts[a:b])
-                cur, starts = ids[1:], np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                known = cur >= 0
-                sums = [np.add.reduceat(x, starts) for x in (known.astype(np.int64), np.where(known, logs[np.maximum(cur, 0)], 0.0) if len(logs) else np.zeros(len(cur)), m.score(ids))]
-                rare_h, rare_n = [], []
-                for ws, s, n in zip(tokens, starts, lengths):
-                    unknown = [xxhash.xxh64_intdigest(ws[i], 42) for i in np.flatnonzero(~known[s : s + n - 1])]
-                    h, c = np.unique(np.array(unknown, dtype=np.uint64).view(np.int64), return_counts=True)
-                    rare_h.append(h)
-                    rare_n.append(c)
-                offsets = np.concatenate([[0], np.cumsum([len(h) for h in rare_h])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x).astype(np.int64))) for x in (rare_h, rare_n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *map(pa.array, sums), *lists], names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n"])
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<long>"
+                x, lengths = encode(texts[a:b], hashes)
+                starts, owner = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(b - a), lengths)
+                ids = m.table.find(x[1:])
+                known = ids >= 0
+                base = np.where(known, logs[np.maximum(ids, 0)], 0.0) if len(logs) else np.zeros(len(ids))
+                tokens = np.where(known, m.root[np.maximum(ids, 0)], 0.0) if len(logs) else np.zeros(len(ids))
+                # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
+                owners, keys = [owner], [x[:-1]]
+                for at, key, _, _ in grams(x, MAX_ORDER):
+                    owners.append(owner[at - 1])
+                    keys.append(key)
+                who, key = np.concatenate(owners), np.concatenate(keys)
+                at = lookup(m.keys, key)
+                hit = at >= 0
+                extra = np.bincount(who[hit], weights=both[at[hit]], minlength=b - a) if len(both) else np.zeros(b - a)
+                may = ~hit & m.screen.has(key)
+                lists = [*by_text(owner[~known], x[1:][~known], b - a), *by_text(who[may], key[may], b - a)]
+                sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base, tokens)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *map(pa.array, sums[:2]), pa.array(sums[2] + extra), *lists], names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n", "gram_h", "gram_n"])
+
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<long>, gram_h array<long>, gram_n array<long>"
     scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pst-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("row", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("c"))
-    counted = rare.join(vocab.where(F.col("n") < max(1.0, P_TABLE * total)).select("h", "n"), "h")
-    sums = counted.groupBy("row").agg(F.sum("c").alias("_known"), F.sum(F.col("c") * F.log10(F.col("n") + 1.0)).alias("_log"))
-    out = scored.drop("rare_h", "rare_n").join(sums, "row", "left")
+    pairs = lambda kind: scored.select("row", F.explode(F.arrays_zip(f"{kind}_h", f"{kind}_n")).alias("r")).select("row", F.col(f"r.{kind}_h").alias("h"), F.col(f"r.{kind}_n").alias("c"))
+    counted = pairs("rare").join(vocab.where(F.col("n") < max(1.0, P_TABLE * total)).select("h", "n"), "h")
+    counted = counted.select("row", F.col("c").alias("known"), (F.col("c") * F.log10(F.col("n") + 1.0)).alias("log"), F.lit(0.0).alias("value"))
+    valued = pairs("gram").join(values.withColumnRenamed("key", "h"), "h")
+    valued = valued.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), (F.col("c") * F.col("value")).alias("value"))
+    sums = counted.unionByName(valued).groupBy("row").agg(F.sum("known").alias("_known"), F.sum("log").alias("_log"), F.sum("value").alias("_value"))
+    out = scored.drop("rare_h", "rare_n", "gram_h", "gram_n").join(sums, "row", "left")
     norm = math.log10(total + distinct + 1)
     log, n = F.coalesce("_log", F.lit(0.0)), F.col("n_tokens")
     rare_tokens = n - F.col("n_known")
@@ -245,7 +339,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + log - n * F.lit(norm)).alias("base_score"),
-        (F.col("score") + log - rare_tokens * F.lit(norm)).alias("score"),
+        (F.col("score") + log - rare_tokens * F.lit(norm) + F.coalesce("_value", F.lit(0.0))).alias("score"),
     )
 
 

@@ -53,3 +53,46 @@ def test_edges(docs, no_docs):
     assert P.score_texts(no_docs).collect() == []
     nothing = P.score_texts(docs, train_when=F.lit(False)).collect()
     assert {(r.base_score, r.score, r.n_known, r.train_tokens) for r in nothing} == {(0.0, 0.0, 0, 0)}
+
+
+def brute_score(text, train):
+    """The tree by plain recursion over counted runs of words."""
+    c = Counter()
+    for t in train:
+        x = [b"", *t.encode().split(), b""]
+        c.update(tuple(x[i : i + k]) for k in range(1, P.MAX_ORDER + 2) for i in range(len(x) - k + 1) if k > 1 or i)
+    total, kinds = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    after = {}
+    for g, n in c.items():
+        if len(g) > 1 and n >= P.MIN_COUNT:
+            after.setdefault(g[:-1], {})[g[-1]] = n
+
+    def prob(ctx, w):
+        if not ctx:
+            return (c[(w,)] + 1) / (total + kinds + 1)
+        if ctx not in nodes:
+            return prob(ctx[1:], w)
+        rest = c[ctx] - sum(after[ctx].values())
+        return (after[ctx].get(w, 0) + (P.ALPHA + rest) * prob(ctx[1:], w)) / (c[ctx] + P.ALPHA)
+
+    nodes = set()
+    for ctx in sorted(after, key=len):
+        nodes.add(ctx)
+        rest = c[ctx] - sum(after[ctx].values())
+        gain = sum(n * math.log(prob(ctx, w) / prob(ctx[1:], w)) for w, n in after[ctx].items()) + rest * math.log((P.ALPHA + rest) / (c[ctx] + P.ALPHA))
+        if gain < P.DIVERGENCE * c[ctx]:
+            nodes.remove(ctx)
+    x = [b"", *text.encode().split(), b""]
+    return sum(math.log10(prob(tuple(x[max(0, i - P.MAX_ORDER) : i]), x[i])) for i in range(1, len(x)))
+
+
+def test_rare_contexts_and_next_words_keep_their_mass(make, monkeypatch):
+    """Words, contexts and transitions below every share of the tokens count as the frequent ones do."""
+    r = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 12) if x < 90)) for i in range(150)] + [(i, "one rare run of words") for i in (150, 151)]
+    docs = make(texts)
+    train = [t for _, t in texts]
+    for share in (P.P_TABLE, 0.02, 1.0):  # all broadcast, some, none
+        monkeypatch.setattr(P, "P_TABLE", share)
+        got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
+        assert max(abs(got[i] - brute_score(t, train)) for i, t in texts[::10] + texts[-1:]) < 1e-9, share
