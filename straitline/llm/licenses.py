@@ -1,10 +1,11 @@
 """License scans by sentence rules: known sentences become identifiers, rules match sequences of identifiers.
 
-A text is cut into sentences at line ends and after sentence marks; a sentence is normalised to lower-cased runs of letters
-and digits. Sentences in the table become their identifier, runs of others become a gap. A rule is a license and an
-ordered list of identifiers; it matches a place where they follow in order with at most MAX_GAP unknown sentences between
-neighbours. Rules are tried longest first at each place, and a sentence belongs to one match, so the notice inside a full
-license text isn't reported beside it.
+A text is read as lower-cased runs of letters and digits. Sentences may begin and end at line ends, sentence marks that
+blanks follow, and before links. A known sentence is found where all its words stand between two such places, whatever marks
+and single line breaks are inside it; a line without words ends it. The longest wins, and the search goes on behind it. A
+rule is a license and an ordered list of identifiers; it matches a place where they follow in order with at most MAX_GAP
+unknown sentences between neighbours, and unknown sentences run over single line breaks too. Rules are tried longest first
+at each place, and a sentence belongs to one match, so the notice inside a full license text isn't reported beside it.
 
 Cases: null and empty texts match nothing; a long text is read once; the same notice twice is two matches; repeated rows
 are scanned each; an empty table gives an empty result; other columns are ignored.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,22 +73,47 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _TOKEN = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"[^\n]+")
-_CUT = re.compile(r"(?<=[.!?:;])[^\S\n]+")
+#: Where a sentence ends (and the next begins), among the characters between two words.
+_CUT = re.compile(r"\n|(?<=[.!?:;])[^\S\n]+")
+_STOP = re.compile(r"[.!?:;]\s")
+_LINK = re.compile(r"https?://", re.I)
 
 
 def normalise(sentence: str) -> str:
     return " ".join(_TOKEN.findall(sentence.lower()))
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the sentences of each line."""
-    for line in _SENTENCE.finditer(text):
-        at = line.start()
-        for cut in _CUT.finditer(text, line.start(), line.end()):
-            yield at, cut.start()
-            at = cut.end()
-        yield at, line.end()
+class Words:
+    """The words of a text, and what stands between them."""
+
+    def __init__(self, text: str):
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.text, self.words = text, [text[a:b].lower() for a, b in spans]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def cuts(self, k: int) -> list[re.Match]:
+        """Cuts between word k - 1 and word k."""
+        return list(_CUT.finditer(self.text, self.ends[k - 1] if k else 0, self.starts[k] if k < len(self.words) else len(self.text)))
+
+    def begin(self, k: int) -> int | None:
+        """Where a sentence that has word k first begins, or None."""
+        cuts = self.cuts(k)
+        return cuts[-1].end() if cuts else None if k else 0
+
+    def end(self, k: int) -> int | None:
+        """Where a sentence that has word k - 1 last ends, or None."""
+        cuts = self.cuts(k)
+        if cuts:
+            return cuts[0].start()
+        return len(self.text) if k == len(self.words) else self.ends[k - 1] if _LINK.match(self.text, self.starts[k]) else None
+
+    def broken(self, k: int) -> bool:
+        """A line without words before word k."""
+        return self.text.count("\n", self.ends[k - 1], self.starts[k]) > 1
+
+    def begun(self) -> list[int]:
+        """Sentences that begin up to each word; one runs over single line breaks, unless a mark stands before them."""
+        return list(accumulate(not k or self.broken(k) or bool(_STOP.search(self.text, self.ends[k - 1], self.starts[k])) for k in range(len(self.words))))
 
 
 class Scanner:
@@ -95,7 +122,9 @@ class Scanner:
     def __init__(self, known: dict[str, str] = SENTENCES, rules=RULES):
         self.ids = {normalise(s): i for i, s in known.items()}
         words = [k.split() for k in self.ids]
-        self.first = {w[0] for w in words}
+        self.first: dict[str, list[list[str]]] = {}
+        for w in sorted(words, key=len, reverse=True):
+            self.first.setdefault(w[0], []).append(w)
         self.rules: dict[str, list[tuple[str, tuple[str, ...], int]]] = {}
         for r, (name, seq) in enumerate(rules):
             self.rules.setdefault(seq[0], []).append((name, seq, r))
@@ -108,27 +137,37 @@ class Scanner:
         """Matches in order: license, rule, start, end (code points), sentences."""
         if not text or not self.probe.search(text.lower()):
             return []
-        seen: list[tuple[int, str, int, int]] = []
-        for k, (a, b) in enumerate(sentences(text)):
-            first = _TOKEN.search(text, a, b)
-            if first and first.group().lower() in self.first and (i := self.ids.get(normalise(text[a:b]))):
-                seen.append((k, i, a, b))
+        t = Words(text)
+        seen: list[tuple[int, int, str, int, int]] = []
+        k = 0
+        while k < len(t.words):
+            n = 0
+            if t.words[k] in self.first and (a := t.begin(k)) is not None:
+                for known in self.first[t.words[k]]:
+                    j = k + len(known)
+                    if t.words[k:j] == known and (b := t.end(j)) is not None and not any(t.broken(i) for i in range(k + 1, j)):
+                        seen.append((k, j, self.ids[" ".join(known)], a, b))
+                        n = len(known)
+                        break
+            k += n or 1
+        begun = t.begun() if len(seen) > 1 else []
+        far = lambda i, j: seen[j][0] > seen[i][1] and 1 + begun[seen[j][0] - 1] - begun[seen[i][1]] > MAX_GAP
         out, used, at = [], set(), 0
         for at in range(len(seen)):
             if at in used:
                 continue
-            for name, seq, r in self.rules.get(seen[at][1], ()):
+            for name, seq, r in self.rules.get(seen[at][2], ()):
                 places, nxt = [at], at + 1
                 for want in seq[1:]:
-                    while nxt < len(seen) and (nxt in used or seen[nxt][1] != want) and seen[nxt][0] - seen[places[-1]][0] <= MAX_GAP + 1:
+                    while nxt < len(seen) and (nxt in used or seen[nxt][2] != want) and not far(places[-1], nxt):
                         nxt += 1
-                    if nxt >= len(seen) or seen[nxt][1] != want or seen[nxt][0] - seen[places[-1]][0] > MAX_GAP + 1:
+                    if nxt >= len(seen) or seen[nxt][2] != want or far(places[-1], nxt):
                         break
                     places.append(nxt)
                     nxt += 1
                 if len(places) == len(seq):
                     used.update(places)
-                    out.append({"license": name, "rule": r, "start": seen[places[0]][2], "end": seen[places[-1]][3], "sentences": len(seq)})
+                    out.append({"license": name, "rule": r, "start": seen[places[0]][3], "end": seen[places[-1]][4], "sentences": len(seq)})
                     break
         return out
 

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -100,3 +101,19 @@ def test_license_sequences():
 
 def test_license_edges(docs, no_docs):
     assert C.find(docs).count() == docs.count() and C.find(no_docs).collect() == []
+
+
+def test_every_license_rule_on_its_own_text():
+    s = C.Scanner()
+    for r, (name, seq) in enumerate(C.RULES):
+        plain = "\n\n".join(C.SENTENCES[k] for k in seq)
+        wrapped = "\n\n".join(textwrap.fill(C.SENTENCES[k], 72) for k in seq)
+        comment = "\n".join(f" * {x}" for x in wrapped.split("\n"))
+        for t in (plain, plain.replace("\n\n", "\n"), wrapped, wrapped.replace("\n\n", "\n"), textwrap.indent(wrapped, "    "), comment, wrapped.replace("\n", "\r\n")):
+            assert [(m["license"], m["rule"]) for m in s.scan(f"Some text before.\n\n{t}\n\nand after")] == [(name, r)], t
+    header = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    assert [(m["license"], m["sentences"]) for m in s.scan(header)] == [("Apache-2.0", 1)]
+    assert [m["sentences"] for m in s.scan(header + "\n" + textwrap.fill(C.SENTENCES["apache.asis"], 76))] == [3]
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    assert [(m["license"], m["sentences"]) for m in s.scan(mpl)] == [("MPL-2.0", 2)]
+    assert s.scan("This Source Code Form is subject to the\n\nterms of the Mozilla Public License, v. 2.0.") == []
