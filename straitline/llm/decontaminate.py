@@ -3,10 +3,10 @@
 Texts and items are sequences of normalised words (lower-cased runs of letters and digits). Over every text slide windows
 of the size of each item. The CGK random walk reads a sequence, emits the symbol under its pointer at each step and
 advances the pointer by a random bit of (step, symbol): two sequences at edit distance e meet again after few steps, so
-their embeddings are at a small Hamming distance. Bit sampling keeps BITS random steps of each of REPEATS walks; a window
+their embeddings are at a small Hamming distance. Bit sampling keeps some random steps of each of several walks; a window
 and an item of equal size that agree on all bits of one repeat are a candidate pair, and their exact edit distance is
-computed. With h of J steps unequal a repeat succeeds with (1 - h/J)^BITS; BITS and REPEATS are set so that pairs within
-the allowed distance are found with a chance of at least RECALL, and the share is measured in the tests.
+computed. Edits grow with the size of an item and walks drift apart, so steps and repeats are chosen for each size: walks
+over pairs with exactly the allowed edits are measured, and the repeats are as many as find RECALL of them and a margin.
 
 Before the walk a lossless screen removes windows: within distance e of an item of m words, a window has at least m - e
 words that occur in the items, and in the items of m words. It costs two running sums.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from .common import column, slices
 
 SIMILARITY = 0.8
 MIN_WORDS = 8
-BITS, REPEATS = 3, 16
-RECALL = 0.95
+#: Share of the pairs at the allowed distance that is found, and the measured share that is asked for.
+RECALL, MEASURED = 0.95, 0.98
+#: Steps that a repeat samples and most repeats, in the order of preference; pairs of each kind that are measured.
+PLANS, PAIRS = ((3, 32), (2, 32), (1, 64)), 400
 ITEM_GROUP = 1_000_000
 TABLE_BYTES = 32 << 20
 _WORDS = re.compile(r"[^\W_]+")
@@ -50,6 +53,72 @@ def allowed(m: int) -> int:
     return int(round(m * (1 - SIMILARITY), 9))
 
 
+def walk_bits(code: np.ndarray, salt: np.ndarray, step: int) -> np.ndarray:
+    """The random bit of each symbol at a step of the walk with that salt."""
+    return (((code ^ salt) * np.uint64(0x9E3779B97F4A7C15 + 2 * step)) >> np.uint64(63)).astype(np.int8)
+
+
+def edited_pairs(m: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of m random symbols, and each after exactly allowed(m) edits: half by substitutions, half by any edits."""
+    a = rng.integers(0, 1 << 64, (2 * PAIRS, m), dtype=np.uint64)
+    b, new = a.copy(), iter(rng.integers(0, 1 << 64, 2 * PAIRS * (allowed(m) + 2 * m), dtype=np.uint64))
+    for i in range(2 * PAIRS):
+        if i < PAIRS:
+            for at in rng.choice(m, allowed(m), replace=False):
+                b[i, at] = next(new)
+            continue
+        x = list(a[i])
+        for kind, at in zip(rng.integers(0, 3, allowed(m)), rng.random(allowed(m))):
+            at = int(at * len(x))
+            if kind == 0:
+                x[at] = next(new)
+            elif kind == 1:
+                x.insert(at, next(new))
+            else:
+                x.pop(at)
+        b[i] = (x + [next(new) for _ in range(m - len(x))])[:m]
+    return a, b
+
+
+SALTS = np.random.default_rng(5).integers(0, 1 << 63, max(n for _, n in PLANS), dtype=np.uint64)  # of the walks
+
+
+@lru_cache(maxsize=None)
+def plan_of(m: int) -> tuple[np.ndarray, ...]:
+    """Steps that each repeat samples so that walks over m words find a share of MEASURED of each kind of edited pairs."""
+    rng = np.random.default_rng(m)
+    a, b = edited_pairs(m, rng)
+    rows = np.arange(2 * PAIRS)
+    picks: dict[int, list[np.ndarray]] = {bits: [] for bits, _ in PLANS}
+    found = {bits: np.zeros(2 * PAIRS, bool) for bits in picks}
+    done: set[int] = set()
+    for repeat, salt in enumerate(SALTS, 1):
+        at_a, at_b = np.zeros(2 * PAIRS, np.int64), np.zeros(2 * PAIRS, np.int64)
+        same = np.zeros((m, 2 * PAIRS), bool)
+        for step in range(m):
+            x, y = a[rows, at_a], b[rows, at_b]
+            same[step] = x == y
+            at_a += walk_bits(x, salt, step)
+            at_b += walk_bits(y, salt, step)
+        for bits, limit in PLANS:
+            if bits in done or repeat > limit:
+                continue
+            picks[bits].append(np.sort(rng.choice(m, min(bits, m), replace=False)))
+            found[bits] |= same[picks[bits][-1]].all(0)
+            if min(found[bits][:PAIRS].mean(), found[bits][PAIRS:].mean()) >= MEASURED:
+                done.add(bits)
+        best = next((bits for bits, limit in PLANS if bits in done or repeat < limit), PLANS[-1][0])
+        if best in done:
+            return tuple(picks[best])
+    return tuple(picks[PLANS[-1][0]])
+
+
+def size_class(m: int) -> int:
+    """The size whose plan m uses: exact below 16, then steps of an eighth, downwards, so that no walk leaves a window."""
+    step = 1 << max(m.bit_length() - 4, 0)
+    return m // step * step
+
+
 def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
     """Edit distance of each row of ``a`` to the same row of ``b``, equal lengths; e + 1 stands for more than e.
 
@@ -82,7 +151,7 @@ def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
 class Items:
     """A group of items: vocabulary, items by size, and the LSH tables of each size."""
 
-    def __init__(self, rows: list[tuple[int, list[str]]], seed: int = 5):
+    def __init__(self, rows: list[tuple[int, list[str]]]):
         self.vocab: dict[str, int] = {}
         for _, ws in rows:
             for w in ws:
@@ -90,13 +159,11 @@ class Items:
         size = len(self.vocab) + 1  # the last symbol stands for padding and all other words
         self.symbols = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocab] + [0], dtype=np.uint64)
         self.sizes: dict[int, dict] = {}
-        rng = np.random.default_rng(seed)
-        self.salts = rng.integers(0, 1 << 63, REPEATS, dtype=np.uint64)
         self.tables: dict[tuple[int, int], np.ndarray] = {}
         for m in sorted({len(ws) for _, ws in rows}):
             group = [(i, ws) for i, ws in rows if len(ws) == m]
             words = np.array([[self.vocab[w] for w in ws] for _, ws in group], dtype=np.int32)
-            plan = [np.sort(rng.choice(m, min(BITS, m), replace=False)) for _ in range(REPEATS)]
+            plan = plan_of(size_class(m))
             entry = {"ids": np.array([i for i, _ in group], dtype=np.int64), "words": words, "plan": plan, "tables": []}
             for repeat, picks in enumerate(plan):
                 _, keys, sampled = self.walk(words.ravel(), np.arange(len(group)) * m, repeat, picks)
@@ -109,10 +176,9 @@ class Items:
         """The walk's random bit of (repeat, step, symbol); tables of all symbols are kept up to TABLE_BYTES."""
         table = self.tables.get((repeat, step))
         if table is None:
-            mixed = lambda code: (((code ^ self.salts[repeat]) * np.uint64(0x9E3779B97F4A7C15 + 2 * step)) >> np.uint64(63)).astype(np.int8)
             if (len(self.tables) + 1) * len(self.symbols) > TABLE_BYTES:
-                return mixed(self.symbols[sym])
-            table = self.tables[repeat, step] = mixed(self.symbols)
+                return walk_bits(self.symbols[sym], SALTS[repeat], step)
+            table = self.tables[repeat, step] = walk_bits(self.symbols, SALTS[repeat], step)
         return table[sym]
 
     def walk(self, flat: np.ndarray, starts: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -97,3 +97,29 @@ def test_decontaminate_edges(spark, docs, no_docs, monkeypatch):
     assert found == {(4, 1, 0), (5, 1, 0), (6, 1, 0)}
     assert D.decontaminate(no_docs, bench).collect() == []
     assert D.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def recall_at_the_limit(m, items=24, copies=8):
+    """Share found of passages of m words with exactly the allowed number of substituted words."""
+    r = random.Random(m)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = [(i, [r.choice(vocab) for _ in range(m)]) for i in range(items)]
+    docs = []
+    for _, w in rows * copies:
+        x = list(w)
+        for p in r.sample(range(m), D.allowed(m)):
+            x[p] = r.choice([v for v in (r.choice(vocab), r.choice(vocab)) if v != w[p]])
+        docs.append([r.choice(vocab) for _ in range(9)] + x + [r.choice(vocab) for _ in range(9)])
+    doc, item, *_, dist = D.match(D.Items(rows), docs)
+    assert (dist <= D.allowed(m)).all()
+    return len({(d, i) for d, i in zip(doc.tolist(), item.tolist()) if d % items == i}) / len(docs)
+
+
+def test_recall_holds_at_exactly_the_allowed_edits_for_every_size():
+    found = {m: recall_at_the_limit(m) for m in (15, 30, 50, 100, 200)}
+    assert min(found.values()) >= D.RECALL, found
+
+
+def test_plans_follow_from_measured_success():
+    assert len(D.plan_of(416)) > len(D.plan_of(30)) or len(D.plan_of(416)[0]) < len(D.plan_of(30)[0])
+    assert [D.size_class(m) for m in (8, 15, 17, 100, 200, 401)] == [8, 15, 16, 96, 192, 384]
