@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from .common import column, to_batch
 KINDS = ("email", "ip", "card", "phone")
 #: Islands that the field learns from, the smallest by hash, and passes over them.
 SAMPLE_ISLANDS, EPOCHS, STEP, DECAY = 600, 6, 0.3, 1e-3
-#: Longest candidate in atoms and longest island in characters; a longer run is cut into islands of this length.
+#: Longest candidate in atoms, and half the longest island in characters; a longer run is cut into islands that overlap.
 MAX_ATOMS, MAX_ISLAND = 24, 400
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -87,13 +88,17 @@ def base_spans(text: str) -> list[Span]:
 # ---- islands, atoms, candidates and their features ----
 
 _ATOM = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.S)
+_PIECE = re.compile(rf"[A-Za-z]{{1,{MAX_ISLAND}}}|[0-9]{{1,{MAX_ISLAND}}}|\s{{1,{MAX_ISLAND}}}|.", re.S)  # atoms, none without end
 _WORD = re.compile(r"\S+")
 _NUMBER = re.compile(r"[0-9 ().+-]+")  # what numbers of persons are written with
 _LINK = re.compile(r"[(\[]?(?:at|dot)[)\]]?", re.I)
 
 
-def islands(text: str) -> Iterator[tuple[int, int]]:
-    """Neighbourhoods of triggers: words with a digit or at-sign, joined when adjacent, and the word before and after."""
+def islands(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Neighbourhoods of triggers: words with a digit or at-sign, joined when adjacent, and the word before and after.
+
+    (start, end, first and last limit of the places where its entities begin), see ``pieces``.
+    """
     words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
     hot = [bool(_TRIGGER.search(text, a, b)) for a, b in words]
     i, n = 0, len(words)
@@ -102,14 +107,33 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
             i += 1
             continue
         j = i
-        while j + 1 < n and words[j + 1][0] - words[j][1] <= 2 and words[j + 1][1] - words[i][0] < MAX_ISLAND and (hot[j + 1] or _LINK.fullmatch(text[words[j + 1][0] : words[j + 1][1]])):
+        while j + 1 < n and words[j + 1][0] - words[j][1] <= 2 and (hot[j + 1] or _LINK.fullmatch(text[words[j + 1][0] : words[j + 1][1]])):
             j += 1
         a = max(words[max(i - 1, 0)][0], words[i][0] - 40)
         b = min(words[min(j + 1, n - 1)][1], words[j][1] + 40)
-        yield a, min(b, a + 2 * MAX_ISLAND)
+        yield from pieces(text, a, b)
         i = j + 1
 
 
+def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+    """Consecutive islands to the very end of a run, each with twice the longest candidate in common with the next.
+
+    An entity belongs to the island in whose own part it begins; the island holds the longest candidate beyond that.
+    """
+    if b - a <= 2 * MAX_ISLAND:
+        yield a, b, a, b
+        return
+    at = [m.start() for m in _PIECE.finditer(text, a, b)] + [b]
+    i, own, n = 0, a, len(at) - 1
+    while True:
+        j = min(n, max(bisect_right(at, at[i] + 2 * MAX_ISLAND) - 1, i + 4 * MAX_ATOMS))
+        last = b if j == n else at[j - MAX_ATOMS]
+        yield at[i], at[j], own, last
+        if j == n:
+            return
+        i, own = j - 2 * MAX_ATOMS, last
+
+
 _CONTEXT = frozenset("tel telephone phone call mobile fax email mail contact card visa ip host address account".split())
 
 
@@ -296,7 +320,7 @@ def _islands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = {}
         for text in column(batch, "text"):
-            for a, b in islands(text or "") if _TRIGGER.search(text or "") else ():
+            for a, b, _, _ in islands(text or "") if _TRIGGER.search(text or "") else ():
                 rows[hashlib.md5(text[a:b].encode("utf-8", "surrogatepass")).hexdigest()] = text[a:b]
         keep = sorted(rows)[:SAMPLE_ISLANDS]
         yield to_batch(schema, h=keep, island=[rows[h] for h in keep])
@@ -315,10 +339,12 @@ def spans_of(text: str | None, w: dict) -> list[Span]:
     if not text or not _TRIGGER.search(text):
         return []
     base = base_spans(text)
-    extra = []
-    for a, b in islands(text) if w else ():
+    extra: list[Span] = []
+    for a, b, own, last in islands(text) if w else ():
         lat = Lattice(text[a:b])
         for s, e, kind in decode(lat, w) if any(lat.into) else ():
+            if not own <= a + s < last or (extra and a + s < extra[-1][1]):
+                continue
             if not any(x < a + e and y > a + s for x, y, _ in base):
                 extra.append((a + s, a + e, "x_" + kind))
     order = {k: i for i, k in enumerate([*KINDS, *("x_" + k for k in KINDS)])}

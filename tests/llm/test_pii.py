@@ -52,3 +52,20 @@ def test_edges(docs, no_docs):
     text = {r.doc_id: r for r in out.collect()}
     assert text[10].text.startswith("mail [EMAIL] or [PHONE] token") and text[10].n_chars == len(text[10].text)
     assert text[4].text == "the cat sat on the mat and looked at the moon" and text[1].text is None
+
+
+def test_long_runs_are_read_to_their_end():
+    r = random.Random(3)
+    base = [x for i in range(60) for x in (f"by user.{i}@mail{i % 7}.example.com ok", f"at {r.randrange(9, 250)}.{r.randrange(250)}.{r.randrange(250)}.{r.randrange(250)} here", f"ring +1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)} today")]
+    w = P.train([(t, P.base_spans(t)) for t in base])
+    found = lambda t: [t[a:b] for a, b, k in P.spans_of(t, w) if k == "x_phone"]
+    for fill in ("k,", "abc;", "x" * 2_000 + ";"):
+        run = (fill * 5_000)[: 5_000 // len(fill) * len(fill)]
+        assert found(f"{run}tel:202-555-0143") == ["202-555-0143"]
+        assert found(f"{run}tel:202-555-0143;{run}") == ["202-555-0143"]
+    for shift in range(330, 480):  # over any place where the run was cut
+        t = "12, " * (shift // 4) + "a1b"[: shift % 4] + " tel: 202 555 0143 x1"
+        assert P.base_spans(t) == [] and found(t) == ["202 555 0143"], shift
+    atoms = P._ATOM.findall(t := "ab1," * 3_000)
+    got = list(P.islands(t))
+    assert got[0][0] == 0 and got[-1][1] == len(t) and all(x[3] == y[2] for x, y in zip(got, got[1:])) and len(atoms) > 1000
