@@ -6,9 +6,11 @@ On UTF-8 bytes that is exactly ``text.lower().split()`` of a Python ``bytes`` ob
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +18,19 @@ from pyspark.sql import functions as F
 
 #: Characters of text that Python-side operators turn into tokens at a time; a longer text is one chunk by itself.
 CHUNK_CHARS = 1 << 20
+#: Entries of a task's memory of words, and rows of a batch that are turned into Python objects at once.
+REMEMBER, ROWS = 150_000, 1000
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors see: ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="straitline-"))
 
 
@@ -56,6 +62,47 @@ def crc_mod(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+class Remembered(dict):
+    """Values of a function by key, for the life of a task: at most REMEMBER of them, then it starts anew."""
+
+    def __init__(self, of: Callable):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key):
+        if len(self) >= REMEMBER:
+            self.clear()
+        v = self[key] = self.of(key)
+        return v
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` over batches of at most ROWS rows; what the task has freed goes back to the system at its end.
+
+    Workers are reused from task to task, and the allocators would keep the pages of the largest task so far.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batch.slice(i, ROWS) for batch in batches for i in range(0, max(batch.num_rows, 1), ROWS))
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+@contextlib.contextmanager
+def broadcasting(spark: SparkSession, value) -> Iterator:
+    """A broadcast that executors drop when the block ends: for values that no later action reads."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.unpersist()
+
+
 def slices(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``limit`` characters, so a batch never holds all its tokens at once."""
     start = size = 0

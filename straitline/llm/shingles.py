@@ -11,22 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 
-from .common import slices, words
+from .common import Remembered, slices, words
 
 SIZE = 5
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN = 1_000_000  # words whose hash a task remembers
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -34,11 +22,17 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(texts: list) -> Iterator[np.ndarray]:
+def word_hashes() -> Remembered:
+    """Hashes of words; a task keeps one of these from batch to batch."""
+    return Remembered(xxhash.xxh3_64_intdigest)
+
+
+def shingle_sets(texts: list, hashes: Remembered | None = None) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than SIZE make one shingle, none make none."""
+    hashes = word_hashes() if hashes is None else hashes
     for a, b in slices(texts):
         tokens = [words(t) for t in texts[a:b]]
-        flat = np.array([_hashes[w] for ws in tokens for w in ws], dtype=np.uint64)
+        flat = np.array([hashes[w] for ws in tokens for w in ws], dtype=np.uint64)
         roll = np.zeros(max(len(flat) - SIZE + 1, 0), dtype=np.uint64)
         for i in range(SIZE):
             roll = roll * _MULT + flat[i : i + len(roll)]
