@@ -27,12 +27,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize
+from .common import bounded, column, discard, materialize
 from .components import components
-from .shingles import SIZE, shingle_sets
+from .shingles import SIZE, shingle_sets, word_hashes
 
 SHINGLE_WORDS = SIZE
 DIMS, PER_GROUP = 64, 12
@@ -41,7 +41,9 @@ LEAF, FAN = 16, 16
 #: Classes of a block and of a cluster that one task handles; beyond, tiles.
 BLOCK_LIMIT, CLUSTER_LIMIT = 4096, 2048
 MEAN_SHINGLES = 1000  # shingles of a cluster count as a member at least each, which bounds the memory of a task
-BLOOM_BITS = 1 << 24  # of the filter that spares unneeded texts; when it is full, more texts travel
+#: Bits of the filter that spares unneeded texts, for each class that needs one and at most; when it is full, more travel.
+BLOOM_PER_CLASS, BLOOM_BITS = 16, 1 << 28
+SALTS = 16  # shares of a class that a third of all rows may carry
 
 
 def need(n: np.ndarray, m: int) -> np.ndarray:
@@ -139,9 +141,9 @@ def overlap_verifier(sets: list[np.ndarray]):
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    total, hashes = np.zeros(1 << SKETCH_BITS, np.int64), word_hashes()
     for batch in batches:
-        for u in shingle_sets(column(batch, "text")):
+        for u in shingle_sets(column(batch, "text"), hashes):
             total += np.bincount((u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
     slots = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], names=["slot", "n"])
@@ -149,10 +151,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _describe(sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = sketch.value
+        rank, hashes = sketch.value, word_hashes()
         for batch in batches:
             ns, classes, rare, vecs = [], [], [], []
-            for u in shingle_sets(column(batch, "text")):
+            for u in shingle_sets(column(batch, "text"), hashes):
                 n = len(u)
                 ns.append(n)
                 classes.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes()))) if n else None)
@@ -250,19 +252,20 @@ def tiled(rows: DataFrame, group: str, limit: int) -> DataFrame:
     return rows.withColumn("_task", F.when(large, pair).otherwise(F.col(group))).select("class", "_task")
 
 
-def _bloom(rows: DataFrame, col: str) -> np.ndarray:
-    """Bits of a fixed-size filter over the values of ``col``: each task sends the slots it sets."""
+def _bloom(rows: DataFrame, col: str, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits over the values of ``col``: each task sends the bytes it sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS // 8, np.uint8)
+        own = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            h = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) % np.uint64(BLOOM_BITS)
-            np.bitwise_or.at(bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].astype(np.int64))], names=["at", "bits"])
-
-    got = rows.select(F.col(col).cast("long")).mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+            h = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(own, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        at = np.flatnonzero(own)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(own[at[i : i + 100_000]].astype(np.int64))], names=["at", "bits"])
+
+    got = rows.select(F.col(col).cast("long")).mapInArrow(bounded(run), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
     out[got.column("at").to_numpy()] = got.column("bits").to_numpy()
     return out
 
@@ -271,13 +274,11 @@ def _fetch(bloom):
     """Sets of the documents whose key may be needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bloom.value
+        bits, hashes = bloom.value, word_hashes()
         for batch in batches:
-            h = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) % np.uint64(BLOOM_BITS)
+            h = np.asarray(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64) % np.uint64(8 * len(bits))
             may = np.flatnonzero((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
-            texts = batch.column(1).take(pa.array(may)).to_pylist()
-            sets = [u for u in shingle_sets(texts)]
-            sets = [u for u in sets if len(u)]
+            sets = [u for u in shingle_sets(batch.column(1).take(pa.array(may)).to_pylist(), hashes) if len(u)]
             offsets = np.concatenate([[0], np.cumsum([len(u) for u in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             classes = pa.array([np.int64(np.uint64(xxhash.xxh3_64_intdigest(u.tobytes()))) for u in sets], pa.int64())
@@ -292,49 +293,64 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("binary").alias("text"))
     ranks = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in rows.select("text").mapInArrow(_sketch, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one number a slot
+    for r in rows.select("text").mapInArrow(bounded(_sketch), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # one number a slot
         ranks[r.slot] = r.n
-    described = materialize(rows.mapInArrow(_describe(sc.broadcast(ranks)), f"id {kind}, n long, class long, rare array<long>, vec binary"), "sets")
-
-    classes = described.where("class is not null").groupBy("class").agg(F.first("rare").alias("rare"))
-    met = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    blocks = materialize(classes.select("class", F.explode("rare").alias("key")).withColumn("_met", met).where("_met > 1"), "blocks")
-    vectors = described.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    sketch = sc.broadcast(ranks)
+    described = materialize(rows.mapInArrow(bounded(_describe(sketch)), f"id {kind}, n long, class long, rare array<long>, vec binary"), "sets")
+    sketch.unpersist()
+
+    some = described.where("class is not null")
+    keys = materialize(some.groupBy("class").agg(F.first("rare").alias("rare")).select("class", F.explode("rare").alias("key")), "keys")
+    # counted by an aggregation and joined back, so that no task holds all classes of a common shingle
+    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_met")).where("_met > 1")
+    blocks = keys.join(met, "key")
+    vectors = some.groupBy("class").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     tasks = tiled(blocks, "key", BLOCK_LIMIT).join(vectors, "class").select("_task", "class", "n", "vec")
     pairs = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_block_forests, "a long, b long").distinct(), "pairs")
-    discard(blocks)
+    discard(keys)
     clusters = materialize(components(pairs), "clusters")
 
-    reps = described.where("class is not null").groupBy("class").agg(F.min("id").alias("rep")).join(clusters.select(F.col("node").alias("class")), "class", "left_semi")
-    key = F.xxhash64("rep")
-    bloom = sc.broadcast(_bloom(reps.select(key.alias("h")), "h"))
-    fetched = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_fetch(bloom), "class long, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
+    reps = some.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    wanted = materialize(reps.join(clusters.select(F.col("node").alias("class")), "class", "left_semi"), "reps")
+    bits = 1 << 16
+    while bits < min(BLOOM_PER_CLASS * wanted.count(), BLOOM_BITS):
+        bits *= 2
+    bloom = sc.broadcast(_bloom(wanted.select(F.xxhash64("rep").alias("h")), "h", bits))
+    fetched = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(bounded(_fetch(bloom)), "class long, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
     named = clusters.withColumnRenamed("node", "class").join(vectors.select("class", "n"), "class")
     weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / F.lit(MEAN_SHINGLES)))  # long texts count as several
     tasks = tiled(named.join(named.groupBy("component").agg(weight.alias("_met")), "component"), "component", CLUSTER_LIMIT)
     tasks = tasks.join(fetched, "class").select("_task", "class", "set")
     links = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_cluster_forests, "a long, b long"), "links")
-
-    parts = components(links)
-    named = described.select("id", "n", "class").join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = named.join(least, "component", "left")
+    bloom.unpersist()
+
+    # the least id of a component goes to its linked classes, then to the rows of classes that are linked or have copies;
+    # both joins deal a hot key over SALTS shares
+    parts = components(links).withColumnRenamed("node", "class").join(wanted, "class")
+    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = lambda c: F.pmod(F.xxhash64(c, F.lit("salt")), F.lit(SALTS)).cast("int").alias("_salt")
+    linked = parts.select("class", "component", salt("class")).join(least.select("*", shares), ["component", "_salt"]).select("class", "component_id")
+    copied = reps.where("copies > 1").select("class", F.col("rep").alias("component_id"))
+    ids = linked.unionByName(copied).groupBy("class").agg(F.min("component_id").alias("component_id"))
+    out = described.select("id", "n", "class", salt("id")).join(ids.select("*", shares), ["class", "_salt"], "left")
     result = materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "near")
-    discard(described, pairs, clusters, links)
+    discard(described, pairs, clusters, wanted, links)
     return result
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of its smallest id. Rows without shingles, linked with nothing, all stay.
 
-    An id that several rows carry is rare; only of those rows the texts are compared, and equal rows count once.
+    An id that several rows carry is rare; only of those rows the texts are compared, and equal rows count once. Columns
+    may have any names.
     """
     near = near_classes(docs, id_col=id_col, text_col=text_col)
     keep = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")))
-    single = kept.where("_rows = 1").drop("_keep", "_rows")
-    several = kept.where("_rows > 1").withColumn("_text", F.xxhash64(docs[text_col])).dropDuplicates(["_keep", "_text"]).drop("_keep", "_rows", "_text")
-    return single.unionByName(several)
+    alias = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
+    kept = docs.select(*[docs[c].alias(a) for c, a in alias.items()]).join(keep, F.col(alias[id_col]).eqNullSafe(F.col("_keep")))
+    several = kept.where("_rows > 1").withColumn("_text", F.xxhash64(alias[text_col])).dropDuplicates(["_keep", "_text"]).drop("_text")
+    return kept.where("_rows = 1").unionByName(several).select(*[F.col(a).alias(c) for c, a in alias.items()])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
