@@ -1,17 +1,23 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts of up to MAX_ORDER words. A context enters when its next-word distribution diverges from
-that of its suffix. Its distribution gives own mass to the next words seen MIN_COUNT times after it and hands the rest,
-with a smoothing weight, to its suffix; at the root stands the add-one unigram with one slot for unknown words, so each
-distribution sums to one. A text's score adds log10 of the probability of each word, and of the end, given the longest
-suffix of the words before that is a node. The boundary before the first word is a context too.
+The tree's nodes are contexts of words, of any length up to MAX_ORDER. It grows by order: a context is tried where its
+suffix is a node and its own count is known, and becomes a node if its next-word distribution diverges enough from that of
+its suffix, both by occurrence (DIVERGENCE nats) and in all: the gain in log likelihood must pay half the logarithm of its
+count for each next word that it gives own mass to (the Bayesian information criterion), so few observations don't make a
+node. Growth ends at the order at which no context passes. A node's distribution gives own mass to the next words seen
+MIN_COUNT times after it and hands the rest, with a smoothing weight, to its suffix; at the root stands the add-one
+unigram with one slot for unknown words, so each distribution sums to one. A text's score adds log10 of the probability
+of each word, and of the end, given the longest suffix of the words before that is a node. The boundary before the first
+word is a context too.
 
 All counts are sums over every training row, and MIN_COUNT is absolute, so the tree grows with the corpus. A run of words
 (a gram) has as key the mix of the keys of its prefix and its suffix, so the context of a transition is its prefix, and
-what it backs off to is its suffix. In logarithms each order adds a term, so a text's score is a sum over its grams of one
-value each. Values are a table that is joined by a shuffle on keys. Two things are broadcast, both of bounded size: grams
-with a share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only saves their shuffle; and a bit set of keys,
-which lets a task drop grams that can't be in the table. It errs to the safe side only, so neither changes a score.
+what it backs off to is its suffix. A task sends its counts as sorted arrays of keys, one a bucket of the key space; the
+number of buckets follows the size of the corpus, so a bucket's size doesn't. In logarithms each order adds a term, so a
+text's score is a sum over its grams of one value each. Values are a table that is joined by a shuffle on keys. Two things
+are broadcast, both of bounded size: grams with a share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only
+saves their shuffle; and bit sets of keys, which let a task drop grams that can't be in a table. They err to the safe side
+only, so neither changes a score.
 
 Cases: a null or empty text is its end alone; repeated rows and ids are scored row by row; with nothing to train on,
 every probability is that of an empty unigram, 1; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +26,6 @@ every probability is that of an empty unigram, 1; an empty table gives an empty
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,48 +34,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, count_rows, crc_mod, materialize, slices, words
+from .common import Remembered, bounded, broadcasting, column, crc_mod, discard, materialize, slices, words
 
 #: Share of all tokens from which an entry is broadcast.
-P_TABLE = 1e-6
-MAX_ORDER, MIN_COUNT = 3, 2
+P_TABLE = 5e-7
+MAX_ORDER, MIN_COUNT = 6, 6
 #: Smoothing weight of the suffix, and least divergence in nats an occurrence that retains a context.
 ALPHA, DIVERGENCE = 4.0, 0.02
-#: Entries that a task counts before it emits them.
-FLUSH = 400_000
-#: Largest bit set of keys, and bits of a segment of it.
-SCREEN_BITS, SEGMENT = 1 << 29, 1 << 16
+#: Entries that a task counts before it emits them, and bytes of text for which a bucket of the key space is made.
+FLUSH, BUCKET_BYTES = 1_000_000, 1 << 24
+#: Bits of a bit set for each key and at most, and bits of a segment of it.
+SCREEN_PER_KEY, SCREEN_BITS, SEGMENT = 16, 1 << 29, 1 << 16
 END = b""  # the end of a text as a token; no word is empty
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema, counts = pa.schema([("word", pa.binary()), ("n", pa.int64())]), Counter()
-    for batch in batches:
-        texts = column(batch, "text")
-        counts[END] += len(texts)
-        for a, b in slices(texts):
-            for t in texts[a:b]:
-                counts.update(words(t))
-            if len(counts) > FLUSH:
-                yield from count_rows(counts, schema)
-                counts = Counter()
-    yield from count_rows(counts, schema)
-
-
-class Hashes(dict):
+def word_hashes() -> Remembered:
     """64-bit hash of each word, as the engine's xxhash64 has it."""
-
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > FLUSH:
-            self.clear()
-        h = self[w] = xxhash.xxh64_intdigest(w, 42)
-        return h
+    return Remembered(lambda w: xxhash.xxh64_intdigest(w, 42))
 
 
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 42))
 
 
-def encode(texts: list, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: list, hashes: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an END before the first text and after each; the length of each text with its end."""
     tokens, out = [words(t) for t in texts], [int(END_HASH)]
     for ws in tokens:
@@ -105,85 +91,121 @@ def grams(x: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 class Screen:
-    """A bit set of keys, of bounded size: has() is True for each of its keys and for some others."""
+    """A bit set of keys, two bits each, of bounded size: has() is True for each of its keys and for some others."""
 
-    def __init__(self, keys: DataFrame, rows: int):
-        bits = SEGMENT
-        while bits < min(8 * rows, SCREEN_BITS):
+    def __init__(self, keys: DataFrame):
+        rows, bits = keys.count(), SEGMENT
+        while bits < min(SCREEN_PER_KEY * rows, SCREEN_BITS):
             bits *= 2
         self.mask, self.bytes = np.uint64(bits - 1), np.zeros(bits // 8, np.uint8)
+        mask = self.mask
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             segments: dict[int, np.ndarray] = {}
             for batch in batches:
-                at = np.unique(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                cuts = np.flatnonzero(np.diff(at // SEGMENT)) + 1
-                for part in np.split(at, cuts) if len(at) else ():
-                    seg = segments.setdefault(int(part[0] // SEGMENT), np.zeros(SEGMENT, bool))
-                    seg[part % SEGMENT] = True
-                    if len(segments) > 512:
-                        yield rows_of(segments)
-                        segments = {}
+                own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                at = np.unique(np.concatenate([own & mask, (own >> SHIFT) & mask]).astype(np.int64))
+                for part in np.split(at, np.flatnonzero(np.diff(at // SEGMENT)) + 1) if len(at) else ():
+                    segments.setdefault(int(part[0] // SEGMENT), np.zeros(SEGMENT, bool))[part % SEGMENT] = True
+                if len(segments) > 512:
+                    yield rows_of(segments)
+                    segments = {}
             yield rows_of(segments)
 
         def rows_of(segments: dict) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(segments), pa.int64()), pa.array([np.packbits(s, bitorder="little").tobytes() for s in segments.values()], pa.binary())], names=["segment", "bits"])
 
-        at = keys.select(F.col("key").bitwiseAND(F.lit(bits - 1)).alias("at"))
-        dealt = at.repartition(F.shiftright("at", 16)) if rows > SEGMENT else at
-        for r in dealt.mapInArrow(run, "segment long, bits binary").toLocalIterator():
+        for r in keys.select("key").mapInArrow(run, "segment long, bits binary").toLocalIterator():
             a = r.segment * SEGMENT // 8
             self.bytes[a : a + SEGMENT // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & self.mask
-        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return self._bit(keys & self.mask) & self._bit((keys >> SHIFT) & self.mask)
 
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
-def count_grams(docs: DataFrame, screen, order: int) -> DataFrame:
-    """(key, ctx, sub, n) of the grams of ``order`` words and the next that occur MIN_COUNT times.
 
-    Prefix and suffix of such a gram occur as often, so a gram leaves early unless ``screen`` has both.
-    """
+SHIFT = np.uint64(32)  # keys are uniform, so their upper bits are a second hash
+
+
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of [key, payload .., n] arrays by key, sorted by key."""
+    key, *payload, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return [key[first], *[p[order[first]] for p in payload], np.add.reduceat(n[order], first) if len(first) else n]
+
+
+def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
+    """(key, n) of all words for order 0; (key, ctx, sub, n) of the grams of ``order`` words and the next that occur
+    MIN_COUNT times and have their prefix in the first of the broadcast ``screens`` and their suffix in the second."""
+    bits = np.uint64(max(buckets - 1, 1).bit_length())
+    names = ["ctx", "sub"] if order else ["key"]
+
+    def found(x: np.ndarray) -> list[np.ndarray]:
+        if not order:
+            key, n = np.unique(x[1:], return_counts=True)
+            return [key, n]
+        *_, (_, key, ctx, sub) = grams(x, order)
+        ok = screens.value[1].has(sub)
+        key, ctx, sub = key[ok], ctx[ok], sub[ok]
+        ok = screens.value[0].has(ctx)
+        return merged([[key[ok], ctx[ok], sub[ok], np.ones(int(ok.sum()), np.int64)]])
+
+    def packed(key: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+        """A row a bucket; inside, sorted by context, which compresses well."""
+        own = (key >> (np.uint64(64) - bits)).astype(np.int64)
+        *payload, n = rest
+        payload = payload or [key]
+        order_ = np.lexsort((payload[0], own))
+        own = own[order_]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
+        offsets = pa.array(np.append(first, len(own)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*[p[order_].view(np.int64) for p in payload], n[order_].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), *lists], names=["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hashes, parts, size = ["ctx", "sub", "n"], Hashes(), [], 0
-
-        def merged() -> list[np.ndarray]:
-            key, ctx, sub, n = (np.concatenate(x) for x in zip(*parts))
-            _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            return [key[first], ctx[first], sub[first], np.bincount(at, weights=n).astype(np.int64)]
-
-        def batch_of(p: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(p[1].view(np.int64)), pa.array(p[2].view(np.int64)), pa.array(p[3])], names=names)
-
+        hashes, parts, size = word_hashes(), [], 0
         for batch in batches:
             texts = column(batch, "text")
             for a, b in slices(texts):
-                x, _ = encode(texts[a:b], hashes)
-                *_, (_, key, ctx, sub) = grams(x, order)
-                ok = screen.value.has(ctx) & screen.value.has(sub)
-                key, ctx, sub = key[ok], ctx[ok], sub[ok]
-                k, first, n = np.unique(key, return_index=True, return_counts=True)
-                parts.append([k, ctx[first], sub[first], n])
-                size += len(k)
+                parts.append(found(encode(texts[a:b], hashes)[0]))
+                size += len(parts[-1][0])
                 if size > 2 * FLUSH:
-                    parts = [merged()]
+                    parts = [merged(parts)]
                     size = len(parts[0][0])
                     if size > FLUSH:
-                        yield batch_of(parts[0])
+                        yield packed(*parts[0])
                         parts, size = [], 0
         if parts:
-            yield batch_of(merged())
+            yield packed(*merged(parts))
 
-    counted = docs.mapInArrow(run, "ctx long, sub long, n long").groupBy("ctx", "sub").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, []
         for batch in batches:
-            ctx, sub = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(mix(ctx, sub).view(np.int64)), *batch.columns], names=["key", "ctx", "sub", "n"])
+            for i in range(batch.num_rows):
+                if (b := batch.column(0)[i].as_py()) != bucket and parts:
+                    yield from rows_of(parts)
+                    parts = []
+                bucket = b
+                *payload, n = (batch.column(c + 1)[i].values.to_numpy() for c in range(len(names) + 1))
+                payload = [p.view(np.uint64) for p in payload]
+                parts.append([mix(*payload), *payload, n.astype(np.int64)] if order else [payload[0], n.astype(np.int64)])
+        if parts:
+            yield from rows_of(parts)
 
-    return materialize(counted.mapInArrow(keyed, "key long, ctx long, sub long, n long"), f"pst-grams{order}")
+    def rows_of(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        *keys, n = merged(parts)
+        ok = n >= (MIN_COUNT if order else 1)
+        keys, n = [k[ok].view(np.int64) for k in keys], n[ok]
+        for i in range(0, len(n), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(names if order else ()), "n"])
+
+    kinds = ", ".join(f"{x} array<long>" for x in names)
+    dealt = docs.mapInArrow(bounded(run), f"bucket int, {kinds}, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(bounded(summed), f"key long, {'ctx long, sub long, ' if order else ''}n long")
 
 
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -195,120 +217,113 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Table:
-    """Words by descending count: id, count, hash. Id of END is ``end``."""
-
-    def __init__(self, rows: list[tuple[bytes, int]], total: int, distinct: int):
-        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-        ids = {bytes(w): i for i, (w, _) in enumerate(rows)}
-        self.counts = np.array([n for _, n in rows], dtype=np.int64)
-        self.hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in ids], dtype=np.uint64)
-        self.order = np.argsort(self.hashes)
-        self.sorted, self.total, self.distinct, self.end = self.hashes[self.order], total, distinct, ids.get(END, -1)
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Ids of hashes, or -1."""
-        at = lookup(self.sorted, x)
-        return np.where(at >= 0, self.order[np.maximum(at, 0)], -1) if len(self.order) else at
-
-
 class Model:
     """What is broadcast for scoring: frequent words, frequent grams with their values, a screen of the other grams."""
 
-    def __init__(self, table: Table, rows: pa.Table, screen: Screen):
-        keys, raised, weight = (rows.column(c).to_numpy() for c in ("key", "raised", "weight"))
-        keys = keys.astype(np.int64).view(np.uint64)
-        at = np.argsort(keys)
-        self.table, self.keys, self.raised, self.weight, self.screen = table, keys[at], raised[at].astype(float), weight[at].astype(float), screen
-        self.root = np.log10(table.counts + 1.0) - math.log10(table.total + table.distinct + 1)
-
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability by what is broadcast; a rare word, -1, lacks its root probability."""
-        x = np.where(ids >= 0, self.table.hashes[np.maximum(ids, 0)], np.uint64(0)) if len(self.table.hashes) else np.zeros(len(ids), np.uint64)
-        out = np.where(ids >= 0, self.root[np.maximum(ids, 0)], 0.0) if len(self.root) else np.zeros(len(ids))
-        for at, key, ctx, _ in grams(x, MAX_ORDER):
+    def __init__(self, vocab: pa.Table, total: int, distinct: int, values: pa.Table, screen: Screen, order: int):
+        def sorted_columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+            key, *rest = (t.column(c).to_numpy() for c in ("key", *names))
+            key = key.astype(np.int64).view(np.uint64)
+            at = np.argsort(key)
+            return [key[at], *[r[at] for r in rest]]
+
+        self.hashes, n = sorted_columns(vocab, "n")
+        self.keys, raised, weight = sorted_columns(values, "raised", "weight")
+        self.raised, self.weight, self.screen, self.total, self.distinct, self.order = raised.astype(float), weight.astype(float), screen, total, distinct, order
+        self.logs = np.log10(n + 1.0)
+        self.root = self.logs - math.log10(total + distinct + 1)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token but the first, by what is broadcast, for token hashes; a word that is not
+        broadcast lacks its root probability."""
+        i = lookup(self.hashes, x)
+        out = np.where(i >= 0, self.root[np.maximum(i, 0)], 0.0) if len(self.root) else np.zeros(len(x))
+        for at, key, ctx, _ in grams(x, self.order):
             for values, wanted in ((self.raised, key), (self.weight, ctx)):
                 i = lookup(self.keys, wanted)
                 out[at[i >= 0]] += values[i[i >= 0]]
         return out[1:]
 
 
-def learn(train: DataFrame) -> tuple[Model, DataFrame, int, int, DataFrame]:
-    """(model, vocabulary (word, h, n), tokens, distinct tokens, values (key, value)) of rows (text binary)."""
-    sc = train.sparkSession.sparkContext
-    vocab = train.mapInArrow(_count_words, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-    vocab = materialize(vocab.select("word", F.xxhash64("word").alias("h"), "n"), "pst-vocab")
-    total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = max(1.0, P_TABLE * total)
-    rows = [(r.word, r.n) for r in vocab.where(F.col("n") >= often).select("word", "n").collect()]
-    norm, weights, raised = math.log10(total + distinct + 1), [], []
-    # (key, n, s): count of each gram and log10 probability of its last word after the words before
-    below = vocab.where(F.col("n") >= MIN_COUNT).select(F.col("h").alias("key"), "n", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))
+def grow(train: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple[DataFrame | None, int]:
+    """(values (key, n, raised, weight) of all nodes and their transitions, depth of the tree); None for a bare root."""
+    spark, values, depth = train.sparkSession, None, 0
+    counted = vocab.where(F.col("n") >= MIN_COUNT)
+    live = counted.select("key", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))  # log10 probability in the order below
     for order in range(1, MAX_ORDER + 1):
-        found = count_grams(train, sc.broadcast(Screen(below, below.count())), order)
-        own = found.groupBy("ctx").agg(F.sum("n").alias("own"))
-        seen = below.select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
+        with broadcasting(spark, (Screen(counted), Screen(live))) as screens:
+            found = count(train, order, buckets, screens)
+            t = materialize(found.join(live.select(F.col("key").alias("sub"), F.col("s").alias("below")), "sub").select("key", "ctx", "n", "below"), f"pst-order{order}")
+        seen = counted.select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
         rest = F.greatest(F.col("seen") - F.col("own"), F.lit(0))
-        contexts = own.join(seen, "ctx").select("ctx", "seen", rest.cast("double").alias("rest"), F.log10((ALPHA + rest) / (F.col("seen") + ALPHA)).alias("weight"))
-        t = found.join(below.select(F.col("key").alias("sub"), F.col("s").alias("below")), "sub").join(contexts, "ctx")
+        contexts = t.groupBy("ctx").agg(F.sum("n").alias("own")).join(seen, "ctx")
+        contexts = contexts.select("ctx", "seen", rest.cast("double").alias("rest"), F.log10((ALPHA + rest) / (F.col("seen") + ALPHA)).alias("weight"))
         logp = F.log10((F.col("n") + (ALPHA + F.col("rest")) * F.pow(F.lit(10.0), "below")) / (F.col("seen") + ALPHA))
-        t = materialize(t.select("key", "ctx", "n", "below", "seen", "rest", "weight", logp.alias("logp")), f"pst-order{order}")
-        gain = t.groupBy("ctx").agg(F.sum(F.col("n") * (F.col("logp") - F.col("below"))).alias("gain"), *[F.first(c).alias(c) for c in ("seen", "rest", "weight")])
-        kept = (F.col("gain") + F.col("rest") * F.col("weight")) * math.log(10) >= DIVERGENCE * F.col("seen")
-        nodes = materialize(gain.where(kept).select(F.col("ctx").alias("key"), F.col("seen").alias("n"), "weight"), f"pst-nodes{order}")
-        t = t.join(nodes.select(F.col("key").alias("ctx"), F.lit(True).alias("node")), "ctx", "left")
-        node = F.coalesce("node", F.lit(False))
-        t = t.select("key", "n", F.when(node, F.col("logp")).otherwise(F.col("below")).alias("s"), F.when(node, F.col("logp") - F.col("below") - F.col("weight")).otherwise(F.lit(0.0)).alias("raised"))
-        below = materialize(t, f"pst-scores{order}")
-        weights.append(nodes.select("key", "n", F.lit(0.0).alias("raised"), "weight"))
-        raised.append(below.where("raised <> 0").select("key", "n", "raised", F.lit(0.0).alias("weight")))
-    values = raised[0]
-    for part in [*raised[1:], *weights]:
-        values = values.unionByName(part)
+        gain = t.join(contexts, "ctx").groupBy("ctx").agg(F.sum(F.col("n") * (logp - F.col("below"))).alias("gain"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("seen", "rest", "weight")])
+        nats = (F.col("gain") + F.col("rest") * F.col("weight")) * math.log(10)
+        kept = (nats >= DIVERGENCE * F.col("seen")) & (nats >= 0.5 * F.col("k") * F.log("seen"))
+        nodes = materialize(gain.where(kept).select("ctx", "seen", "rest", "weight"), f"pst-nodes{order}")
+        own = t.join(nodes, "ctx").select("key", "n", logp.alias("s"), (logp - F.col("below") - F.col("weight")).alias("raised"))
+        own = materialize(own, f"pst-live{order}")
+        if not own.take(1):
+            discard(t, nodes, own)
+            break
+        depth = order
+        counted, live = t.select("key", "n"), own.select("key", "s")
+        new = own.select("key", "n", "raised", F.lit(0.0).alias("weight")).unionByName(nodes.select(F.col("ctx").alias("key"), F.col("seen").alias("n"), F.lit(0.0).alias("raised"), "weight"))
+        values = new if values is None else values.unionByName(new)
+    return values, depth
+
+
+def learn(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """(model, vocabulary (key, n), values (key, value) that are not broadcast) of rows (text binary)."""
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(8, size // BUCKET_BYTES)
+    vocab = materialize(count(train, 0, buckets), "pst-vocab")
+    total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    often = max(1.0, P_TABLE * total)
+    values, depth = grow(train, vocab, math.log10(total + distinct + 1), buckets)
+    if values is None:
+        values = vocab.limit(0).select("key", "n", F.lit(0.0).alias("raised"), F.lit(0.0).alias("weight"))
     values = materialize(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("raised").alias("raised"), F.sum("weight").alias("weight")), "pst-values")
     rare = values.where(F.col("n") < often).select("key", (F.col("raised") + F.col("weight")).alias("value"))
-    model = Model(Table(rows, total, distinct), values.where(F.col("n") >= often).toArrow(), Screen(rare, rare.count()))
-    return model, vocab, total, distinct, rare
-
-
-def fit(train: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """(model, vocabulary (word, h, n), tokens, distinct tokens) of rows (text binary)."""
-    return learn(train)[:4]
+    model = Model(vocab.where(F.col("n") >= often).toArrow(), total, distinct, values.where(F.col("n") >= often).toArrow(), Screen(rare), depth)
+    return model, vocab, rare
 
 
-def by_text(owner: np.ndarray, keys: np.ndarray, texts: int) -> pa.StructArray:
+def by_text(owner: np.ndarray, keys: np.ndarray, texts: int) -> list[pa.ListArray]:
     """For each text the distinct keys and how often it has them, as two lists."""
     at = np.lexsort((keys, owner))
     owner, keys = owner[at], keys[at]
     new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.empty(0, np.int64)
     n = np.diff(np.concatenate([new, [len(keys)]]))
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=texts))]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[new].view(np.int64), n.astype(np.int64))]
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[new].view(np.int64), n.astype(np.int32))]
 
 
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_when: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     train_when = F.lit(True) if train_when is None else train_when
     rows = docs.select(docs[id_col].alias("id"), (~train_when).alias("held_out"), docs[text_col].cast("binary").alias("text"))
-    model, vocab, total, distinct, values = learn(rows.where(~F.col("held_out")).select("text"))
+    model, vocab, values = learn(rows.where(~F.col("held_out")).select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    total, norm = model.total, math.log10(model.total + model.distinct + 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = shared.value, Hashes()
-        logs, both = np.log10(m.table.counts + 1.0), m.raised + m.weight
+        m, hashes = shared.value, word_hashes()
+        both = m.raised + m.weight
         for batch in batches:
             texts = column(batch, "text")
             for a, b in slices(texts):
                 x, lengths = encode(texts[a:b], hashes)
                 starts, owner = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(b - a), lengths)
-                ids = m.table.find(x[1:])
+                ids = lookup(m.hashes, x[1:])
                 known = ids >= 0
-                base = np.where(known, logs[np.maximum(ids, 0)], 0.0) if len(logs) else np.zeros(len(ids))
-                tokens = np.where(known, m.root[np.maximum(ids, 0)], 0.0) if len(logs) else np.zeros(len(ids))
+                base = np.where(known, m.logs[np.maximum(ids, 0)], 0.0) if len(m.logs) else np.zeros(len(ids))
                 # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
                 owners, keys = [owner], [x[:-1]]
-                for at, key, _, _ in grams(x, MAX_ORDER):
+                for at, key, _, _ in grams(x, m.order):
                     owners.append(owner[at - 1])
                     keys.append(key)
                 who, key = np.concatenate(owners), np.concatenate(keys)
@@ -317,29 +332,25 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 extra = np.bincount(who[hit], weights=both[at[hit]], minlength=b - a) if len(both) else np.zeros(b - a)
                 may = ~hit & m.screen.has(key)
                 lists = [*by_text(owner[~known], x[1:][~known], b - a), *by_text(who[may], key[may], b - a)]
-                sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base, tokens)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *map(pa.array, sums[:2]), pa.array(sums[2] + extra), *lists], names=["id", "held_out", "n_tokens", "n_known", "base", "score", "rare_h", "rare_n", "gram_h", "gram_n"])
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare_h array<long>, rare_n array<long>, gram_h array<long>, gram_n array<long>"
-    scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "pst-scored")
-    pairs = lambda kind: scored.select("row", F.explode(F.arrays_zip(f"{kind}_h", f"{kind}_n")).alias("r")).select("row", F.col(f"r.{kind}_h").alias("h"), F.col(f"r.{kind}_n").alias("c"))
-    counted = pairs("rare").join(vocab.where(F.col("n") < max(1.0, P_TABLE * total)).select("h", "n"), "h")
-    counted = counted.select("row", F.col("c").alias("known"), (F.col("c") * F.log10(F.col("n") + 1.0)).alias("log"), F.lit(0.0).alias("value"))
-    valued = pairs("gram").join(values.withColumnRenamed("key", "h"), "h")
-    valued = valued.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), (F.col("c") * F.col("value")).alias("value"))
-    sums = counted.unionByName(valued).groupBy("row").agg(F.sum("known").alias("_known"), F.sum("log").alias("_log"), F.sum("value").alias("_value"))
-    out = scored.drop("rare_h", "rare_n", "gram_h", "gram_n").join(sums, "row", "left")
-    norm = math.log10(total + distinct + 1)
-    log, n = F.coalesce("_log", F.lit(0.0)), F.col("n_tokens")
-    rare_tokens = n - F.col("n_known")
+                sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *map(pa.array, sums), pa.array(extra.astype(float)), *lists], names=["id", "held_out", "n_tokens", "n_known", "base", "extra", "rare_h", "rare_n", "gram_h", "gram_n"])
+
+    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, extra double, rare_h array<long>, rare_n array<int>, gram_h array<long>, gram_n array<int>"
+    scored = materialize(rows.mapInArrow(bounded(run), schema).withColumn("row", F.monotonically_increasing_id()), "pst-scored")
+    pairs = lambda kind: scored.select("row", F.explode(F.arrays_zip(f"{kind}_h", f"{kind}_n")).alias("r")).select("row", F.col(f"r.{kind}_h").alias("key"), F.col(f"r.{kind}_n").alias("c"))
+    counted = pairs("rare").join(vocab.where(F.col("n") < max(1.0, P_TABLE * total)), "key")
+    counted = counted.groupBy("row").agg(F.sum("c").alias("known"), F.sum(F.col("c") * F.log10(F.col("n") + 1.0)).alias("log"))
+    valued = pairs("gram").join(values, "key").groupBy("row").agg(F.sum(F.col("c") * F.col("value")).alias("value"))
+    out = scored.drop("rare_h", "rare_n", "gram_h", "gram_n").join(counted, "row", "left").join(valued, "row", "left")
+    base = F.col("base") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"),
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + log - n * F.lit(norm)).alias("base_score"),
-        (F.col("score") + log - rare_tokens * F.lit(norm) + F.coalesce("_value", F.lit(0.0))).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("extra") + F.coalesce("value", F.lit(0.0))).alias("score"),
     )
 
 

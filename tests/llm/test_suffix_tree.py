@@ -37,12 +37,13 @@ def test_counts_base_and_distributions(make):
         assert abs(r.base_score - base) < 1e-9
     unseen = [r for r in rows if r.held_out]
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) + 10
-    model, _, total, distinct = P.fit(docs.select(F.col("text").cast("binary").alias("text")))
-    t = model.table
-    root = 10.0 ** model.root
-    for ctx in ((t.end,), (t.end, 1), (0, 1), (1, 2), (2, 0)):
-        own = sum(10 ** model.score(np.array([*ctx, w]))[-1] for w in range(len(root)))
-        rest = 10 ** model.score(np.array([*ctx, -1]))[-1] * (1 - root.sum())
+    model = P.learn(docs.select(F.col("text").cast("binary").alias("text")))[0]
+    assert model.order > 1
+    code = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    for ctx in ("", "the", "quick brown", "jumps over the", "over the lazy"):
+        ctx = [P.END_HASH, *map(code, ctx.split())]
+        own = sum(10 ** model.score(np.array([*ctx, w], dtype=np.uint64))[-1] for w in model.hashes)
+        rest = 10 ** model.score(np.array([*ctx, 1], dtype=np.uint64))[-1] * (1 - (10.0**model.root).sum())
         assert abs(own + rest - 1) < 1e-9
 
 
@@ -62,10 +63,7 @@ def brute_score(text, train):
         x = [b"", *t.encode().split(), b""]
         c.update(tuple(x[i : i + k]) for k in range(1, P.MAX_ORDER + 2) for i in range(len(x) - k + 1) if k > 1 or i)
     total, kinds = sum(n for g, n in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
-    after = {}
-    for g, n in c.items():
-        if len(g) > 1 and n >= P.MIN_COUNT:
-            after.setdefault(g[:-1], {})[g[-1]] = n
+    nodes, after = {()}, {}
 
     def prob(ctx, w):
         if not ctx:
@@ -75,24 +73,32 @@ def brute_score(text, train):
         rest = c[ctx] - sum(after[ctx].values())
         return (after[ctx].get(w, 0) + (P.ALPHA + rest) * prob(ctx[1:], w)) / (c[ctx] + P.ALPHA)
 
-    nodes = set()
-    for ctx in sorted(after, key=len):
-        nodes.add(ctx)
-        rest = c[ctx] - sum(after[ctx].values())
-        gain = sum(n * math.log(prob(ctx, w) / prob(ctx[1:], w)) for w, n in after[ctx].items()) + rest * math.log((P.ALPHA + rest) / (c[ctx] + P.ALPHA))
-        if gain < P.DIVERGENCE * c[ctx]:
-            nodes.remove(ctx)
+    counted = {g for g, n in c.items() if len(g) == 1 and n >= P.MIN_COUNT}
+    for order in range(1, P.MAX_ORDER + 1):
+        tried = {g for g, n in c.items() if len(g) == order + 1 and n >= P.MIN_COUNT and g[:-1] in counted and g[1:] in counted and (order == 1 or g[1:-1] in nodes)}
+        for g in tried:
+            after.setdefault(g[:-1], {})[g[-1]] = c[g]
+        for ctx in {g[:-1] for g in tried}:
+            nodes.add(ctx)
+            rest = c[ctx] - sum(after[ctx].values())
+            gain = sum(n * math.log(prob(ctx, w) / prob(ctx[1:], w)) for w, n in after[ctx].items()) + rest * math.log((P.ALPHA + rest) / (c[ctx] + P.ALPHA))
+            if gain < P.DIVERGENCE * c[ctx] or gain < 0.5 * len(after[ctx]) * math.log(c[ctx]):
+                nodes.remove(ctx)
+        counted = tried
     x = [b"", *text.encode().split(), b""]
-    return sum(math.log10(prob(tuple(x[max(0, i - P.MAX_ORDER) : i]), x[i])) for i in range(1, len(x)))
+    depth = max(map(len, nodes))
+    return sum(math.log10(prob(tuple(x[max(0, i - P.MAX_ORDER) : i]), x[i])) for i in range(1, len(x))), depth
 
 
 def test_rare_contexts_and_next_words_keep_their_mass(make, monkeypatch):
     """Words, contexts and transitions below every share of the tokens count as the frequent ones do."""
     r = np.random.default_rng(8)
-    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 12) if x < 90)) for i in range(150)] + [(i, "one rare run of words") for i in (150, 151)]
+    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 12) if x < 90)) for i in range(150)] + [(i, "one rare run of words that comes again") for i in range(150, 170)]
     docs = make(texts)
     train = [t for _, t in texts]
+    monkeypatch.setattr(P, "MIN_COUNT", 2)
+    assert brute_score("w1", train)[1] > 2
     for share in (P.P_TABLE, 0.02, 1.0):  # all broadcast, some, none
         monkeypatch.setattr(P, "P_TABLE", share)
         got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
-        assert max(abs(got[i] - brute_score(t, train)) for i, t in texts[::10] + texts[-1:]) < 1e-9, share
+        assert max(abs(got[i] - brute_score(t, train)[0]) for i, t in texts[::10] + texts[-1:]) < 1e-9, share
