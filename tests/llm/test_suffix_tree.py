@@ -97,7 +97,7 @@ def test_rare_contexts_and_next_words_keep_their_mass(make, monkeypatch):
     docs = make(texts)
     train = [t for _, t in texts]
     monkeypatch.setattr(P, "MIN_COUNT", 2)
-    assert brute_score("w1", train)[1] > 2
+    assert brute_score("w1", train)[1] > 1
     for share in (P.P_TABLE, 0.02, 1.0):  # all broadcast, some, none
         monkeypatch.setattr(P, "P_TABLE", share)
         got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
