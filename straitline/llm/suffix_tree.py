@@ -101,23 +101,30 @@ class Screen:
         mask = self.mask
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            segments: dict[int, np.ndarray] = {}
+            own = np.zeros(bits // 8, np.uint8)
             for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                at = np.unique(np.concatenate([own & mask, (own >> SHIFT) & mask]).astype(np.int64))
-                for part in np.split(at, np.flatnonzero(np.diff(at // SEGMENT)) + 1) if len(at) else ():
-                    segments.setdefault(int(part[0] // SEGMENT), np.zeros(SEGMENT, bool))[part % SEGMENT] = True
-                if len(segments) > 512:
-                    yield rows_of(segments)
-                    segments = {}
-            yield rows_of(segments)
-
-        def rows_of(segments: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(segments), pa.int64()), pa.array([np.packbits(s, bitorder="little").tobytes() for s in segments.values()], pa.binary())], names=["segment", "bits"])
-
-        for r in keys.select("key").mapInArrow(run, "segment long, bits binary").toLocalIterator():
-            a = r.segment * SEGMENT // 8
-            self.bytes[a : a + SEGMENT // 8] |= np.frombuffer(bytes(r.bits), np.uint8)
+                key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                for at in (key & mask, (key >> SHIFT) & mask):
+                    np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            yield from rows_of(own)
+
+        def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(bits // 8, np.uint8)
+            for batch in batches:
+                for segment, part in zip(column(batch, "segment"), column(batch, "bits")):
+                    own[segment * size : (segment + 1) * size] |= np.frombuffer(part, np.uint8)
+            yield from rows_of(own)
+
+        def rows_of(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+            parts = own.reshape(-1, size)
+            some = np.flatnonzero(parts.any(1))
+            for i in range(0, max(len(some), 1), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64], pa.int64()), pa.array([parts[j].tobytes() for j in some[i : i + 64]], pa.binary())], names=["segment", "bits"])
+
+        size = SEGMENT // 8
+        sent = keys.select("key").mapInArrow(bounded(run), "segment long, bits binary").repartition("segment").mapInArrow(bounded(either), "segment long, bits binary")
+        for r in sent.toLocalIterator():
+            self.bytes[r.segment * size : (r.segment + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         return self._bit(keys & self.mask) & self._bit((keys >> SHIFT) & self.mask)
@@ -129,6 +136,21 @@ class Screen:
 SHIFT = np.uint64(32)  # keys are uniform, so their upper bits are a second hash
 
 
+def pack(v: np.ndarray) -> bytes:
+    """Keys as bytes: a table of the distinct ones and two bytes for each where that is shorter."""
+    table, code = np.unique(v, return_inverse=True)
+    if len(table) <= 1 << 16 and 8 * len(table) < 6 * len(v):
+        return len(table).to_bytes(4, "little") + table.tobytes() + code.astype(np.uint16).tobytes()
+    return bytes(4) + v.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    size = int.from_bytes(b[:4], "little")
+    if not size:
+        return np.frombuffer(b, np.uint64, offset=4)
+    return np.frombuffer(b, np.uint64, size, 4)[np.frombuffer(b, np.uint16, offset=4 + 8 * size)]
+
+
 def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Sums of [key, payload .., n] arrays by key, sorted by key."""
     key, *payload, n = (np.concatenate(x) for x in zip(*parts))
@@ -162,9 +184,9 @@ def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
         order_ = np.lexsort((payload[0], own))
         own = own[order_]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-        offsets = pa.array(np.append(first, len(own)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (*[p[order_].view(np.int64) for p in payload], n[order_].astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), *lists], names=["bucket", *names, "n"])
+        columns = [[pack(x) for x in np.split(p[order_], first[1:])] if len(own) else [] for p in payload]
+        counts = [x.astype(np.uint8 if x.max() < 256 else np.int64).tobytes() for x in np.split(n[order_], first[1:])] if len(own) else []
+        return pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in (*columns, counts)]], names=["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts, size = word_hashes(), [], 0
@@ -190,9 +212,10 @@ def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
                     yield from rows_of(parts)
                     parts = []
                 bucket = b
-                *payload, n = (batch.column(c + 1)[i].values.to_numpy() for c in range(len(names) + 1))
-                payload = [p.view(np.uint64) for p in payload]
-                parts.append([mix(*payload), *payload, n.astype(np.int64)] if order else [payload[0], n.astype(np.int64)])
+                *payload, n = (batch.column(c + 1)[i].as_py() for c in range(len(names) + 1))
+                payload = [unpack(p) for p in payload]
+                n = np.frombuffer(n, np.uint8 if len(n) == len(payload[0]) else np.int64).astype(np.int64)
+                parts.append([mix(*payload), *payload, n] if order else [payload[0], n])
         if parts:
             yield from rows_of(parts)
 
@@ -203,8 +226,8 @@ def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
         for i in range(0, len(n), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(names if order else ()), "n"])
 
-    kinds = ", ".join(f"{x} array<long>" for x in names)
-    dealt = docs.mapInArrow(bounded(run), f"bucket int, {kinds}, n array<int>").repartition("bucket").sortWithinPartitions("bucket")
+    kinds = ", ".join(f"{x} binary" for x in (*names, "n"))
+    dealt = docs.mapInArrow(bounded(run), f"bucket int, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(bounded(summed), f"key long, {'ctx long, sub long, ' if order else ''}n long")
 
 
@@ -247,7 +270,7 @@ class Model:
 
 def grow(train: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple[DataFrame | None, int]:
     """(values (key, n, raised, weight) of all nodes and their transitions, depth of the tree); None for a bare root."""
-    spark, values, depth = train.sparkSession, None, 0
+    spark, values, depth, last = train.sparkSession, None, 0, train
     counted = vocab.where(F.col("n") >= MIN_COUNT)
     live = counted.select("key", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))  # log10 probability in the order below
     for order in range(1, MAX_ORDER + 1):
@@ -269,6 +292,8 @@ def grow(train: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple
             discard(t, nodes, own)
             break
         depth = order
+        discard(last)
+        last = t
         counted, live = t.select("key", "n"), own.select("key", "s")
         new = own.select("key", "n", "raised", F.lit(0.0).alias("weight")).unionByName(nodes.select(F.col("ctx").alias("key"), F.col("seen").alias("n"), F.lit(0.0).alias("raised"), "weight"))
         values = new if values is None else values.unionByName(new)
