@@ -38,7 +38,7 @@ from .common import Remembered, bounded, broadcasting, column, crc_mod, discard,
 
 #: Share of all tokens from which an entry is broadcast.
 P_TABLE = 5e-7
-MAX_ORDER, MIN_COUNT = 4, 4
+MAX_ORDER, MIN_COUNT = 3, 12
 #: Smoothing weight of the suffix, and least divergence in nats an occurrence that retains a context.
 ALPHA, DIVERGENCE = 4.0, 0.02
 #: Entries that a task counts before it emits them, and bytes of text for which a bucket of the key space is made.
