@@ -1,22 +1,25 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts and items are sequences of normalised words (lower-cased runs of letters and digits). Over every text slide windows
-of the size of each item. The CGK random walk reads a sequence, emits the symbol under its pointer at each step and
-advances the pointer by a random bit of (step, symbol): two sequences at edit distance e meet again after few steps, so
-their embeddings are at a small Hamming distance. Bit sampling keeps some random steps of each of several walks; a window
-and an item of equal size that agree on all bits of one repeat are a candidate pair, and their exact edit distance is
-computed. Edits grow with the size of an item and walks drift apart, so steps and repeats are chosen for each size: walks
-over pairs with exactly the allowed edits are measured, and the repeats are as many as find RECALL of them and a margin.
-
-Before the walk a lossless screen removes windows: within distance e of an item of m words, a window has at least m - e
-words that occur in the items, and in the items of m words. It costs two running sums.
-
-Items are broadcast in groups of at most ITEM_GROUP words, a fixed bound; more items mean more passes over the texts, so
-the state of a pass never grows.
-
-Cases: null and empty texts match nothing; items of fewer than MIN_WORDS words are left out, as any text may hold them by
-chance; a text that ends within a window is padded, which costs an edit per missing word; ties of the distance go to the
-first window; repeated rows are matched each; repeated item ids are items of their own; empty tables give an empty result.
+Texts and items are sequences of normalised words (lower-cased runs of letters and digits). An item of m words matches a
+text at a place if some run of words that begins there is within ``allowed(m)`` edits of it: a fifth of m, none below
+FUZZY words, which are matched exactly. Over every text slide windows of the size of each item. The CGK random walk reads
+a window, padded without end, emits the symbol under its pointer at each of 3 m steps and advances the pointer by a random
+bit of (step, symbol): two sequences at a small edit distance meet again after few steps, so their embeddings are at a
+small Hamming distance. Bit sampling keeps some random steps of the whole walk, in each of several walks; a window and an
+item of equal size that agree on all bits of one repeat are a candidate pair, and their exact edit distance is computed.
+Edits grow with the size of an item and walks drift apart, so bits and repeats are chosen for each size: walks over pairs
+with exactly the allowed edits (anywhere, in either half, in one burst, substitutions, insertions, deletions and mixtures)
+are measured, and the repeats are as many as find MEASURED of every kind.
+
+Before the walk a lossless screen removes windows: an edit breaks at most two pairs of neighbouring words, so a match with
+e edits holds at least m - 1 - 2 e of the item's pairs within m + e words. Only places with enough such pairs are walked.
+
+Items are broadcast in groups of at most ITEM_GROUP words, a fixed bound; more items mean more passes over the texts, each
+written before the next begins, so the state of a pass never grows.
+
+Cases: null and empty texts and items match nothing; an item of one word matches every text that holds it; a text that
+ends within a window is padded; ties of the distance go to the first window; repeated rows are matched each; repeated item
+ids are items of their own; empty tables give an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -31,14 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import bounded, column, discard, materialize, slices
 
 SIMILARITY = 0.8
-MIN_WORDS = 8
+FUZZY = 8  # words from which an item may be edited
 #: Share of the pairs at the allowed distance that is found, and the measured share that is asked for.
-RECALL, MEASURED = 0.95, 0.98
+RECALL, MEASURED = 0.95, 0.985
 #: Steps that a repeat samples and most repeats, in the order of preference; pairs of each kind that are measured.
-PLANS, PAIRS = ((3, 32), (2, 32), (1, 64)), 400
+PLANS, PAIRS = ((4, 24), (3, 32), (2, 48), (1, 96)), 200
+KINDS = ("anywhere", "head", "tail", "burst", "insertions", "deletions", "mixed")
 ITEM_GROUP = 1_000_000
 TABLE_BYTES = 32 << 20
 _WORDS = re.compile(r"[^\W_]+")
@@ -50,7 +54,7 @@ def text_words(text: str | None) -> list[str]:
 
 def allowed(m: int) -> int:
     """Edits that an item of m words allows."""
-    return int(round(m * (1 - SIMILARITY), 9))
+    return int(round(m * (1 - SIMILARITY), 9)) if m >= FUZZY else 0
 
 
 def walk_bits(code: np.ndarray, salt: np.ndarray, step: int) -> np.ndarray:
@@ -58,54 +62,72 @@ def walk_bits(code: np.ndarray, salt: np.ndarray, step: int) -> np.ndarray:
     return (((code ^ salt) * np.uint64(0x9E3779B97F4A7C15 + 2 * step)) >> np.uint64(63)).astype(np.int8)
 
 
-def edited_pairs(m: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences of m random symbols, and each after exactly allowed(m) edits: half by substitutions, half by any edits."""
-    a = rng.integers(0, 1 << 64, (2 * PAIRS, m), dtype=np.uint64)
-    b, new = a.copy(), iter(rng.integers(0, 1 << 64, 2 * PAIRS * (allowed(m) + 2 * m), dtype=np.uint64))
-    for i in range(2 * PAIRS):
-        if i < PAIRS:
-            for at in rng.choice(m, allowed(m), replace=False):
-                b[i, at] = next(new)
-            continue
-        x = list(a[i])
-        for kind, at in zip(rng.integers(0, 3, allowed(m)), rng.random(allowed(m))):
-            at = int(at * len(x))
-            if kind == 0:
-                x[at] = next(new)
-            elif kind == 1:
-                x.insert(at, next(new))
-            else:
-                x.pop(at)
-        b[i] = (x + [next(new) for _ in range(m - len(x))])[:m]
-    return a, b
+def edited(x: list, kind: str, e: int, rng: np.random.Generator, new) -> list:
+    """``x`` after e edits of a kind; ``new()`` gives symbols to write."""
+    m, y = len(x), list(x)
+    if kind in ("anywhere", "head", "tail", "burst"):
+        lo, hi = {"head": (0, max(m // 2, e)), "tail": (m - max(m // 2, e), m)}.get(kind, (0, m))
+        at = int(rng.integers(0, m - e + 1))
+        for i in range(at, at + e) if kind == "burst" else lo + rng.choice(hi - lo, e, replace=False):
+            y[i] = new()
+        return y
+    for _ in range(e):
+        do = {"insertions": 1, "deletions": 2}.get(kind, int(rng.integers(0, 3)))
+        at = int(rng.integers(0, len(y)))
+        if do == 0:
+            y[at] = new()
+        elif do == 1:
+            y.insert(at, new())
+        else:
+            y.pop(at)
+    return y
+
+
+def edited_pairs(m: int, e: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences of m random symbols, and the windows of m words that each becomes by exactly e edits: PAIRS of each
+    kind; what follows the passage fills the window."""
+    new = lambda: rng.integers(0, 1 << 64, dtype=np.uint64)
+    a = rng.integers(0, 1 << 64, (len(KINDS) * PAIRS, m), dtype=np.uint64)
+    b = [edited(list(x), KINDS[i // PAIRS], e, rng, new) for i, x in enumerate(a)]
+    return a, np.array([(y + [new() for _ in range(m - len(y))])[:m] for y in b], dtype=np.uint64)
 
 
 SALTS = np.random.default_rng(5).integers(0, 1 << 63, max(n for _, n in PLANS), dtype=np.uint64)  # of the walks
 
 
 @lru_cache(maxsize=None)
-def plan_of(m: int) -> tuple[np.ndarray, ...]:
-    """Steps that each repeat samples so that walks over m words find a share of MEASURED of each kind of edited pairs."""
+def plan_of(m: int, e: int) -> tuple[np.ndarray, ...]:
+    """Steps that each repeat samples so that walks over m words find a share of MEASURED of each kind of pairs at e edits.
+
+    Steps are drawn from the whole walk; as the tail of a walk reads padding, which tells nothing, one at least is drawn
+    from the steps at which the pointer can't have left the item.
+    """
+    if not e:
+        return (np.arange(1),)
     rng = np.random.default_rng(m)
-    a, b = edited_pairs(m, rng)
-    rows = np.arange(2 * PAIRS)
+    a, b = edited_pairs(m, e, rng)
+    count = len(a)
+    a, b = (np.concatenate([x, np.zeros((count, 1), np.uint64)], axis=1) for x in (a, b))
+    rows = np.arange(count)
     picks: dict[int, list[np.ndarray]] = {bits: [] for bits, _ in PLANS}
-    found = {bits: np.zeros(2 * PAIRS, bool) for bits in picks}
+    found = {bits: np.zeros(count, bool) for bits in picks}
     done: set[int] = set()
     for repeat, salt in enumerate(SALTS, 1):
-        at_a, at_b = np.zeros(2 * PAIRS, np.int64), np.zeros(2 * PAIRS, np.int64)
-        same = np.zeros((m, 2 * PAIRS), bool)
-        for step in range(m):
+        at_a, at_b = np.zeros(count, np.int64), np.zeros(count, np.int64)
+        same = np.zeros((3 * m, count), bool)
+        for step in range(3 * m):
             x, y = a[rows, at_a], b[rows, at_b]
             same[step] = x == y
-            at_a += walk_bits(x, salt, step)
-            at_b += walk_bits(y, salt, step)
+            at_a = np.minimum(at_a + walk_bits(x, salt, step), m)
+            at_b = np.minimum(at_b + walk_bits(y, salt, step), m)
         for bits, limit in PLANS:
             if bits in done or repeat > limit:
                 continue
-            picks[bits].append(np.sort(rng.choice(m, min(bits, m), replace=False)))
+            first = rng.choice(m, 1)
+            rest = rng.choice(np.setdiff1d(np.arange(3 * m), first), bits - 1, replace=False)
+            picks[bits].append(np.sort(np.concatenate([first, rest])))
             found[bits] |= same[picks[bits][-1]].all(0)
-            if min(found[bits][:PAIRS].mean(), found[bits][PAIRS:].mean()) >= MEASURED:
+            if found[bits].reshape(len(KINDS), PAIRS).mean(1).min() >= MEASURED:
                 done.add(bits)
         best = next((bits for bits, limit in PLANS if bits in done or repeat < limit), PLANS[-1][0])
         if best in done:
@@ -113,17 +135,16 @@ def plan_of(m: int) -> tuple[np.ndarray, ...]:
     return tuple(picks[PLANS[-1][0]])
 
 
-def size_class(m: int) -> int:
-    """The size whose plan m uses: exact below 16, then steps of an eighth, downwards, so that no walk leaves a window."""
-    step = 1 << max(m.bit_length() - 4, 0)
-    return m // step * step
+def size_class(m: int) -> tuple[int, int]:
+    """The least and the greatest size that share a plan: exact below 32, then steps of a sixteenth to a 32nd. The plan is
+    for the least size, so that no sampled step is beyond a walk, and for the edits of the greatest."""
+    step = 1 << max(m.bit_length() - 5, 0)
+    return m // step * step, m // step * step + step - 1
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
-    """Edit distance of each row of ``a`` to the same row of ``b``, equal lengths; e + 1 stands for more than e.
-
-    The dynamic program is kept to the diagonals within e, for all rows at once.
-    """
+    """Least edit distance of each row of ``a``, m words, to a beginning of the same row of ``b``, m + e words; e + 1 stands
+    for more than e. The dynamic program is kept to the diagonals within e, for all rows at once."""
     rows, m = a.shape
     far = e + 1
     width = 2 * e + 1
@@ -134,9 +155,9 @@ def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
         cur = np.full((rows, width), far, np.int32)
         for d in range(width):
             j = i + d - e
-            if j < 0 or j > m:
+            if j < 0 or j > b.shape[1]:
                 continue
-            best = np.full(rows, far, np.int32) if j else np.full(rows, min(i, far), np.int32)
+            best = np.full(rows, min(i, far), np.int32)
             if j:
                 best = prev[:, d] + (a[:, i - 1] != b[:, j - 1])
                 if d:
@@ -145,32 +166,42 @@ def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
                 best = np.minimum(best, prev[:, d + 1] + 1)
             cur[:, d] = np.minimum(best, far)
         prev = cur
-    return prev[:, e]
+    return prev.min(axis=1)
 
 
 class Items:
-    """A group of items: vocabulary, items by size, and the LSH tables of each size."""
+    """A group of items: vocabulary, pairs of neighbouring words, items by size, and the LSH tables of each size."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]):
         self.vocab: dict[str, int] = {}
         for _, ws in rows:
             for w in ws:
                 self.vocab.setdefault(w, len(self.vocab))
-        size = len(self.vocab) + 1  # the last symbol stands for padding and all other words
-        self.symbols = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocab] + [0], dtype=np.uint64)
+        self.unknown, self.pad = len(self.vocab), len(self.vocab) + 1  # of all other words, and behind a window
+        self.symbols = np.array([xxhash.xxh3_64_intdigest(w) for w in self.vocab] + [1, 0], dtype=np.uint64)
         self.sizes: dict[int, dict] = {}
         self.tables: dict[tuple[int, int], np.ndarray] = {}
+        pairs: dict[int, np.ndarray] = {}
         for m in sorted({len(ws) for _, ws in rows}):
             group = [(i, ws) for i, ws in rows if len(ws) == m]
             words = np.array([[self.vocab[w] for w in ws] for _, ws in group], dtype=np.int32)
-            plan = plan_of(size_class(m))
+            least, greatest = size_class(m)
+            plan = plan_of(least, allowed(greatest))
             entry = {"ids": np.array([i for i, _ in group], dtype=np.int64), "words": words, "plan": plan, "tables": []}
+            flat, starts = words.ravel(), np.arange(len(group)) * m
             for repeat, picks in enumerate(plan):
-                _, keys, sampled = self.walk(words.ravel(), np.arange(len(group)) * m, repeat, picks)
+                _, keys, sampled = self.walk(flat, starts, starts + m, repeat, picks)
                 order = np.argsort(keys, kind="stable")
                 entry["tables"].append((keys[order], order, sampled))
             self.sizes[m] = entry
-        self.unknown = size - 1
+            pairs[m] = np.unique(self.pair(words[:, :-1], words[:, 1:]) if m > 1 else words.ravel().astype(np.int64) - (1 << 40))
+        self.pairs = np.unique(np.concatenate(list(pairs.values()))) if pairs else np.empty(0, np.int64)
+        for m, own in pairs.items():
+            self.sizes[m]["mine"] = np.isin(self.pairs, own)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Code of two neighbouring words; a single word has a negative one."""
+        return a.astype(np.int64) * (self.pad + 1) + b
 
     def bits(self, repeat: int, step: int, sym: np.ndarray) -> np.ndarray:
         """The walk's random bit of (repeat, step, symbol); tables of all symbols are kept up to TABLE_BYTES."""
@@ -181,23 +212,23 @@ class Items:
             table = self.tables[repeat, step] = walk_bits(self.symbols, SALTS[repeat], step)
         return table[sym]
 
-    def walk(self, flat: np.ndarray, starts: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks from ``starts``.
+    def walk(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks over starts..ends.
 
-        A walk of no more steps than the window has words never leaves it. With ``wanted``, the items' symbols by pick, a
-        window leaves as soon as a sampled symbol is that of no item; its hash could equal none of theirs.
+        With ``wanted``, the items' symbols by pick, a window leaves as soon as a sampled symbol is that of no item; its hash
+        could equal none of theirs.
         """
-        alive, at, out = np.arange(len(starts)), starts.copy(), np.zeros(len(starts), np.uint64)
+        alive, at, ends, out = np.arange(len(starts)), starts.copy(), ends.copy(), np.zeros(len(starts), np.uint64)
         mult, sampled, k = np.uint64(0x9E3779B97F4A7C15), [], 0
         for step in range(int(picks[-1]) + 1):
-            sym = flat[at]
+            sym = np.where(at < ends, flat[np.minimum(at, len(flat) - 1)], self.pad)
             if step == picks[k]:
                 sampled.append(sym)
                 if wanted is not None:
                     ok = np.zeros(len(self.symbols), bool)
                     ok[wanted[k]] = True
                     keep = np.flatnonzero(ok[sym])
-                    alive, at, out, sym = alive[keep], at[keep], out[keep], sym[keep]
+                    alive, at, ends, out, sym = alive[keep], at[keep], ends[keep], out[keep], sym[keep]
                 out = out * mult + self.symbols[sym] + np.uint64(step + 1)
                 k += 1
                 if k == len(picks) or not len(alive):
@@ -206,38 +237,48 @@ class Items:
         return alive, out, sampled
 
 
+def places(hits: np.ndarray, owner: np.ndarray, need: int, reach: int) -> np.ndarray:
+    """Places from which at least ``need`` of the sorted ``hits`` of the same text lie within ``reach`` words."""
+    need = max(need, 1)
+    if len(hits) < need:
+        return np.empty(0, np.int64)
+    first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
+    ok = (last - first < reach) & (owner[first] == owner[last])
+    lo, hi = np.maximum(last[ok] - reach + 1, 0), first[ok]
+    n = hi - lo + 1
+    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(at[owner[at] == np.repeat(owner[hi], n)])
+
+
 def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
     """(document, item id, item words, start, edit distance) of verified windows, all starts."""
+    nothing = tuple(np.empty(0, np.int64) for _ in range(5))
     get, unknown = items.vocab.get, items.unknown
-    pad = max((allowed(m) for m in items.sizes), default=0)
-    flat, offsets, at = [], [], 0
-    for ws in docs:
-        offsets.append(at)
-        flat += [get(w, unknown) for w in ws]
-        flat += [unknown] * pad
-        at += len(ws) + pad
-    seq = np.array(flat, dtype=np.int32)
-    owner = np.repeat(np.arange(len(docs)), [len(ws) + pad for ws in docs])
-    offsets, total = np.array(offsets, dtype=np.int64), len(seq)
-    zero = np.zeros(1, np.int32)
-    hits = np.concatenate([zero, np.cumsum(seq != unknown, dtype=np.int32)])
+    lengths = np.array([len(ws) for ws in docs], dtype=np.int64)
+    seq = np.array([get(w, unknown) for ws in docs for w in ws], dtype=np.int32)
+    if not len(seq) or not items.sizes:
+        return nothing
+    owner, stops = np.repeat(np.arange(len(docs)), lengths), np.cumsum(lengths)
+    offsets = stops - lengths
+    # neighbouring words that some item has, once for all sizes
+    known = np.flatnonzero(seq != unknown)
+    two = known[known + 1 < stops[owner[known]]]
+    codes = np.concatenate([items.pair(seq[two], seq[np.minimum(two + 1, len(seq) - 1)]), seq[known].astype(np.int64) - (1 << 40)])
+    where = np.concatenate([two, known])
+    at = np.minimum(np.searchsorted(items.pairs, codes), len(items.pairs) - 1)
+    hit = items.pairs[at] == codes
+    at, where = at[hit], where[hit]
+    order = np.argsort(where, kind="stable")
+    at, where = at[order], where[order]
     found: list[list[np.ndarray]] = []
     for m, group in items.sizes.items():
         e = allowed(m)
-        if total < m:
-            continue
-        starts = np.flatnonzero(hits[m:] - hits[:-m] >= m - e)
-        starts = starts[owner[starts] == owner[starts + m - 1]]
-        if len(starts):
-            mine = np.zeros(len(items.symbols), np.int8)
-            mine[group["words"].ravel()] = 1
-            mine = np.concatenate([zero, np.cumsum(mine[seq], dtype=np.int32)])
-            starts = starts[mine[starts + m] - mine[starts] >= m - e]
+        starts = places(where[group["mine"][at]], owner, m - 1 - 2 * e, max(m + e - 1, 1))
         if not len(starts):
             continue
-        pairs = []
+        ends, pairs = np.minimum(starts + m, stops[owner[starts]]), []
         for repeat, (picks, (keys, order, sampled)) in enumerate(zip(group["plan"], group["tables"])):
-            alive, own, _ = items.walk(seq, starts, repeat, picks, sampled)
+            alive, own, _ = items.walk(seq, starts, ends, repeat, picks, sampled)
             lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
             w = np.flatnonzero(hi > lo)
             if len(w):
@@ -249,14 +290,15 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
         pair = np.unique(np.concatenate(pairs))
         for i in range(0, len(pair), 20_000):
             w, item = pair[i : i + 20_000] // len(group["ids"]), pair[i : i + 20_000] % len(group["ids"])
-            windows = seq[starts[w][:, None] + np.arange(m)]
+            read = starts[w][:, None] + np.arange(m + e)
+            windows = np.where(read < stops[owner[starts[w]]][:, None], seq[np.minimum(read, len(seq) - 1)], items.pad)
             d = edit_distances(group["words"][item], windows, e)
             ok = d <= e
             w, item, d = w[ok], item[ok], d[ok]
             doc = owner[starts[w]]
             found.append([doc, group["ids"][item], np.full(len(w), m), starts[w] - offsets[doc], d])
     if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return nothing
     return tuple(np.concatenate([f[i] for f in found]).astype(np.int64) for i in range(5))
 
 
@@ -265,7 +307,7 @@ def item_groups(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[li
     group, size = [], 0
     for r in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
         ws = text_words(r[1])
-        if len(ws) < MIN_WORDS:
+        if not ws:
             continue
         if group and size + len(ws) > ITEM_GROUP:
             yield group
@@ -285,8 +327,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     rows = docs.select(*[c.alias(k) for k, c in keep.items()], docs[text_col].alias("_cgk_text"))
     spark = docs.sparkSession
     struct = pa.struct([("item_id", pa.int64()), ("item_words", pa.int32()), ("start", pa.int32()), ("distance", pa.int32())])
-    out = rows.withColumn("matches", F.array().cast("array<struct<item_id:bigint,item_words:int,start:int,distance:int>>"))
+    out = last = rows.withColumn("matches", F.array().cast("array<struct<item_id:bigint,item_words:int,start:int,distance:int>>"))
+    shared = None
     for group in item_groups(benchmark, item_id, item_text):
+        if shared is not None:  # one group is live at a time
+            done = materialize(out, "cgk-pass")
+            shared.destroy()
+            discard(last)
+            out = last = done
         shared = spark.sparkContext.broadcast(Items(group))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -304,7 +352,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lists, pa.list_(struct))], names=part.schema.names)
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(run, fields)
+        out = out.mapInArrow(bounded(run), fields)
     return out.drop("_cgk_text")
 
 
