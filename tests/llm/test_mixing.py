@@ -41,7 +41,10 @@ def test_targets_and_taken(make, measure):
         assert x.taken == x.size * x.copies <= 3 * x.size
         taken[s] += x.taken
     for s in size:
-        assert abs(taken[s] - want[s]) <= 60
+        assert abs(taken[s] - want[s]) <= 30, (s, taken[s], want[s])
+    if measure == "documents":  # the tilt grows with the length
+        rates = sorted((x.size, x.rate) for x in rows if sources[x.doc_id] == "a" and x.size)
+        assert len({round(r, 9) for _, r in rates}) > 10 and [r for _, r in rates] in (sorted(r for _, r in rates), sorted((r for _, r in rates), reverse=True))
     again = {(x.doc_id, x.taken) for x in mix(make(texts, sources=sources), measure=measure).collect()}
     assert again == {(x.doc_id, x.taken) for x in rows}
 
@@ -55,3 +58,22 @@ def test_edges(docs, no_docs):
 
 def test_no_words(make):
     assert [r.taken for r in mix(make([(1, ""), (2, None)])).collect()] == [0, 0]
+
+
+def test_a_long_document_at_the_boundary_leaves_room_for_others(make):
+    """A source of one long and many short documents, and one of long ones alone: the residual is filled with what fits."""
+    texts = [(0, "w " * 5000), *[(i, "w " * (20 + i % 7)) for i in range(1, 120)], *[(i, "w " * (100 + 37 * (i % 9))) for i in range(200, 212)], *[(i, "w " * 50) for i in range(300, 400)]]
+    sources = {i: "a" if i < 200 else "b" if i < 300 else "c" for i, _ in texts}
+    rows = mix(make(texts, sources=sources)).collect()
+    assert rows[0].__fields__[:5] == ["doc_id", "size", "source_size", "target", "taken"]
+    taken, target = defaultdict(int), {}
+    for r in rows:
+        taken[sources[r.doc_id]] += r.taken
+        target[sources[r.doc_id]] = r.target
+    assert abs(taken["a"] - target["a"]) <= 30 and abs(taken["c"] - target["c"]) <= 50
+    assert abs(taken["b"] - target["b"]) <= 60
+
+
+def test_no_python_on_the_main_path(make):
+    plan = mix(make([(1, "a b c"), (2, "d")]))._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
