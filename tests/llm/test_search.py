@@ -29,15 +29,39 @@ def test_stops_on_proof_only():
     x = r.integers(-60, 60, (3000, 16))
     x[100:140] = x[5]  # ties
     q = x[:20]
-    qi, ci, s = T.search_block(np.arange(20), q, np.arange(3000), x, 10)
+    qi, ci, s = T.search_block(np.arange(20), q, T.Block.load(T.Block(np.arange(3000), x).dump()), 10)
     for i in range(20):
         full = sorted((-int(v), j) for j, v in enumerate(q[i] @ x.T) if j != i)[:10]
         assert [(-int(a), int(b)) for a, b in zip(s[qi == i], ci[qi == i])] == full
 
 
+def test_segments_hold_every_entry_once_by_impact():
+    r = np.random.default_rng(4)
+    x = r.integers(-70, 70, (200, 9))
+    b = T.Block.load(T.Block(np.arange(200), x).dump())
+    parts = b.matrices(9, np.float64)
+    assert (sum(m for m, _ in parts) == x).all()
+    tops = [int(np.abs(m).max()).bit_length() for m, _ in parts]
+    assert tops == sorted(tops, reverse=True) and not parts[-1][1].any()
+
+
+def test_blocks_and_shelves_of_any_size_agree(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(i, [int(v) for v in r.integers(-64, 64, 8)]) for i in range(700)] + [(0, [1] * 8)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, v array<bigint>").repartition(5)
+    q = df.where("vec_id % 20 = 0")
+    want = {tuple(x) for x in T.top_k(q, df, 7).collect()}
+    monkeypatch.setattr(T, "BLOCK", 50)
+    monkeypatch.setattr(T, "SHELF", 100)
+    monkeypatch.setattr(T, "STRIP", 9)
+    monkeypatch.setattr(T, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(T, "RESCORE", 1)
+    assert {tuple(x) for x in T.top_k(q, df, 7).collect()} == want
+
+
 def test_large_components_stay_exact():
     x = np.array([[2**30, 1], [2**30, 2], [2**30, 0]])
-    _, ci, s = T.search_block(np.array([9]), np.array([[2**30, 1]]), np.arange(3), x, 3)
+    _, ci, s = T.search_block(np.array([9]), np.array([[2**30, 1]]), T.Block(np.arange(3), x), 3)
     assert ci.tolist() == [1, 0, 2] and s.tolist() == [2**60 + 2, 2**60 + 1, 2**60]
 
 
