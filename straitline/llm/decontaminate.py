@@ -44,7 +44,7 @@ RECALL, MEASURED = 0.95, 0.985
 PLANS, PAIRS = ((4, 24), (3, 32), (2, 48), (1, 96)), 200
 KINDS = ("anywhere", "head", "tail", "burst", "insertions", "deletions", "mixed")
 ITEM_GROUP = 1_000_000
-TABLE_BYTES = 32 << 20
+TABLE_BYTES, SLOT_BITS = 32 << 20, 22
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -198,6 +198,19 @@ class Items:
         self.pairs = np.unique(np.concatenate(list(pairs.values()))) if pairs else np.empty(0, np.int64)
         for m, own in pairs.items():
             self.sizes[m]["mine"] = np.isin(self.pairs, own)
+        self.slots = np.zeros(1 << SLOT_BITS, bool)
+        self.slots[self.slot(self.pairs)] = True
+
+    def slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, codes: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the pair, place) of the codes that are pairs of some item; most fall through the table of slots."""
+        may = np.flatnonzero(self.slots[self.slot(codes)])
+        codes, where = codes[may], where[may]
+        at = np.minimum(np.searchsorted(self.pairs, codes), len(self.pairs) - 1)
+        hit = self.pairs[at] == codes
+        return at[hit], where[hit]
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Code of two neighbouring words; a single word has a negative one."""
@@ -260,16 +273,18 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
         return nothing
     owner, stops = np.repeat(np.arange(len(docs)), lengths), np.cumsum(lengths)
     offsets = stops - lengths
-    # neighbouring words that some item has, once for all sizes
-    known = np.flatnonzero(seq != unknown)
-    two = known[known + 1 < stops[owner[known]]]
-    codes = np.concatenate([items.pair(seq[two], seq[np.minimum(two + 1, len(seq) - 1)]), seq[known].astype(np.int64) - (1 << 40)])
-    where = np.concatenate([two, known])
-    at = np.minimum(np.searchsorted(items.pairs, codes), len(items.pairs) - 1)
-    hit = items.pairs[at] == codes
-    at, where = at[hit], where[hit]
-    order = np.argsort(where, kind="stable")
-    at, where = at[order], where[order]
+    # neighbouring words that some item has, once for all sizes; single words only where an item is one
+    known = seq != unknown
+    where = np.flatnonzero(known[:-1] & known[1:])
+    at, where = items.find(items.pair(seq[where], seq[where + 1]), where)
+    inside = owner[where] == owner[np.minimum(where + 1, len(seq) - 1)]
+    at, where = at[inside], where[inside]
+    if 1 in items.sizes:
+        single = np.flatnonzero(known)
+        at1, where1 = items.find(seq[single].astype(np.int64) - (1 << 40), single)
+        at, where = np.concatenate([at, at1]), np.concatenate([where, where1])
+        order = np.argsort(where, kind="stable")
+        at, where = at[order], where[order]
     found: list[list[np.ndarray]] = []
     for m, group in items.sizes.items():
         e = allowed(m)
