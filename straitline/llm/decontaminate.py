@@ -45,6 +45,8 @@ PLANS, PAIRS = ((4, 24), (3, 32), (2, 48), (1, 96)), 200
 KINDS = ("anywhere", "head", "tail", "burst", "insertions", "deletions", "mixed")
 ITEM_GROUP = 1_000_000
 TABLE_BYTES, SLOT_BITS = 32 << 20, 22
+#: Characters of text that are walked at once: many windows a step, as each step costs some calls.
+CHUNK = 4 << 20
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -355,7 +357,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = column(batch, "_cgk_text")
-                for a, b in slices(texts):
+                for a, b in slices(texts, CHUNK):
                     best: dict[tuple[int, int], tuple] = {}
                     for doc, item, m, start, d in zip(*(x.tolist() for x in match(shared.value, [text_words(t) for t in texts[a:b]]))):
                         if (doc, item) not in best or (d, start) < best[doc, item]:
