@@ -25,8 +25,10 @@ VIEWS: dict[str, str] = {
     "port_daily": """SELECT CAST(o_orderdate AS DATE) AS date, CONCAT('port', CAST(n_nationkey AS VARCHAR(8))) AS port_id,
   n_name AS port_name, CAST(COUNT(*) AS DOUBLE) AS n_tanker
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3""",
-    "dated_events": """SELECT CAST(o_orderdate AS DATE) AS date, CONCAT('event ', CAST(o_orderkey AS VARCHAR(20))) AS event,
-  o_orderpriority AS category FROM orders WHERE o_orderkey % 500 = 0""",
+    # one event a month and priority, from all orders
+    "dated_events": """SELECT CAST(MIN(o_orderdate) AS DATE) AS date,
+  CONCAT('event ', CAST(YEAR(o_orderdate) * 100 + MONTH(o_orderdate) AS VARCHAR(20)), ' ', o_orderpriority) AS event, o_orderpriority AS category
+  FROM orders GROUP BY YEAR(o_orderdate) * 100 + MONTH(o_orderdate), o_orderpriority""",
     "port_cfg": "SELECT * FROM (VALUES ('alpha','NATION_1','gulf_export'),('beta','nation_24','red_sea_export'),('gamma','NOWHERE','outside_hormuz')) AS t(port_key, match_name, port_group)",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
