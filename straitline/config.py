@@ -74,6 +74,27 @@ ZONES: dict[str, Zone] = {
 }
 
 
+def load_zones(path: str) -> dict[str, Zone]:
+    """Zones of a YAML file ``chokepoints: {key: {name, portwatch_id, gate, zone, direction_positive, ..}}``, checked."""
+    points = lambda ps: tuple((float(x), float(y)) for x, y in ps)
+    out = {}
+    for key, z in (_yaml(path).get("chokepoints") or {}).items():
+        out[key] = Zone(key, z.get("name", key), z["portwatch_id"], points(z["gate"]), points(z["zone"]), z["direction_positive"], z["direction_negative"], bool(z.get("collect_live", False)))
+    return out
+
+
+def load_ports(path: str) -> dict[str, Port]:
+    """Ports of a YAML file ``ports: [{key, match_name, group, portwatch_id}]``."""
+    return {p["key"]: Port(p["key"], p["match_name"], p["group"], p.get("portwatch_id")) for p in _yaml(path).get("ports") or []}
+
+
+def _yaml(path: str) -> dict:
+    import yaml  # only files of this kind need it
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f) or {}
+
+
 def live_zones() -> dict[str, Zone]:
     return {k: z for k, z in ZONES.items() if z.live}
 

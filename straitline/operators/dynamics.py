@@ -185,3 +185,17 @@ def var_lags(frame: DataFrame, columns: list[str], max_lags: int = 10) -> DataFr
         return [{"lag": lag, "aic": det + 2 * free / n, "bic": det + np.log(n) * free / n, "n_obs": n}]
 
     return _grid(frame, columns, [(p,) for p in range(1, max_lags + 1)], "p int", "lag int, aic double, bic double, n_obs long", fit)
+
+
+def var_model(frame: DataFrame, columns: list[str], max_lags: int = 10) -> DataFrame:
+    """equation, term (``const`` or ``L<lag>.<column>``), coef of the VAR whose order has the least AIC, on all its rows."""
+    orders = var_lags(frame, columns, max_lags)
+    lag = orders.orderBy("aic", "lag").first()["lag"]
+
+    def fit(pdf: pd.DataFrame, point: tuple) -> list[dict]:
+        p = int(point[0])
+        b, _ = var_fit(pdf[columns].dropna().to_numpy(dtype=float), p, p)
+        terms = ["const", *[f"L{j}.{c}" for j in range(1, p + 1) for c in columns]]
+        return [{"equation": c, "term": t, "coef": float(b[i, k])} for k, c in enumerate(columns) for i, t in enumerate(terms)]
+
+    return _grid(frame, columns, [(int(lag),)], "p int", "equation string, term string, coef double", fit)

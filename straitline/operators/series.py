@@ -72,6 +72,12 @@ def published(daily: DataFrame) -> DataFrame:
     return daily.withColumn("available_from", publication_date(F.col("date")))
 
 
+def lag_stats(daily: DataFrame) -> DataFrame:
+    """One row: median and largest number of days between a date and its publication."""
+    days = F.datediff("available_from", "date")
+    return daily.agg(F.median(days).alias("median_lag_days"), F.max(days).alias("max_lag_days"))
+
+
 def numeric(df: DataFrame, skip: tuple[str, ...]) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in skip and f.dataType.typeName() in ("double", "float", "long", "integer", "short", "decimal")]
 

@@ -330,6 +330,12 @@ def smooth_mean(bed: Bed) -> DataFrame:
     return bed.chokepoint_daily.select("date", "zone_key", F.round(series.smooth(F.col("n_transits"), Window.partitionBy("zone_key").orderBy("date")), 6).alias("smoothed"))
 
 
+# the first Tuesday two or more days after a date
+@query(f"{with_views('chokepoint_daily')}, l AS (SELECT 2 + (2 - isodow(date + 2) + 7) % 7 AS d FROM chokepoint_daily) SELECT CAST(median(d) AS DOUBLE) AS median_lag_days, CAST(max(d) AS INT) AS max_lag_days FROM l")
+def publication_lag_stats(bed: Bed) -> DataFrame:
+    return series.lag_stats(series.published(bed.chokepoint_daily))
+
+
 # ---- statistics ----
 
 _STUDY = f"""{with_views('brent', 'wti', 'dated_events')}, {_PANEL},
@@ -427,6 +433,11 @@ def var_lags(bed: Bed) -> DataFrame:
     return dynamics.var_lags(_panel(bed), ["brent_ret_1d", "wti_ret_1d"])
 
 
+@query()
+def var_model(bed: Bed) -> DataFrame:
+    return dynamics.var_model(_panel(bed), ["brent_ret_1d", "wti_ret_1d"])
+
+
 @query()
 def stationarity(bed: Bed) -> DataFrame:
     return dynamics.stationarity(_panel(bed), ["brent_ret_1d", "brent_rv_20d", "wti_ret_1d"])

@@ -1,11 +1,14 @@
 """Paged REST sources as Python data sources: price series and map layers.
 
 A reader takes its pages from ``fetch(url, params) -> dict``. In production that is an HTTP client; tests pass a local
-one. Pages of a price series are partitions; a map layer is paged in order, since it says only then whether more follow.
+one. The years of a price series are partitions; a map layer is paged in order, since it says only then whether more follow.
 """
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
+import io
 import json
 import time
 import urllib.error
@@ -17,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
+from straitline.config import require_setting
+
 PRICE_PAGE, LAYER_PAGE, MAX_RECORDS = 5000, 1000, 500_000
 ATTEMPTS, BASE_DELAY_S = 4, 3.0
 
@@ -26,9 +31,13 @@ class ServerError(RuntimeError):
 
 
 def http_get(url: str, params: dict) -> dict:
+    return json.loads(http_text(url, params))
+
+
+def http_text(url: str, params: dict) -> str:
     try:
         with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(params, doseq=True)}", timeout=120) as r:
-            return json.load(r)
+            return r.read().decode()
     except urllib.error.HTTPError as e:
         if e.code >= 500:
             raise ServerError(str(e)) from e
@@ -80,9 +89,27 @@ def price_pages(fetch, url: str, params: dict, page_size: int = PRICE_PAGE, slee
         offset += page_size
 
 
+#: Column types of a layer's field types; dates come as epoch milliseconds.
+FIELD_TYPES = {"esriFieldTypeOID": "long", "esriFieldTypeInteger": "long", "esriFieldTypeSmallInteger": "long", "esriFieldTypeDouble": "double", "esriFieldTypeSingle": "double", "esriFieldTypeDate": "timestamp"}
+
+
+def layer_schema(metadata: dict) -> str:
+    """DDL of a layer's fields; types that aren't known are strings."""
+    return ", ".join(f"`{f['name']}` {FIELD_TYPES.get(f.get('type'), 'string')}" for f in metadata.get("fields", []))
+
+
+def _typed(value, kind: str):
+    if value is None:
+        return None
+    if kind == "timestamp":
+        return dt.datetime.fromtimestamp(value / 1000, dt.timezone.utc) if isinstance(value, (int, float)) else dt.datetime.fromisoformat(value)
+    return {"bigint": int, "int": int, "double": float}.get(kind, str)(value)
+
+
 class _LayerReader(DataSourceReader):
     def __init__(self, options: dict, schema):
-        self.options, self.names, self.where = options, [f.name for f in schema.fields], []
+        self.options, self.where = options, []
+        self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Equality and membership go to the service as a WHERE clause; Spark applies them again."""
@@ -98,27 +125,94 @@ class _LayerReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        where = " AND ".join([self.options.get("where", "1=1"), *self.where])
-        fields = ",".join(self.names)
-        for page in layer_pages(http_get, self.options["url"], where, fields, int(self.options.get("pagesize", LAYER_PAGE))):
+        own = self.options.get("where")
+        where = " AND ".join([*([f"({own})"] if own else []), *self.where]) or "1=1"
+        top = int(self.options.get("maxrecords", MAX_RECORDS))
+        distinct = self.options.get("distinct", "false") == "true"
+        for page in layer_pages(http_get, f"{self.options['url']}/query", where, ",".join(n for n, _ in self.fields), int(self.options.get("pagesize", LAYER_PAGE)), top or None, distinct):
             for row in page:
-                yield tuple(None if row.get(n) is None else str(row[n]) for n in self.names)
+                yield tuple(_typed(row.get(n), kind) for n, kind in self.fields)
 
 
 class LayerSource(DataSource):
-    """``spark.read.format("map_layer").schema(...).option("url", ...).load()``: all fields as strings."""
+    """``spark.read.format("map_layer").option("url", layer).load()``: fields and types as the layer declares them.
+
+    Options: ``where``, ``pagesize``, ``maxrecords`` (0 lifts the guard), ``distinct`` (the service removes repeated rows of
+    the fields of a given schema, so a directory of names costs no pass over daily rows).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "map_layer"
 
-    def schema(self):
-        raise ValueError("give the schema of the wanted fields")
+    def schema(self) -> str:
+        return layer_schema(with_retry(http_get, self.options["url"], {"f": "json"}))
 
     def reader(self, schema):
         return _LayerReader(self.options, schema)
 
 
+class _Years(InputPartition):
+    def __init__(self, start: str | None, end: str | None):
+        self.start, self.end = start, end
+
+
+class _PriceReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        """A partition a year between ``start`` and ``end``; one for all where either is open, or for a CSV."""
+        start, end = self.options.get("start"), self.options.get("end")
+        if not start or not end or self.options.get("form", "api") == "csv":
+            return [_Years(start, end)]
+        first, last = int(start[:4]), int(end[:4])
+        return [_Years(start if y == first else f"{y}-01-01", end if y == last else f"{y}-12-31") for y in range(first, last + 1)]
+
+    def read(self, part: _Years) -> Iterator[tuple]:
+        series, url = self.options["series"], self.options["url"]
+        if self.options.get("form", "api") == "csv":
+            rows = list(csv.reader(io.StringIO(http_text(url, {"id": series}))))[1:]
+            pairs: Iterator[tuple] = ((r[0], r[1]) for r in rows if len(r) > 1)
+        else:
+            params = {"api_key": self.options.get("token") or require_setting("EIA_API_KEY"), "frequency": "daily", "data[0]": "value", "facets[series][]": series, "sort[0][column]": "period", "sort[0][direction]": "asc"}
+            params |= {k: v for k, v in (("start", part.start), ("end", part.end)) if v}
+            pairs = ((r.get("period"), r.get("value")) for page in price_pages(http_get, url, params, int(self.options.get("pagesize", PRICE_PAGE))) for r in page)
+        for day, value in pairs:
+            try:
+                number = float(value)
+            except (TypeError, ValueError):
+                continue
+            if number == number:
+                yield dt.date.fromisoformat(day[:10]), number, series
+
+
+class PriceSource(DataSource):
+    """``spark.read.format("price_series")``: (date, value, series_id); values that are no numbers are left out.
+
+    Options: ``url``, ``series``, ``start``, ``end``, ``form`` (``api``: paged JSON; ``csv``: one file, first two columns),
+    ``token`` (the API key; else the environment of the workers must have EIA_API_KEY), ``pagesize``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "price_series"
+
+    def schema(self) -> str:
+        return "date date, value double, series_id string"
+
+    def reader(self, schema):
+        return _PriceReader(self.options)
+
+
+def register(spark: SparkSession) -> SparkSession:
+    """Make both formats known to the session, and let filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (LayerSource, PriceSource):
+        spark.dataSource.register(source)
+    return spark
+
+
 def normalise_daily(rows: DataFrame, entity: str) -> DataFrame:
     """date, <entity>_id, <entity>_name first; epoch milliseconds or ISO text; dates that don't parse stay as nulls."""
     from straitline.operators.series import pick_column
