@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from straitline import __version__, report
-from straitline.config import ZONES, load_ports
+from straitline.config import ZONES, load_ports, load_zones
 from straitline.operators import series, zone_daily
 from straitline.session import ensure_workers
 from straitline.sources import ingest, rest
@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="straitline")
     p.add_argument("--root", default="data")
     p.add_argument("--log-level", default="WARN")
+    p.add_argument("--zones", help="YAML file of zones; the built-in ones without it")
     sub = p.add_subparsers(dest="verb", required=True)
     for verb in ("version", "validate-gates", "status"):
         sub.add_parser(verb)
@@ -61,6 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--horizons", default="1,5,20")
     r.add_argument("--min-train", type=int, default=500)
     args = p.parse_args(argv)
+    zones = load_zones(args.zones) if args.zones else ZONES
     if args.verb == "version":
         print(__version__)
         return 0
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"{url}: {e}")
         return 1 if bad else 0
     if args.verb == "validate-gates":
-        for z in ZONES.values():
+        for z in zones.values():
             print(f"{z.key}: gate {z.gate}, box {z.bounds}, +{z.positive} / -{z.negative}")
         return 0
     spark = ensure_workers(SparkSession.builder.appName("straitline").config("spark.sql.session.timeZone", "UTC").getOrCreate())
@@ -100,13 +102,13 @@ def main(argv: list[str] | None = None) -> int:
     elif args.verb == "build-ais-metrics":
         pos = cat.read_partitions("ais_positions", _day(args.start), _day(args.end))
         has_static = bool(children(spark, f"{args.root}/raw/ais_static"))
-        tables = zone_daily.ais_metrics(pos, cat.read_partitions("ais_static") if has_static else None, threshold=args.laden_threshold)
+        tables = zone_daily.ais_metrics(pos, cat.read_partitions("ais_static") if has_static else None, zones, threshold=args.laden_threshold)
         for name, df in tables.items():
             cat.write_processed(df, name)
     elif args.verb == "build-features":
         as_of = _day(args.as_of)
         flows = cat.read_vintage("portwatch_chokepoints", as_of)
-        keys = spark.createDataFrame([(z.portwatch_id, z.key) for z in ZONES.values()], "chokepoint_id string, zone_key string")
+        keys = spark.createDataFrame([(z.portwatch_id, z.key) for z in zones.values()], "chokepoint_id string, zone_key string")
         flows = flows.join(F.broadcast(keys), "chokepoint_id")
         value = series.pick_column(flows.columns, series.MEASURES, "traffic measure")
         own = cat.read_processed("ais_daily") if children(spark, f"{args.root}/processed/ais_daily") else None
@@ -124,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
             seen = [c for c in own.columns if c == "n_waiting"]
             waiting = cat.read_processed("waiting_daily")
             more["waiting"] = waiting.select("date", "zone_key", *[c for c in series.numeric(waiting, ("date", "zone_key")) if c not in seen])
-        table = series.feature_table(cat.read_vintage("prices_daily", as_of).drop("retrieved_at_ts"), flows.select("date", "zone_key", value), zones=list(ZONES), values=(value,), lag=not args.no_publication_lag, ais_daily=own, **more)
+        table = series.feature_table(cat.read_vintage("prices_daily", as_of).drop("retrieved_at_ts"), flows.select("date", "zone_key", value), zones=list(zones), values=(value,), lag=not args.no_publication_lag, ais_daily=own, **more)
         cat.write_processed(table, "features_daily")
     elif args.verb == "report":
         events = cat.read_processed("events")

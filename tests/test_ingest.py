@@ -92,12 +92,13 @@ def test_layer_and_directory(spark, service, tmp_path):
     assert any("IN" in q.get("where", "") or "=" in q.get("where", "").replace("1=1", "") for _, q in seen)
 
 
-def test_files_of_zones_and_ports(tmp_path):
+def test_files_of_zones_and_ports(tmp_path, capsys):
     (tmp_path / "z.yaml").write_text("chokepoints:\n  here:\n    portwatch_id: c1\n    gate: [[1, 1], [1, 2]]\n    zone: [[0, 0], [3, 0], [3, 3], [0, 3]]\n    direction_positive: in\n    direction_negative: out\n    collect_live: true\n")
     (tmp_path / "p.yaml").write_text("ports:\n  - {key: a, match_name: A, group: g, portwatch_id: null}\n")
     (tmp_path / "bad.yaml").write_text("chokepoints:\n  x: {portwatch_id: c, gate: [[1, 95], [1, 2]], zone: [[0, 0], [3, 0], [3, 3]], direction_positive: a, direction_negative: b}\n")
     z = config.load_zones(str(tmp_path / "z.yaml"))["here"]
     assert z.live and z.feed_box == [[0.0, 0.0], [3.0, 3.0]] and config.load_ports(str(tmp_path / "p.yaml"))["a"].group == "g"
+    assert jobs.main(["--zones", str(tmp_path / "z.yaml"), "validate-gates"]) == 0 and capsys.readouterr().out.startswith("here: gate")
     with pytest.raises(ValueError, match="lon/lat"):
         config.load_zones(str(tmp_path / "bad.yaml"))
 
