@@ -47,6 +47,8 @@ ITEM_GROUP = 1_000_000
 TABLE_BYTES, SLOT_BITS = 32 << 20, 22
 #: Characters of text that are walked at once: many windows a step, as each step costs some calls.
 CHUNK = 4 << 20
+#: Words of windows that are laid out at once.
+WINDOW_WORDS = 1 << 21
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -146,29 +148,23 @@ def size_class(m: int) -> tuple[int, int]:
 
 def edit_distances(a: np.ndarray, b: np.ndarray, e: int) -> np.ndarray:
     """Least edit distance of each row of ``a``, m words, to a beginning of the same row of ``b``, m + e words; e + 1 stands
-    for more than e. The dynamic program is kept to the diagonals within e, for all rows at once."""
+    for more than e. The dynamic program is kept to the diagonals within e, for all rows and diagonals at once."""
     rows, m = a.shape
-    far = e + 1
-    width = 2 * e + 1
-    prev = np.full((rows, width), far, np.int32)
-    for d in range(e, width):
-        prev[:, d] = min(d - e, far)
-    for i in range(1, m + 1):
-        cur = np.full((rows, width), far, np.int32)
-        for d in range(width):
-            j = i + d - e
-            if j < 0 or j > b.shape[1]:
-                continue
-            best = np.full(rows, min(i, far), np.int32)
-            if j:
-                best = prev[:, d] + (a[:, i - 1] != b[:, j - 1])
-                if d:
-                    best = np.minimum(best, cur[:, d - 1] + 1)
-            if d + 1 < width:
-                best = np.minimum(best, prev[:, d + 1] + 1)
-            cur[:, d] = np.minimum(best, far)
-        prev = cur
-    return prev.min(axis=1)
+    far, width = e + 1, 2 * e + 1
+    a = np.ascontiguousarray(a.T)
+    b = np.concatenate([np.full((e, rows), -1, a.dtype), b.T])  # what stands before a row equals no word
+    shift = np.arange(width, dtype=np.int32)[:, None]
+    first = np.where(shift < e, far, np.minimum(shift - e, far)).astype(np.int32)
+    prev = np.repeat(first, rows, axis=1)
+    for i in range(m):
+        cur = prev + (b[i : i + width] != a[i])
+        np.minimum(cur[:-1], prev[1:] + 1, out=cur[:-1])
+        # a word more of b costs one for each diagonal on
+        cur -= shift
+        np.minimum.accumulate(cur, axis=0, out=cur)
+        cur += shift
+        prev = np.minimum(cur, far, out=cur)
+    return prev.min(axis=0)
 
 
 class Items:
@@ -190,9 +186,9 @@ class Items:
             least, greatest = size_class(m)
             plan = plan_of(least, allowed(greatest))
             entry = {"ids": np.array([i for i, _ in group], dtype=np.int64), "words": words, "plan": plan, "tables": []}
-            flat, starts = words.ravel(), np.arange(len(group)) * m
+            padded = np.concatenate([words, np.full((len(group), 1), self.pad)], axis=1)
             for repeat, picks in enumerate(plan):
-                _, keys, sampled = self.walk(flat, starts, starts + m, repeat, picks)
+                _, keys, sampled = self.walk(padded, repeat, picks)
                 order = np.argsort(keys, kind="stable")
                 entry["tables"].append((keys[order], order, sampled))
             self.sizes[m] = entry
@@ -219,31 +215,34 @@ class Items:
         return a.astype(np.int64) * (self.pad + 1) + b
 
     def bits(self, repeat: int, step: int, sym: np.ndarray) -> np.ndarray:
-        """The walk's random bit of (repeat, step, symbol); tables of all symbols are kept up to TABLE_BYTES."""
+        """The walk's random bit of (repeat, step, symbol), 0 for padding; tables of all symbols are kept up to TABLE_BYTES."""
         table = self.tables.get((repeat, step))
         if table is None:
             if (len(self.tables) + 1) * len(self.symbols) > TABLE_BYTES:
-                return walk_bits(self.symbols[sym], SALTS[repeat], step)
-            table = self.tables[repeat, step] = walk_bits(self.symbols, SALTS[repeat], step)
-        return table[sym]
+                return walk_bits(self.symbols[sym], SALTS[repeat], step) * (sym != self.pad)
+            table = walk_bits(self.symbols, SALTS[repeat], step)
+            table[self.pad] = 0
+            self.tables[repeat, step] = table
+        return table.take(sym)
 
-    def walk(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks over starts..ends.
+    def walk(self, windows: np.ndarray, repeat: int, picks: np.ndarray, wanted: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(windows still alive, hash of their sampled symbols, sampled symbols by pick) of CGK walks over the rows of
+        ``windows``, whose last column is padding, where a walk stays.
 
         With ``wanted``, the items' symbols by pick, a window leaves as soon as a sampled symbol is that of no item; its hash
         could equal none of theirs.
         """
-        alive, at, ends, out = np.arange(len(starts)), starts.copy(), ends.copy(), np.zeros(len(starts), np.uint64)
-        mult, sampled, k = np.uint64(0x9E3779B97F4A7C15), [], 0
-        for step in range(int(picks[-1]) + 1):
-            sym = np.where(at < ends, flat[np.minimum(at, len(flat) - 1)], self.pad)
+        flat, alive, out = windows.ravel(), np.arange(len(windows)), np.zeros(len(windows), np.uint64)
+        at, mult, sampled, k, picks = alive * windows.shape[1], np.uint64(0x9E3779B97F4A7C15), [], 0, picks.tolist()
+        for step in range(picks[-1] + 1):
+            sym = flat.take(at)
             if step == picks[k]:
                 sampled.append(sym)
                 if wanted is not None:
                     ok = np.zeros(len(self.symbols), bool)
                     ok[wanted[k]] = True
                     keep = np.flatnonzero(ok[sym])
-                    alive, at, ends, out, sym = alive[keep], at[keep], ends[keep], out[keep], sym[keep]
+                    alive, at, out, sym = alive[keep], at[keep], out[keep], sym[keep]
                 out = out * mult + self.symbols[sym] + np.uint64(step + 1)
                 k += 1
                 if k == len(picks) or not len(alive):
@@ -294,14 +293,18 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
         if not len(starts):
             continue
         ends, pairs = np.minimum(starts + m, stops[owner[starts]]), []
-        for repeat, (picks, (keys, order, sampled)) in enumerate(zip(group["plan"], group["tables"])):
-            alive, own, _ = items.walk(seq, starts, ends, repeat, picks, sampled)
-            lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
-            w = np.flatnonzero(hi > lo)
-            if len(w):
-                n = hi[w] - lo[w]
-                item = order[np.repeat(lo[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                pairs.append(np.repeat(alive[w], n) * len(group["ids"]) + item)
+        block = max(WINDOW_WORDS // (m + 1), 1)
+        for i in range(0, len(starts), block):
+            read = starts[i : i + block, None] + np.arange(m + 1)
+            windows = np.where(read < ends[i : i + block, None], seq[np.minimum(read, len(seq) - 1)], items.pad)
+            for repeat, (picks, (keys, order, sampled)) in enumerate(zip(group["plan"], group["tables"])):
+                alive, own, _ = items.walk(windows, repeat, picks, sampled)
+                lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+                w = np.flatnonzero(hi > lo)
+                if len(w):
+                    n = hi[w] - lo[w]
+                    item = order[np.repeat(lo[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    pairs.append(np.repeat(alive[w] + i, n) * len(group["ids"]) + item)
         if not pairs:
             continue
         pair = np.unique(np.concatenate(pairs))
