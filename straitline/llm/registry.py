@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from straitline.session import with_workers
 
-from . import decontaminate, jaccard, langid, licenses, mixing, pii, quality, secrets, suffix_tree, topk
+from . import decontaminate, jaccard, langid, licenses, mixing, pii, quality, resampling, secrets, suffix_tree, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8,
         "op9_jaccard_join": jaccard.op9,
         "op10_suffix_tree_score": suffix_tree.op10,
+        "op13_importance_resampling": resampling.op13,
     }
     return {name: with_workers(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": topk.ORACLE, "op9_jaccard_join": jaccard.ORACLE}
+    return {"op3_exact_top_k": topk.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op13_importance_resampling": resampling.ORACLE}
