@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from straitline.session import with_workers
 
-from . import decontaminate, jaccard, langid, licenses, mixing, pii, quality, resampling, secrets, suffix_tree, topk, warc
+from . import decontaminate, jaccard, langid, licenses, mixing, phrases, pii, quality, resampling, secrets, suffix_tree, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": jaccard.op9,
         "op10_suffix_tree_score": suffix_tree.op10,
         "op11_warc_captures": warc.op11,
+        "op12_phrase_collocations": phrases.op12,
         "op13_importance_resampling": resampling.op13,
     }
     return {name: with_workers(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": topk.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op11_warc_captures": warc.ORACLE, "op13_importance_resampling": resampling.ORACLE}
+    return {"op3_exact_top_k": topk.ORACLE, "op9_jaccard_join": jaccard.ORACLE, "op11_warc_captures": warc.ORACLE, "op12_phrase_collocations": phrases.ORACLE, "op13_importance_resampling": resampling.ORACLE}
