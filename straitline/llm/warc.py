@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import fresh_path, materialize
+from .common import discard, fresh_path, materialize
 
 ROLL, HOT_SHARE, READ_BYTES, BATCH_BYTES = 64 << 20, 1000, 1 << 20, 8 << 20
 CRLF = b"\r\n"
@@ -312,11 +312,16 @@ def with_representative(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.unionByName(settled).withColumn("first", F.coalesce("_hot", "_rest")).drop("_hot", "_rest")
 
 
-def page_records(pages: DataFrame, run: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0, key: str = "page_id") -> DataFrame:
-    """heads and block of three records a page: request, response (or revisit of an equal payload), metadata with the key."""
+def numbered(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """page_id, url, payload, digest, length and a number for each row, written once so that numbers stay."""
     html = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page_id"), "url", html.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    rows = materialize(rows.withColumns({"digest": sha1_base32(F.col("payload")), "length": F.octet_length("payload").cast("long")}), "warc-pages")
+    return materialize(rows.withColumns({"digest": sha1_base32(F.col("payload")), "length": F.octet_length("payload").cast("long")}), "warc-pages", "zstd")
+
+
+def page_records(rows: DataFrame, run: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
+    """heads and block of three records a row of ``numbered``: request, response (or revisit of an equal payload), metadata
+    with the key."""
     first = with_representative(rows.select("page_id", "row", "digest", "length"), least_bytes)
     again = first.where(F.col("first.row") != F.col("row")).select("row", F.col("first.row").alias("_first"))
     rows = rows.join(again, "row", "left")
@@ -336,11 +341,13 @@ def page_records(pages: DataFrame, run: str, date: str = "2024-01-01T00:00:00Z",
     return rows.select(F.explode(three).alias("r")).select("r.heads", "r.block")
 
 
-def write_archives(pages: DataFrame, path: str, **options) -> None:
-    """Write each page's records; ``options`` are those of ``page_records``."""
+def write_archives(pages: DataFrame, path: str, roll: int = ROLL, key: str = "page_id", **options) -> None:
+    """Write each page's records to archives of about ``roll`` bytes; ``options`` are those of ``page_records``."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
-    page_records(pages, uuid.uuid4().hex, **options).write.format("warc").mode("append").option("path", path).save()
+    rows = numbered(pages, key)
+    page_records(rows, uuid.uuid4().hex, **options).write.format("warc").mode("append").option("path", path).option("roll", roll).save()
+    discard(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -93,9 +93,8 @@ def test_files_are_archives_of_single_members(spark, tmp_path):
 
 def test_archives_roll_and_uncommitted_files_are_not_read(spark, tmp_path):
     path = f"file://{tmp_path}/a"
-    spark.dataSource.register(W.WarcSource)
     rows = pages_of(spark, [(i, "u", f"{i} " * 500) for i in range(60)])
-    W.page_records(rows, "run").repartition(2).write.format("warc").mode("append").option("path", path).option("roll", "4000").save()
+    W.write_archives(rows, path, roll=4000)
     names = json.loads(Path(f"{tmp_path}/a/{W.MANIFEST}").read_text())
     assert len(names) > 4
     Path(f"{tmp_path}/a/stray.warc.gz").write_bytes(b"\x1f\x8bhalf a member")
