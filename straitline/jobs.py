@@ -15,8 +15,10 @@ from straitline.operators import series, zone_daily
 from straitline.session import ensure_workers
 from straitline.sources import ingest, rest
 from straitline.sources.catalog import Catalog, children
+from straitline.streaming import collector
 
-PORT_MEASURES = ("portcalls_tanker", "n_tanker", "portcalls", "n_total")
+#: The port layer's measures, in the order in which they are looked for.
+PORT_MEASURES = ("n_tanker", "n_total", "portcalls_tanker")
 
 
 def _day(text: str | None) -> dt.date | None:
@@ -53,6 +55,12 @@ def main(argv: list[str] | None = None) -> int:
     w.add_argument("--id-map", help="saved directory of the ports")
     v = sub.add_parser("verify-endpoints")
     v.add_argument("urls", nargs="+")
+    c = sub.add_parser("collect-ais")
+    c.add_argument("--url", default=collector.FEED_URL)
+    c.add_argument("--every", default="5 minutes")
+    c.add_argument("--seconds", type=float, help="stop after so long; run on without it")
+    c.add_argument("--key-env", default="AISSTREAM_API_KEY", help="the environment variable that holds the key")
+    c.add_argument("--key-file", help="a file that holds the key")
     d = sub.add_parser("resolve-ids")
     d.add_argument("--url", required=True)
     d.add_argument("--entity", choices=("chokepoint", "port"), default="port")
@@ -99,6 +107,13 @@ def main(argv: list[str] | None = None) -> int:
         print(report.markdown(directory))
         if args.save:
             ingest.save_id_map(directory, args.save)
+    elif args.verb == "collect-ais":
+        where = f"{args.root}/feed"
+        key = {"keyfile": args.key_file} if args.key_file else {"keyenv": args.key_env}
+        query = collector.collect(cat, f"{where}/log", f"{where}/checkpoint", zones, args.every, url=args.url, **key)
+        query.awaitTermination(args.seconds)
+        query.stop()
+        print(report.markdown(collector.collector_stats(spark, f"{where}/log").drop("last_error")))
     elif args.verb == "build-ais-metrics":
         pos = cat.read_partitions("ais_positions", _day(args.start), _day(args.end))
         has_static = bool(children(spark, f"{args.root}/raw/ais_static"))

@@ -63,14 +63,16 @@ class Catalog:
     def read_vintage(self, name: str, as_of: dt.date | dt.datetime | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/raw/{name}/retrieved_at={self.resolve(name, as_of)}")
 
-    def append(self, df: DataFrame, name: str, ts: str = "ts") -> None:
-        """Rows into date and hour partitions."""
-        parts = df.withColumns({"date": F.to_date(ts), "hour": F.hour(ts)})
-        parts.write.mode("append").partitionBy("date", "hour").parquet(f"{self.root}/raw/{name}")
+    def append(self, df: DataFrame, name: str, ts: str = "ts", batch: str | None = None) -> None:
+        """Rows into date, hour and batch partitions; with ``batch``, a column, rows of the same batch are replaced."""
+        parts = df.withColumns({"date": F.to_date(ts), "hour": F.hour(ts), "batch": F.col(batch) if batch else F.lit("0")})
+        out = parts.drop(*([batch] if batch else [])).write.partitionBy("date", "hour", "batch")
+        out = out.mode("overwrite").option("partitionOverwriteMode", "dynamic") if batch else out.mode("append")
+        out.parquet(f"{self.root}/raw/{name}")
 
     def read_partitions(self, name: str, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
         """The lake of hive folders, pruned to [start, end] by folder name."""
-        df = self.spark.read.parquet(f"{self.root}/raw/{name}")
+        df = self.spark.read.parquet(f"{self.root}/raw/{name}").drop("batch")
         df = df.where(F.col("date") >= F.lit(start)) if start else df
         return df.where(F.col("date") <= F.lit(end)) if end else df
 

@@ -19,9 +19,9 @@ POSITION_TYPES = ("PositionReport", "StandardClassBPositionReport", "ExtendedCla
 STATIC_TYPES = ("ShipStaticData", "StaticDataReport")
 
 
-def envelopes(raw: DataFrame, column: str = "value") -> DataFrame:
-    """Parsed envelopes with their body as JSON text under the message's own type."""
-    return raw.select(F.from_json(F.col(column).cast("string"), ENVELOPE).alias("e")).select("e.*").withColumn("body", F.element_at("Message", F.col("MessageType")))
+def envelopes(raw: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed envelopes with their body as JSON text under the message's own type, and the columns to ``keep``."""
+    return raw.select(F.from_json(F.col(column).cast("string"), ENVELOPE).alias("e"), *keep).select("e.*", *keep).withColumn("body", F.element_at("Message", F.col("MessageType")))
 
 
 def feed_time(text: Column) -> Column:
@@ -30,18 +30,18 @@ def feed_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(clean), F.current_timestamp())
 
 
-def positions(env: DataFrame, zones: dict[str, Zone] = ZONES) -> DataFrame:
+def positions(env: DataFrame, zones: dict[str, Zone] = ZONES, keep: tuple[str, ...] = ()) -> DataFrame:
     """Position rows; those outside all zones stay, with a null zone."""
     p = env.where(F.col("MessageType").isin(*POSITION_TYPES)).withColumn("b", F.from_json("body", POSITION))
-    p = p.select(F.coalesce("b.UserID", "MetaData.MMSI").alias("mmsi"), feed_time(F.col("MetaData.time_utc")).alias("ts"), F.coalesce("b.Latitude", "MetaData.latitude").alias("lat"), F.coalesce("b.Longitude", "MetaData.longitude").alias("lon"), F.col("b.Sog").alias("sog"), F.col("b.Cog").alias("cog"), F.col("b.TrueHeading").alias("heading"), F.col("b.NavigationalStatus").alias("nav_status"), F.col("MessageType").alias("message_type"), F.nullif(F.trim("MetaData.ShipName"), F.lit("")).alias("ship_name"))
+    p = p.select(F.coalesce("b.UserID", "MetaData.MMSI").alias("mmsi"), feed_time(F.col("MetaData.time_utc")).alias("ts"), F.coalesce("b.Latitude", "MetaData.latitude").alias("lat"), F.coalesce("b.Longitude", "MetaData.longitude").alias("lon"), F.col("b.Sog").alias("sog"), F.col("b.Cog").alias("cog"), F.col("b.TrueHeading").alias("heading"), F.col("b.NavigationalStatus").alias("nav_status"), F.col("MessageType").alias("message_type"), F.nullif(F.trim("MetaData.ShipName"), F.lit("")).alias("ship_name"), *keep)
     return p.where("mmsi is not null and lat is not null and lon is not null").withColumn("zone_key", geo.zone_of(zones, F.col("lon"), F.col("lat")))
 
 
-def static_reports(env: DataFrame) -> DataFrame:
+def static_reports(env: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Static rows of both report shapes; length is bow plus stern."""
     s = env.where(F.col("MessageType").isin(*STATIC_TYPES)).withColumn("b", F.from_json("body", STATIC))
     dim = F.coalesce("b.Dimension", "b.ReportB.Dimension")
-    return s.select(F.coalesce("b.UserID", "MetaData.MMSI").alias("mmsi"), feed_time(F.col("MetaData.time_utc")).alias("ts"), F.nullif("b.ImoNumber", F.lit(0)).alias("imo"), F.nullif(F.trim(F.coalesce("b.Name", "b.ReportA.Name")), F.lit("")).alias("name"), F.nullif(F.trim(F.coalesce("b.CallSign", "b.ReportB.CallSign")), F.lit("")).alias("call_sign"), F.coalesce("b.Type", "b.ReportB.ShipType").alias("ship_type"), F.col("b.MaximumStaticDraught").alias("draught"), (dim["A"] + dim["B"]).alias("length_m"), F.nullif(F.trim("b.Destination"), F.lit("")).alias("destination"), F.col("MessageType").alias("message_type"))
+    return s.select(F.coalesce("b.UserID", "MetaData.MMSI").alias("mmsi"), feed_time(F.col("MetaData.time_utc")).alias("ts"), F.nullif("b.ImoNumber", F.lit(0)).alias("imo"), F.nullif(F.trim(F.coalesce("b.Name", "b.ReportA.Name")), F.lit("")).alias("name"), F.nullif(F.trim(F.coalesce("b.CallSign", "b.ReportB.CallSign")), F.lit("")).alias("call_sign"), F.coalesce("b.Type", "b.ReportB.ShipType").alias("ship_type"), F.col("b.MaximumStaticDraught").alias("draught"), (dim["A"] + dim["B"]).alias("length_m"), F.nullif(F.trim("b.Destination"), F.lit("")).alias("destination"), F.col("MessageType").alias("message_type"), *keep)
 
 
 def subscription(zones: dict[str, Zone], key: str) -> dict:

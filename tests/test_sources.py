@@ -16,17 +16,23 @@ UTC = dt.timezone.utc
 
 
 def test_vintages(spark, tmp_path):
+    """Three snapshots written out of order, one of them by a clock without a zone; each day sees the newest that existed."""
     c = Catalog(spark, str(tmp_path))
-    first, second = dt.datetime(2001, 6, 1, 9, tzinfo=UTC), dt.datetime(2001, 9, 1, 9)
-    for when, v in ((first, 30), (second, 41)):
-        c.write_vintage(spark.createDataFrame([(v,)], "n int"), "flows", when)
-    assert decode(encode(first)) == first and c.vintages("flows") == ["20010601T090000Z", "20010901T090000Z"]
-    assert c.read_vintage("flows", dt.date(2001, 7, 1)).first().n == 30 and c.read_vintage("flows", dt.date(2001, 9, 1)).first().n == 41
-    assert c.read_vintage("flows").first().n == 41
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "port string")
+    noon = dt.datetime(2019, 12, 31, 12, 0, 0, tzinfo=UTC)
+    c.write_vintage(rows("basrah", "jebel ali", "yanbu"), "harbours", noon + dt.timedelta(days=40))
+    c.write_vintage(rows("basrah"), "harbours", noon.astimezone(dt.timezone(dt.timedelta(hours=5))))
+    c.write_vintage(rows("basrah", "yanbu"), "harbours", dt.datetime(2020, 1, 5, 23, 59, 59))
+    assert c.vintages("harbours") == sorted(c.vintages("harbours")) and [decode(v) for v in c.vintages("harbours")][0] == noon
+    seen = {day: c.read_vintage("harbours", dt.date.fromisoformat(day)).count() for day in ("2019-12-31", "2020-01-04", "2020-01-05", "2020-02-08", "2020-02-09")}
+    assert list(seen.values()) == [1, 1, 2, 2, 3] and c.read_vintage("harbours").count() == 3
+    assert c.resolve("harbours", noon) == encode(noon)
+    with pytest.raises(FileNotFoundError, match="harbours"):
+        c.resolve("harbours", noon - dt.timedelta(seconds=1))
+    with pytest.raises(Exception, match="(?i)exist"):  # the same second from another zone
+        c.write_vintage(rows("other"), "harbours", noon.astimezone(dt.timezone(-dt.timedelta(hours=3))))
     with pytest.raises(FileNotFoundError):
-        c.resolve("flows", dt.date(2001, 5, 1))
-    with pytest.raises(Exception, match="(?i)exist"):
-        c.write_vintage(spark.createDataFrame([(1,)], "n int"), "flows", first)
+        c.resolve("berths")
 
 
 def test_lake_and_views(spark, tmp_path):
