@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from straitline.functions.dist import t_two_sided
+from straitline.operators import panel
+
+
+class Moments(NamedTuple):
+    """What linear models need of training rows: their number, means, and sums of products around the means."""
+
+    n: float
+    x: np.ndarray
+    y: float
+    xx: np.ndarray
+    xy: np.ndarray
 
 
 class Estimator(Protocol):
@@ -19,73 +30,107 @@ class Estimator(Protocol):
     def predict(self, x: np.ndarray) -> np.ndarray: ...
 
 
-class Zero:
+class Linear:
+    """An estimator whose intercept and slopes come from moments; it can be fitted to arrays as well."""
+
+    def solve(self, m: Moments) -> tuple[float, np.ndarray]:
+        raise NotImplementedError
+
     def fit(self, x, y):
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        at = x.mean(0)
+        self.a, self.b = self.solve(Moments(len(y), at, float(y.mean()), (x - at).T @ (x - at), (x - at).T @ (y - y.mean())))
         return self
 
     def predict(self, x):
-        return np.zeros(len(x))
+        return self.a + np.asarray(x, float) @ self.b
 
 
-class Mean:
-    def fit(self, x, y):
-        self.mean = float(np.mean(y))
-        return self
+class Zero(Linear):
+    def solve(self, m):
+        return 0.0, np.zeros(len(m.x))
 
-    def predict(self, x):
-        return np.full(len(x), self.mean)
 
+class Mean(Linear):
+    def solve(self, m):
+        return m.y, np.zeros(len(m.x))
 
-class Ridge:
+
+class Ridge(Linear):
     """Features standardised on the training rows (population deviation), unpenalised intercept."""
 
     def __init__(self, alpha: float = 1.0):
         self.alpha = alpha
 
-    def fit(self, x, y):
-        self.at, sd = x.mean(0), x.std(0)
-        self.sd = np.where(sd == 0, 1.0, sd)
-        z = (x - self.at) / self.sd
-        self.b = np.linalg.solve(z.T @ z + self.alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
-        self.a = float(y.mean())
-        return self
-
-    def predict(self, x):
-        return self.a + ((x - self.at) / self.sd) @ self.b
-
-
-SCHEMA = "date date, y_true double, y_pred double, error double, n_train long, n_train_fit long"
+    def solve(self, m):
+        var = np.diag(m.xx) / m.n
+        sd = np.sqrt(np.where(var > 1e-24 * np.maximum(m.x**2, 1e-300), var, 1.0))  # a constant feature is left as it is
+        b = np.linalg.solve(m.xx / np.outer(sd, sd) + self.alpha * np.eye(len(sd)), m.xy / sd) / sd
+        return float(m.y - b @ m.x), b
 
 
 def walk_forward(frame: DataFrame, target: str, features: list[str], model: Callable[[], Estimator], horizon: int = 1, min_train: int = 500, refit: int = 21) -> DataFrame:
     """Expanding window over complete rows; training ends ``horizon`` rows before the forecast; refit every ``refit`` rows.
 
-    A fold is one fit and the rows it predicts: folds are independent tasks over the broadcast panel of a row a day.
+    date, y_true, y_pred, error, n_train, n_train_fit. Rows are numbered (``panel.indexed``) and summed by the fold whose
+    training they enter first; running totals of these sums, a row a refit, are each fold's training moments. Folds are
+    solved where they lie and joined to the rows that they predict. An estimator without ``solve`` gets its folds as groups,
+    each with its training rows.
     """
     leaks = [f for f in features if "fwd_" in f]
     if leaks:
         raise ValueError(f"targets can't be features: {leaks}")
-    panel = frame.select("date", target, *features).dropna().orderBy("date").toPandas()
-    if len(panel) <= min_train + horizon:
-        raise ValueError(f"{len(panel)} complete rows; more than {min_train} + {horizon} are needed")
-    spark = frame.sparkSession
-    x, y, dates = panel[features].to_numpy(dtype=float), panel[target].to_numpy(dtype=float), panel["date"]
+    rows = frame.select("date", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)]).dropna()
+    xs = [f"_x{j}" for j in range(len(features))]
+    n, mean = panel.means(rows, ["_y", *xs])
+    if n <= min_train + horizon:
+        raise ValueError(f"{n} complete rows; more than {min_train} + {horizon} are needed")
     first = max(min_train, horizon + min_train // 2)
-    starts = list(range(first, len(panel), refit))
-    data = spark.sparkContext.broadcast((x, y, dates))
+    start = first - horizon
+    if start < 1:
+        raise ValueError("min_train has to leave a row to train on")
+    rows = panel.indexed(rows)
+    entered = F.when(F.col("_i") < start, F.lit(0)).otherwise(F.floor((F.col("_i") - start) / refit) + 1).cast("long")
+    asked = rows.where(F.col("_i") >= first).withColumn("_f", F.floor((F.col("_i") - first) / refit).cast("long"))
+    out = ["date", F.col("_y").alias("y_true"), "y_pred", (F.col("_y") - F.col("y_pred")).alias("error"), (F.col("_i") - horizon).cast("long").alias("n_train"), (start + refit * F.col("_f")).cast("long").alias("n_train_fit")]
+    if not hasattr(model(), "solve"):
+        return _fitted(rows, asked, xs, model, start, refit, -(-(n - first) // refit)).select(*out)
+    terms = [F.lit(1.0), *[F.col(c) - m for c, m in zip(["_y", *xs], mean)]]
+    sums = panel.products(terms)
+    block = rows.groupBy(entered.alias("_f")).agg(*[s.alias(f"_s{k}") for k, s in enumerate(sums)])
+    upto = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, 0)
+    folds = block.select("_f", F.array(*[F.sum(f"_s{k}").over(upto) for k in range(len(sums))]).alias("_m"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.array(mean)
+        for pdf in batches:
+            found = []
+            for sums in pdf["_m"]:
+                m = panel.square(sums, len(at) + 1)
+                c = m[0, 1:] / m[0, 0]
+                around = m[1:, 1:] - m[0, 0] * np.outer(c, c)
+                a, b = model().solve(Moments(m[0, 0], at[1:] + c[1:], at[0] + c[0], around[1:, 1:], around[1:, 0]))
+                found.append((float(a), [float(v) for v in b]))
+            yield pd.DataFrame({"_f": pdf["_f"], "_a": [a for a, _ in found], "_c": [b for _, b in found]})
+
+    solved = folds.mapInPandas(solve, "_f long, _a double, _c array<double>")
+    predicted = sum((F.col("_c")[j] * F.col(c) for j, c in enumerate(xs)), F.col("_a"))
+    return asked.join(solved, "_f").withColumn("y_pred", predicted).select(*out)
+
+
+def _fitted(rows: DataFrame, asked: DataFrame, xs: list[str], model: Callable[[], Estimator], start: int, refit: int, folds: int) -> DataFrame:
+    """Predictions of an estimator that wants arrays: each fold is a group of its training rows and of those it predicts."""
+    enters = F.greatest(F.lit(0), F.floor((F.col("_i") - start) / refit) + 1)
+    train = rows.where(enters < folds).withColumn("_f", F.explode(F.sequence(enters.cast("long"), F.lit(folds - 1).cast("long")))).withColumn("_ask", F.lit(False))
+    kinds = "date date, _y double, _i long, _f long, y_pred double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, dates = data.value
-        out = []
-        for s in pdf["s"]:
-            end = min(s + refit, len(y))
-            fitted = model().fit(x[: s - horizon], y[: s - horizon])
-            p = np.asarray(fitted.predict(x[s:end]), dtype=float)
-            out.append(pd.DataFrame({"date": dates[s:end].to_numpy(), "y_true": y[s:end], "y_pred": p, "error": y[s:end] - p, "n_train": np.arange(s, end) - horizon, "n_train_fit": s - horizon}))
-        return pd.concat(out)
+        pdf = pdf.sort_values("_i")
+        past, new = pdf[~pdf["_ask"]], pdf[pdf["_ask"]]
+        fitted = model().fit(past[xs].to_numpy(float), past["_y"].to_numpy(float))
+        return new[["date", "_y", "_i", "_f"]].assign(y_pred=np.asarray(fitted.predict(new[xs].to_numpy(float)), float))
 
-    folds = spark.createDataFrame([(s,) for s in starts], "s int")
-    return folds.groupBy("s").applyInPandas(run, SCHEMA)
+    return train.unionByName(asked.withColumn("_ask", F.lit(True))).groupBy("_f").applyInPandas(run, kinds)
 
 
 def scores(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -102,7 +147,7 @@ def diebold_mariano(model: DataFrame, benchmark: DataFrame, horizon: int = 1, lo
         raise ValueError(f"unknown loss {loss!r}")
     l = (lambda c: F.col(c) * F.col(c)) if loss == "squared" else (lambda c: F.abs(F.col(c)))  # noqa: E741, E731
     d = model.select("date", F.col("error").alias("_e1")).join(benchmark.select("date", F.col("error").alias("_e0")), "date")
-    d = d.withColumn("d", l("_e1") - l("_e0")).where(F.col("d").isNotNull() & ~F.isnan("d"))
+    d = d.withColumn("d", l("_e1") - l("_e0")).where(F.abs("d") < float("inf"))  # neither null, NaN nor infinite
     whole, w = Window.partitionBy(), Window.orderBy("date")
     d = d.withColumn("_c", F.col("d") - F.avg("d").over(whole))
     d = d.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(horizon)})

@@ -423,6 +423,40 @@ def granger(bed: Bed) -> DataFrame:
     return dynamics.granger_both(_panel(bed), "brent_ret_1d", "wti_ret_1d")
 
 
+_LAG_ONE = _XY + """, c AS (SELECT date, x, y0 AS y FROM xy WHERE x IS NOT NULL AND y0 IS NOT NULL), g0 AS (SELECT x, y, lag(x) OVER (ORDER BY date) AS x1, lag(y) OVER (ORDER BY date) AS y1 FROM c), g AS (SELECT * FROM g0 WHERE x1 IS NOT NULL),
+m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x1) AS mx1, avg(y1) AS my1, regr_sxy(x1,x1) AS s11, regr_sxy(y1,y1) AS s22, regr_sxy(x1,y1) AS s12, regr_sxy(x,x) AS sxx, regr_sxy(y,y) AS syy, regr_sxy(x,x1) AS sx1, regr_sxy(x,y1) AS sx2, regr_sxy(y,x1) AS sy1, regr_sxy(y,y1) AS sy2 FROM g),
+k AS (SELECT *, (sx1*s22 - sx2*s12)/(s11*s22 - s12*s12) AS bx1, (sx2*s11 - sx1*s12)/(s11*s22 - s12*s12) AS bx2, (sy1*s22 - sy2*s12)/(s11*s22 - s12*s12) AS by1, (sy2*s11 - sy1*s12)/(s11*s22 - s12*s12) AS by2 FROM m)"""
+
+
+@query(
+    _LAG_ONE
+    + """ SELECT 'brent_ret_1d' AS cause, 'wti_ret_1d' AS effect, round(((syy - sy2*sy2/s22) - (syy - by1*sy1 - by2*sy2)) / ((syy - by1*sy1 - by2*sy2) / (n - 3)), 4) AS f_stat, n AS n_obs FROM k
+UNION ALL SELECT 'wti_ret_1d', 'brent_ret_1d', round(((sxx - sx1*sx1/s11) - (sxx - bx1*sx1 - bx2*sx2)) / ((sxx - bx1*sx1 - bx2*sx2) / (n - 3)), 4), n FROM k"""
+)
+def granger_lag1(bed: Bed) -> DataFrame:
+    return dynamics.granger_both(_panel(bed), "brent_ret_1d", "wti_ret_1d", 1).select("cause", "effect", F.round("f_stat", 4).alias("f_stat"), "n_obs")
+
+
+@query(
+    _LAG_ONE
+    + """ SELECT 'brent_ret_1d' AS equation, 'const' AS term, round(mx - bx1*mx1 - bx2*my1, 6) AS coef FROM k UNION ALL SELECT 'brent_ret_1d', 'L1.brent_ret_1d', round(bx1, 6) FROM k UNION ALL SELECT 'brent_ret_1d', 'L1.wti_ret_1d', round(bx2, 6) FROM k
+UNION ALL SELECT 'wti_ret_1d', 'const', round(my - by1*mx1 - by2*my1, 6) FROM k UNION ALL SELECT 'wti_ret_1d', 'L1.brent_ret_1d', round(by1, 6) FROM k UNION ALL SELECT 'wti_ret_1d', 'L1.wti_ret_1d', round(by2, 6) FROM k"""
+)
+def var_one(bed: Bed) -> DataFrame:
+    return dynamics.var_model(_panel(bed), ["brent_ret_1d", "wti_ret_1d"], lag=1).withColumns(r6("coef"))
+
+
+@query(
+    _XY
+    + """, c AS (SELECT date, x, y0 AS s FROM xy WHERE x IS NOT NULL AND y0 IS NOT NULL), m AS (SELECT count(*) AS n, avg(x) AS mx, avg(s) AS ms, regr_sxy(x, s) / regr_sxy(s, s) AS b, regr_sxy(s, s) AS q FROM c),
+v AS (SELECT date, n, b, ((x - mx) - b * (s - ms)) * (s - ms) / q AS v FROM c, m), w AS (SELECT n, b, v, lag(v) OVER (ORDER BY date) AS v1 FROM v), e AS (SELECT n, b, sqrt(sum(v*v) + sum(v*v1)) AS se FROM w GROUP BY n, b)
+SELECT CAST(0 AS INT) AS horizon, round(b, 6) AS beta, round(se, 6) AS std_err, round(b / se, 4) AS t_stat, round(b - 1.96::DOUBLE * se, 6) AS ci_low, round(b + 1.96::DOUBLE * se, 6) AS ci_high, n AS n_obs FROM e"""
+)
+def local_projection_h0(bed: Bed) -> DataFrame:
+    got = dynamics.local_projection(_panel(bed), "brent_ret_1d", "wti_ret_1d", 0, 0)
+    return got.select("horizon", *[F.round(c, 6).alias(c) for c in ("beta", "std_err")], F.round("t_stat", 4).alias("t_stat"), *[F.round(c, 6).alias(c) for c in ("ci_low", "ci_high")], "n_obs")
+
+
 @query()
 def local_projection(bed: Bed) -> DataFrame:
     return dynamics.local_projection(_panel(bed), "brent_ret_1d", "wti_ret_1d", 10)
