@@ -1,6 +1,7 @@
 """Vessel tracks: speed, quality flags, zones, transits, silences, waiting. Inputs have mmsi, ts, lon, lat.
 
-Tracks are windows by vessel, or by zone and vessel: one shuffle on the vessel serves all that is ordered along a track.
+Tracks are windows by vessel, or by zone and vessel. ``tracked`` is the one pass by zone and vessel that crossings, silences
+and waiting are read from; ``transits``, ``dark_gaps`` and ``waiting_episodes`` make a pass of their own.
 ``tie`` breaks equal times, since Spark's sort isn't stable.
 """
 
@@ -78,28 +79,52 @@ def _by_zone(zones: dict[str, Zone], of: Callable[[Zone], Column], column: str =
     return F.coalesce(*[F.when(F.col(column) == k, of(z)) for k, z in zones.items()])
 
 
-def transits(pos: DataFrame, zones: dict[str, Zone], max_gap_hours: float = MAX_GAP_HOURS, tie: str | None = "event_id") -> DataFrame:
-    """Gate crossings of consecutive fixes, all zones in one pass; time and place interpolated along the movement."""
+def tracked(pos: DataFrame, zones: dict[str, Zone], max_speed: float = WAIT_SPEED_KN, tie: str | None = "event_id") -> DataFrame:
+    """One pass along the tracks: each fix of a zone's box with what crossings, silences and waiting need of its neighbours.
+
+    One shuffle and one sort by (scope, mmsi) serve all three: ``_p`` is the fix before (with its place and whether it was
+    inside), ``_in`` whether this one is inside the zone, ``_s`` whether it is stopped there, ``_run`` counts changes of
+    ``_s``, and ``_c`` is the gate's crossing between the two fixes.
+    """
     require(pos, "mmsi", "ts", "lon", "lat")
-    p = scope(pos.dropna(subset=["lon", "lat", "ts"]).select("mmsi", "ts", "lon", "lat", *([tie] if tie in pos.columns else [])), zones)
+    names = [c for c in ("sog", "nav_status", tie) if c in pos.columns]
+    p = scope(pos.dropna(subset=["lon", "lat", "ts"]).select("mmsi", "ts", "lon", "lat", *names), zones)
     w = along(p, ["scope", "mmsi"], tie)
-    p = p.withColumns({"_lon": F.lag("lon").over(w), "_lat": F.lag("lat").over(w), "_ts": F.lag("ts").over(w)}).where("_ts is not null")
-    p = p.withColumn("_c", _by_zone(zones, lambda z: geo.crossing(z, F.col("_lon"), F.col("_lat"), F.col("lon"), F.col("lat")))).where("_c is not null")
-    f, us = F.col("_c.fraction"), F.timestamp_diff("MICROSECOND", F.col("_ts"), F.col("ts"))
+    p = p.withColumn("_in", _by_zone(zones, lambda z: geo.inside(z, F.col("lon"), F.col("lat"))))
+    p = p.withColumn("_s", F.col("_in") & (F.coalesce("sog", F.lit(99.0)) <= max_speed) if "sog" in names else F.lit(False))
+    p = p.withColumn("_p", F.lag(F.struct("ts", "lon", "lat", F.col("_in").alias("inside"), F.col("_s").alias("stopped"))).over(w))
+    turn = (~F.col("_s").eqNullSafe(F.col("_p.stopped"))).cast("int")
+    p = p.withColumn("_run", F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.withColumn("_c", _by_zone(zones, lambda z: geo.crossing(z, F.col("_p.lon"), F.col("_p.lat"), F.col("lon"), F.col("lat"))))
+
+
+def silent(least_hours: float = DARK_HOURS) -> Column:
+    """Both ends inside the zone, and at least so long apart."""
+    return F.col("_in") & F.col("_p.inside") & (hours(F.col("_p.ts"), F.col("ts")) >= least_hours)
+
+
+def crossings_of(track: DataFrame, zones: dict[str, Zone], max_gap_hours: float = MAX_GAP_HOURS, tie: str | None = "event_id") -> DataFrame:
+    """Gate crossings of a track; time and place interpolated along the movement."""
+    f, us, gap = F.col("_c.fraction"), F.timestamp_diff("MICROSECOND", F.col("_p.ts"), F.col("ts")), hours(F.col("_p.ts"), F.col("ts"))
     names = _by_zone(zones, lambda z: F.when(F.col("_c.sign") > 0, z.positive).otherwise(z.negative))
-    return p.select(
+    return track.where("_c is not null").select(
         "mmsi",
         F.col("scope").alias("zone_key"),
-        F.timestamp_add("MICROSECOND", F.round(us * f).cast("long"), F.col("_ts")).alias("crossing_time"),
+        F.timestamp_add("MICROSECOND", F.round(us * f).cast("long"), F.col("_p.ts")).alias("crossing_time"),
         names.alias("direction"),
-        hours(F.col("_ts"), F.col("ts")).alias("gap_hours"),
-        (F.col("_lon") + f * (F.col("lon") - F.col("_lon"))).alias("crossing_lon"),
-        (F.col("_lat") + f * (F.col("lat") - F.col("_lat"))).alias("crossing_lat"),
-        (hours(F.col("_ts"), F.col("ts")) > max_gap_hours).alias("ambiguous"),
-        *([tie] if tie in pos.columns else []),
+        gap.alias("gap_hours"),
+        (F.col("_p.lon") + f * (F.col("lon") - F.col("_p.lon"))).alias("crossing_lon"),
+        (F.col("_p.lat") + f * (F.col("lat") - F.col("_p.lat"))).alias("crossing_lat"),
+        (gap > max_gap_hours).alias("ambiguous"),
+        *([tie] if tie in track.columns else []),
     )
 
 
+def transits(pos: DataFrame, zones: dict[str, Zone], max_gap_hours: float = MAX_GAP_HOURS, tie: str | None = "event_id") -> DataFrame:
+    """Gate crossings of consecutive fixes, all zones in one pass."""
+    return crossings_of(tracked(pos, zones, tie=tie), zones, max_gap_hours, tie)
+
+
 def vessel_identity(crossings: DataFrame, static: DataFrame | None) -> DataFrame:
     """+ imo (the latest known of the mmsi) and vessel_id, ``imo:n`` or ``mmsi:n``."""
     if static is None:
@@ -138,35 +163,29 @@ def transits_daily(crossings: DataFrame, include_ambiguous: bool = False) -> Dat
     return rows.groupBy(F.to_date("crossing_time").alias("date"), "zone_key", "direction").agg(F.count(F.lit(1)).alias("n_transits"), F.countDistinct(who).alias("n_vessels"))
 
 
+def gaps_of(track: DataFrame, least_hours: float = DARK_HOURS) -> DataFrame:
+    return track.where(silent(least_hours)).select("mmsi", F.col("scope").alias("zone_key"), F.col("_p.ts").alias("gap_start"), F.col("ts").alias("gap_end"), hours(F.col("_p.ts"), F.col("ts")).alias("gap_hours"), F.col("_p.lon").alias("start_lon"), F.col("_p.lat").alias("start_lat"))
+
+
 def dark_gaps(pos: DataFrame, zones: dict[str, Zone], least_hours: float = DARK_HOURS, tie: str | None = "event_id") -> DataFrame:
     """Silences of at least ``least_hours`` whose both ends lie inside the zone."""
-    p = scope(pos, zones)
-    w = along(p, ["scope", "mmsi"], tie)
-    within = _by_zone(zones, lambda z: geo.inside(z, F.col("lon"), F.col("lat")))
-    p = p.withColumn("_in", within)
-    p = p.withColumns({"_pin": F.lag("_in").over(w), "gap_start": F.lag("ts").over(w), "start_lon": F.lag("lon").over(w), "start_lat": F.lag("lat").over(w)})
-    p = p.withColumn("gap_hours", hours(F.col("gap_start"), F.col("ts")))
-    return p.where(F.col("_in") & F.col("_pin") & (F.col("gap_hours") >= least_hours)).select("mmsi", F.col("scope").alias("zone_key"), "gap_start", F.col("ts").alias("gap_end"), "gap_hours", "start_lon", "start_lat")
+    return gaps_of(tracked(pos, zones, tie=tie), least_hours)
 
 
-def waiting_episodes(pos: DataFrame, zones: dict[str, Zone], max_speed: float = WAIT_SPEED_KN, least_hours: float = WAIT_HOURS, tie: str | None = "event_id") -> DataFrame:
-    """Runs of stopped fixes in the zone; anchored if at least half report an anchored or moored status."""
-    columns = "mmsi bigint, zone_key string, start timestamp_ntz, end timestamp_ntz, hours double, state string, n_fixes bigint"
-    if "sog" not in pos.columns:
-        return pos.sparkSession.createDataFrame([], columns)
-    p = scope(pos, zones)
-    w = along(p, ["scope", "mmsi"], tie)
-    stopped = _by_zone(zones, lambda z: geo.inside(z, F.col("lon"), F.col("lat"))) & (F.coalesce("sog", F.lit(99.0)) <= max_speed)
-    p = p.withColumn("_s", stopped)
-    p = p.withColumn("_b", (~F.col("_s").eqNullSafe(F.lag("_s").over(w))).cast("int"))
-    p = p.withColumn("_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_s")
-    moored = F.count_if(F.col("nav_status").isin(*ANCHORED)) if "nav_status" in pos.columns else F.lit(None)
-    runs = p.groupBy("scope", "mmsi", "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n_fixes"), moored.alias("_m"))
+def waiting_of(track: DataFrame, least_hours: float = WAIT_HOURS) -> DataFrame:
+    """Runs of stopped fixes of a track; anchored if at least half report an anchored or moored status."""
+    moored = F.count_if(F.col("nav_status").isin(*ANCHORED)) if "nav_status" in track.columns else F.lit(None)
+    runs = track.where("_s").groupBy("scope", "mmsi", "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n_fixes"), moored.alias("_m"))
     state = F.when(F.col("_m").isNull(), "unknown").when(F.col("_m") * 2 >= F.col("n_fixes"), "anchored").otherwise("drifting")
     out = runs.select("mmsi", F.col("scope").alias("zone_key"), "start", "end", hours(F.col("start"), F.col("end")).alias("hours"), state.alias("state"), "n_fixes")
     return out.where(F.col("hours") >= least_hours)
 
 
+def waiting_episodes(pos: DataFrame, zones: dict[str, Zone], max_speed: float = WAIT_SPEED_KN, least_hours: float = WAIT_HOURS, tie: str | None = "event_id") -> DataFrame:
+    """Runs of fixes in the zone at no more than ``max_speed``; none where speeds are not known."""
+    return waiting_of(tracked(pos, zones, max_speed, tie), least_hours)
+
+
 def waiting_daily(episodes: DataFrame) -> DataFrame:
     """Vessels waiting on each UTC day that an episode touches; of a vessel's episodes of a day the first gives the state."""
     days = episodes.withColumn("date", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -21,3 +23,23 @@ def ensure_workers(spark: SparkSession) -> SparkSession:
 
 def with_workers(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(ensure_workers(spark), sf_dir)
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors see; in local mode, where it is unset, a temporary folder."""
+    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="straitline-"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table in the shared folder: several consumers read it, none computes it again."""
+    path = f"{shared_folder(df.sparkSession)}/straitline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
