@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from straitline.functions.dist import f_upper, normal_two_sided
 from straitline.operators import panel
+from straitline.session import written
 
 
 def _complete(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -30,9 +31,9 @@ class LagMoments:
 
     def __init__(self, frame: DataFrame, columns: Sequence[str], lags: int):
         self.columns, self.lags = list(columns), lags
-        rows = _complete(frame, columns)
+        rows = written(panel.indexed(_complete(frame, columns)), "panel")
         self.n, self.means = panel.means(rows, columns)
-        around = panel.lagged(panel.indexed(rows.select("date", *[(F.col(c) - m).alias(c) for c, m in zip(columns, self.means)])), columns, lags)
+        around = panel.lagged(rows.select("_i", *[(F.col(c) - m).alias(c) for c, m in zip(columns, self.means)]), columns, lags)
         terms = [F.col(c if k == 0 else f"{c}_lag{k}") for k in range(lags + 1) for c in columns]
         self.parts = panel.moments(around, terms, F.least("_i", F.lit(lags)).cast("int"))
 
@@ -79,12 +80,13 @@ def local_projection(frame: DataFrame, outcome: str, shock: str, horizons: int =
     """
     spark, columns = frame.sparkSession, list(dict.fromkeys([outcome, shock, *controls]))
     rows = frame.select("date", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    rows = written(panel.indexed(rows), "panel")
     _, mean = panel.means(rows, columns)
-    rows = rows.select("date", *[(F.col(c) - m).alias(c) for c, m in zip(columns, mean)])
-    wide = panel.lagged(panel.indexed(rows), [outcome, shock], lags, range(1, horizons + 1))
+    rows = rows.select("date", "_i", *[(F.col(c) - m).alias(c) for c, m in zip(columns, mean)])
+    wide = panel.lagged(rows, [outcome, shock], lags, range(1, horizons + 1))
     x = [shock, *[f"{c}_lag{k}" for k in range(1, lags + 1) for c in (outcome, shock)], *controls]
     y = F.array(F.col(outcome), *[F.col(f"{outcome}_lead{h}") for h in range(1, horizons + 1)])
-    long = wide.where(F.forall(F.array(*x), lambda v: v.isNotNull())).select("date", F.posexplode(y).alias("_h", "_y"), *[F.col(c).alias(f"_x{j}") for j, c in enumerate(x)]).where("_y is not null")
+    long = written(wide.where(F.forall(F.array(*x), lambda v: v.isNotNull())).select("date", F.posexplode(y).alias("_h", "_y"), *[F.col(c).alias(f"_x{j}") for j, c in enumerate(x)]).where("_y is not null"), "panel-horizons")
     terms = [F.col(f"_x{j}") for j in range(len(x))]
     fits = {}
     for h, m in panel.moments(long, [*terms, F.col("_y")], F.col("_h")).items():
@@ -214,21 +216,20 @@ def stationarity(frame: DataFrame, columns: list[str]) -> DataFrame:
     spark = frame.sparkSession
     schema = "column string, n_obs long, adf_stat double, adf_p double, kpss_stat double, kpss_p double, verdict string"
     named = F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_raw")) for c in columns])).alias("_s")
-    rows = frame.select("date", named).select("date", "_s.*").where(F.col("_raw").isNotNull() & ~F.isnan("_raw"))
+    rows = written(frame.select("date", *columns), "panel").select("date", named).select("date", "_s.*").where(F.col("_raw").isNotNull() & ~F.isnan("_raw"))
     seen = {r["_c"]: r for r in rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n"), F.avg("_raw").alias("m"), F.min("_raw").alias("a"), F.max("_raw").alias("b")).collect()}
     out = {c: (c, r["n"], None, None, None, None, "constant") for c, r in seen.items() if r["n"] >= 20 and r["a"] == r["b"]}
     live = {c: r for c, r in seen.items() if r["n"] >= 20 and r["a"] < r["b"]}
     if live:
         mean = F.broadcast(spark.createDataFrame([(c, r["m"]) for c, r in live.items()], "_c string, _m double"))  # a row a column
-        v = panel.indexed(rows.join(mean, "_c").select("_c", "date", (F.col("_raw") - F.col("_m")).alias("_v")), ["_c"])
+        v = written(panel.indexed(rows.join(mean, "_c").select("_c", "date", (F.col("_raw") - F.col("_m")).alias("_v")), ["_c"]), "panel")
         top = {c: adf_lags(r["n"]) for c, r in live.items()}
         most = max(top.values())
         d = panel.lagged(v, ["_v"], most + 1, by=["_c"]).where("_i > 0")  # the first change is of row 1
         change = [F.col("_v") - F.col("_v_lag1"), *[F.col(f"_v_lag{k}") - F.col(f"_v_lag{k + 1}") for k in range(1, most + 1)]]
-        key = F.struct("_c", F.least(F.col("_i") - 1, F.lit(most)).cast("int").alias("i"))
         by_column: dict[str, dict[int, np.ndarray]] = {}
-        for k, m in panel.moments(d, [F.col("_v_lag1"), *change], key).items():
-            by_column.setdefault(k["_c"], {})[k["i"]] = m
+        for (c, i), m in panel.moments(d, [F.col("_v_lag1"), *change], F.col("_c"), F.least(F.col("_i") - 1, F.lit(most)).cast("int")).items():
+            by_column.setdefault(c, {})[i] = m
         lags = {c: kpss_lags(live[c]["n"], g) for c, g in _autocovariances(v, {c: int(r["n"] ** (2 / 9)) for c, r in live.items()}).items()}
         covs = _autocovariances(v, lags)
         # partial sums: inside a block by a window, before a block from the blocks' totals

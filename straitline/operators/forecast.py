@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from straitline.functions.dist import t_two_sided
 from straitline.operators import panel
+from straitline.session import written
 
 
 class Moments(NamedTuple):
@@ -82,6 +83,7 @@ def walk_forward(frame: DataFrame, target: str, features: list[str], model: Call
         raise ValueError(f"targets can't be features: {leaks}")
     rows = frame.select("date", F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)]).dropna()
     xs = [f"_x{j}" for j in range(len(features))]
+    rows = written(panel.indexed(rows), "panel")
     n, mean = panel.means(rows, ["_y", *xs])
     if n <= min_train + horizon:
         raise ValueError(f"{n} complete rows; more than {min_train} + {horizon} are needed")
@@ -89,7 +91,6 @@ def walk_forward(frame: DataFrame, target: str, features: list[str], model: Call
     start = first - horizon
     if start < 1:
         raise ValueError("min_train has to leave a row to train on")
-    rows = panel.indexed(rows)
     entered = F.when(F.col("_i") < start, F.lit(0)).otherwise(F.floor((F.col("_i") - start) / refit) + 1).cast("long")
     asked = rows.where(F.col("_i") >= first).withColumn("_f", F.floor((F.col("_i") - first) / refit).cast("long"))
     out = ["date", F.col("_y").alias("y_true"), "y_pred", (F.col("_y") - F.col("y_pred")).alias("error"), (F.col("_i") - horizon).cast("long").alias("n_train"), (start + refit * F.col("_f")).cast("long").alias("n_train_fit")]
@@ -169,7 +170,8 @@ def dm_p_value(stat: float | None, n: int) -> float | None:
 def compare(frame: DataFrame, target: str, price_features: list[str], ais_features: list[str], horizon: int = 1, min_train: int = 500, model: Callable[[], Estimator] = Ridge) -> DataFrame:
     """Scoreboard of zero, mean, price and price + AIS models over their common dates, best first."""
     ladder = {"zero": (Zero, price_features), "mean": (Mean, price_features), "price_only": (model, price_features), "price_plus_ais": (model, [*price_features, *ais_features])}
-    runs = {k: walk_forward(frame, target, f, m, horizon, min_train) for k, (m, f) in ladder.items()}
+    frame = written(frame.select("date", target, *dict.fromkeys([*price_features, *ais_features])), "panel")
+    runs = {k: written(walk_forward(frame, target, f, m, horizon, min_train), f"forecast-{k}") for k, (m, f) in ladder.items()}
     dates = None
     for r in runs.values():
         dates = r.select("date") if dates is None else dates.join(r.select("date"), "date", "left_semi")

@@ -7,9 +7,10 @@ matrix of the size of its terms, whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -56,18 +57,42 @@ def square(sums: Sequence[float], size: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
-def moments(rows: DataFrame, terms: Sequence[Column], key: Column) -> dict:
-    """key -> matrix of sums of products of 1 and ``terms``: one aggregation, a row a key to the driver.
+def moments(rows: DataFrame, terms: Sequence[Column], *keys: Column) -> dict:
+    """key -> matrix of sums of products of 1 and ``terms``; with several ``keys`` a tuple of them.
 
-    A null term counts as 0, so a key is to tell apart rows that lack some.
+    A task multiplies its rows out a batch at a time and sends one matrix a key; Spark adds these up. A null term counts as
+    0, so a key is to tell apart rows that lack some.
     """
-    full = [F.lit(1.0), *[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms]]
-    found = rows.groupBy(key.alias("_k")).agg(F.array(*products(full)).alias("_m")).collect()
-    return {r["_k"]: square(r["_m"], len(full)) for r in found}
+    size, names = len(terms) + 1, [f"_k{i}" for i in range(len(keys))]
+    parts = rows.select(*[k.alias(n) for k, n in zip(keys, names)], F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms]).alias("_z"))
+    kinds = {n: parts.schema[n].dataType.simpleString() for n in names}
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = np.column_stack([np.ones(batch.num_rows), batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)])
+            codes, of = {}, np.empty(batch.num_rows, np.int64)
+            for i, key in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+                of[i] = codes.setdefault(key, len(codes))
+            for key, code in codes.items():
+                own = z[of == code]
+                found[key] = found.get(key, 0.0) + own.T @ own
+        if found:
+            columns = [pa.array([k[i] for k in found], batch.schema.field(n).type) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([m.ravel().tolist() for m in found.values()], pa.list_(pa.float64()))], names=[*names, "_m"])
+
+    sent = parts.mapInArrow(multiply, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", _m array<double>")
+    out: dict = {}
+    for r in sent.select(*names, F.posexplode("_m").alias("_at", "_v")).groupBy(*names, "_at").agg(F.sum("_v").alias("_v")).collect():  # keys by terms squared
+        key = r[0] if len(names) == 1 else tuple(r[: len(names)])
+        out.setdefault(key, np.zeros(size * size))[r["_at"]] = r["_v"]
+    return {k: m.reshape(size, size) for k, m in out.items()}
 
 
 def means(rows: DataFrame, columns: Sequence[str]) -> tuple[int, list[float]]:
-    """Rows and the mean of each column; models are solved around these, so large levels don't eat the digits."""
+    """Rows and the mean of each column, in one pass; models are solved around these, so large levels don't eat the digits."""
     r = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
     return r[0], [v or 0.0 for v in r[1:]]
 
