@@ -373,7 +373,7 @@ def captures(records: DataFrame) -> DataFrame:
     ids = anchors.select(F.col("capture_id").alias("to"))
     direct = named.join(ids, "to").select("record_id", F.col("to").alias("capture_id"))
     back = anchors.select("capture_id", F.explode("concurrent_to").alias("record_id"))
-    near = direct.unionByName(back.select("record_id", "capture_id")).distinct()
+    near = direct.unionByName(back.select("record_id", "capture_id"))
     through = named.join(near.withColumnRenamed("record_id", "to"), "to").select("record_id", "capture_id")
     links = near.unionByName(through).distinct()
     part = F.struct("record_id", "type", "target_uri", "fields")
