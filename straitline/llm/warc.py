@@ -21,7 +21,6 @@ it, all with rows of their own; an empty table makes an empty archive; columns b
 
 from __future__ import annotations
 
-import gzip
 import json
 import re
 import uuid
@@ -37,13 +36,12 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import discard, fresh_path, materialize
 
-ROLL, HOT_SHARE, READ_BYTES, BATCH_BYTES = 64 << 20, 1000, 1 << 20, 8 << 20
+ROLL, HOT_SHARE, READ_BYTES, BATCH_BYTES, LEVEL = 64 << 20, 1000, 1 << 20, 8 << 20, 6
 CRLF = b"\r\n"
 MANIFEST = "_manifest"
 #: Names of the format.
-VERSION = b"WARC/1.1"
+VERSION = "WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEADS = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Concurrent-To", "WARC-Refers-To", "WARC-Profile", "WARC-Payload-Digest", "Content-Type", "Content-Length")
 
 RECORD = "record_id string, type string, date string, target_uri string, concurrent_to array<string>, refers_to string, payload_digest string, content_type string, http_status int, payload binary, payload_length long, fields map<string,string>, archive string, offset long"
 
@@ -58,10 +56,12 @@ def sha1_base32(payload: Column) -> Column:
 # ---- records as bytes
 
 
-def record(heads: Iterable[tuple[str, str | None]], block: bytes) -> bytes:
-    """One record: version, heads that have a value, block, two line ends. Line ends inside a value would split the head."""
-    lines = [VERSION, *(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}".encode() for k, v in heads if v is not None), b"Content-Length: %d" % len(block)]
-    return CRLF.join(lines) + CRLF * 2 + block + CRLF * 2
+def record(heads: list[tuple[str, Column]], block: Column) -> Column:
+    """One record as binary: version, heads that have a value, block, two line ends. A line end inside a value would split
+    the head, so it becomes a space."""
+    lines = [F.concat(F.lit(f"{k}: "), F.regexp_replace(v, r"[\r\n]+", " ")) for k, v in heads]
+    top = F.concat_ws("\r\n", F.lit(VERSION), *lines, F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")))
+    return F.concat(F.concat(top, F.lit("\r\n\r\n")).cast("binary"), block, F.lit(b"\r\n\r\n"))
 
 
 def http_request(uri: Column) -> Column:
@@ -93,8 +93,8 @@ class Archive:
         self.at.create_dir(top, recursive=True)
         self.out, self.size = self.at.open_output_stream(f"{top}/{self.name}", compression=None), 0
 
-    def append(self, data: bytes) -> None:
-        member = gzip.compress(data, 6, mtime=0)
+    def append(self, data) -> None:
+        member = zlib.compress(data, LEVEL, 31)
         self.out.write(member)
         self.size += len(member)
 
@@ -105,7 +105,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows of (heads map, block binary) as records; rows of one task keep their order."""
+    """Rows of one column, ``record``, as members; rows of one task keep their order."""
 
     def __init__(self, options: dict):
         self.path, self.roll = options["path"], int(options.get("roll", ROLL))
@@ -113,12 +113,11 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         names, archive = [], None
         for batch in batches:
-            for i in range(batch.num_rows):  # one record in Python at a time
-                heads, block = (batch.column(c)[i].as_py() for c in ("heads", "block"))
+            for one in batch.column("record"):
                 if archive is None:
                     archive = Archive(self.path)
                     names.append(archive.name)
-                archive.append(record(heads, block or b""))
+                archive.append(one.as_buffer())  # not copied
                 if archive.size >= self.roll:
                     archive = archive.out.close()
         if archive is not None:
@@ -270,7 +269,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """``format("warc")``: reads the records of a folder's archives; writes rows of ``heads map<string,string>, block binary``."""
+    """``format("warc")``: reads the records of a folder's archives; writes rows of ``record binary``."""
 
     @classmethod
     def name(cls) -> str:
@@ -320,8 +319,7 @@ def numbered(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def page_records(rows: DataFrame, run: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
-    """heads and block of three records a row of ``numbered``: request, response (or revisit of an equal payload), metadata
-    with the key."""
+    """Three records a row of ``numbered``: request, response (or revisit of an equal payload), metadata with the key."""
     first = with_representative(rows.select("page_id", "row", "digest", "length"), least_bytes)
     again = first.where(F.col("first.row") != F.col("row")).select("row", F.col("first.row").alias("_first"))
     rows = rows.join(again, "row", "left")
@@ -329,16 +327,16 @@ def page_records(rows: DataFrame, run: str, date: str = "2024-01-01T00:00:00Z",
     name = lambda kind, row: _urn(F.lit(run), F.lit(kind), text(row))
     revisit = F.col("_first").isNotNull()
     own = name("response", "row")
-    common = [F.lit("WARC-Date"), F.lit(date), F.lit("WARC-Target-URI"), F.col("url")]
-    heads = lambda kind, uid, mime, *more: F.create_map(F.lit("WARC-Type"), kind, F.lit("WARC-Record-ID"), uid, *common, F.lit("Content-Type"), F.lit(mime), *more)
-    digest_heads = [F.lit("WARC-Payload-Digest"), F.concat(F.lit("sha1:"), "digest"), F.lit("WARC-Refers-To"), F.when(revisit, name("response", "_first")), F.lit("WARC-Profile"), F.when(revisit, F.lit(SAME_PAYLOAD))]
+    common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url"))]
+    heads = lambda kind, uid, mime, *more: [("WARC-Type", kind), ("WARC-Record-ID", uid), *common, ("Content-Type", F.lit(mime)), *more]
+    same = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")), ("WARC-Refers-To", F.when(revisit, name("response", "_first"))), ("WARC-Profile", F.when(revisit, F.lit(SAME_PAYLOAD)))]
     fields = F.concat(F.coalesce(F.concat(F.lit("page-id: "), text("page_id"), F.lit("\r\n")), F.lit("")), F.lit("via: crawl\r\n")).cast("binary")
-    three = F.array(
-        F.struct(heads(F.lit("request"), name("request", "row"), "application/http; msgtype=request", F.lit("WARC-Concurrent-To"), own).alias("heads"), http_request(F.col("url")).alias("block")),
-        F.struct(heads(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), own, "application/http; msgtype=response", *digest_heads).alias("heads"), http_response(F.when(~revisit, F.col("payload")), F.col("length")).alias("block")),
-        F.struct(heads(F.lit("metadata"), name("metadata", "row"), "application/warc-fields", F.lit("WARC-Concurrent-To"), own).alias("heads"), fields.alias("block")),
-    )
-    return rows.select(F.explode(three).alias("r")).select("r.heads", "r.block")
+    three = [
+        record(heads(F.lit("request"), name("request", "row"), "application/http; msgtype=request", ("WARC-Concurrent-To", own)), http_request(F.col("url"))),
+        record(heads(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), own, "application/http; msgtype=response", *same), http_response(F.when(~revisit, F.col("payload")), F.col("length"))),
+        record(heads(F.lit("metadata"), name("metadata", "row"), "application/warc-fields", ("WARC-Concurrent-To", own)), fields),
+    ]
+    return rows.select(F.explode(F.array(*three)).alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, roll: int = ROLL, key: str = "page_id", **options) -> None:
@@ -358,6 +356,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 # ---- records to captures
 
 
+def _short(uid: Column) -> Column:
+    """An identifier as a key of joins: the 16 bytes of a urn:uuid, any other one with a longer prefix; no two share one."""
+    form = r"^<urn:uuid:([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})>$"
+    return F.when(uid.rlike(form), F.unhex(F.regexp_replace(uid, form, "$1$2$3$4$5"))).otherwise(F.concat(F.lit("another identifier "), uid).cast("binary"))
+
+
 def captures(records: DataFrame) -> DataFrame:
     """One nested row a capture: capture_id, type, target_uri, date, payload_digest, payload_length, refers_to, http_status,
     archive, offset, and arrays ``requests`` and ``metadata`` of (record_id, type, target_uri, fields).
@@ -366,20 +370,21 @@ def captures(records: DataFrame) -> DataFrame:
     WARC-Concurrent-To, or where they name a record that does. Those that name none are not part of a capture.
     """
     head = F.col("type").isin("response", "revisit", "resource")
-    small = records.drop("payload", "content_type")
-    anchors = small.where(head).drop("fields").withColumnRenamed("record_id", "capture_id")
-    others = small.where(F.col("type").isin("request", "metadata")).select("record_id", "type", "target_uri", "fields", "concurrent_to")
-    named = others.select("record_id", F.explode("concurrent_to").alias("to"))
-    ids = anchors.select(F.col("capture_id").alias("to"))
-    direct = named.join(ids, "to").select("record_id", F.col("to").alias("capture_id"))
-    back = anchors.select("capture_id", F.explode("concurrent_to").alias("record_id"))
-    near = direct.unionByName(back.select("record_id", "capture_id"))
-    through = named.join(near.withColumnRenamed("record_id", "to"), "to").select("record_id", "capture_id")
+    small = records.drop("payload", "content_type").withColumn("_k", _short(F.col("record_id")))
+    to = F.explode(F.transform("concurrent_to", _short)).alias("_to")
+    anchors = small.where(head).drop("fields").withColumnsRenamed({"record_id": "capture_id", "_k": "_a"})
+    others = small.where(F.col("type").isin("request", "metadata")).select("_k", "record_id", "type", "target_uri", "fields", "concurrent_to")
+    named = others.select("_k", to)
+    direct = named.join(anchors.select(F.col("_a").alias("_to")), "_to").select("_k", F.col("_to").alias("_a"))
+    back = anchors.select(to, "_a").withColumnRenamed("_to", "_k")
+    near = direct.unionByName(back)
+    through = named.join(near.withColumnRenamed("_k", "_to"), "_to").select("_k", "_a")
     links = near.unionByName(through).distinct()
-    part = F.struct("record_id", "type", "target_uri", "fields")
-    nested = others.join(links, "record_id").groupBy("capture_id").agg(F.array_sort(F.collect_list(F.when(F.col("type") == "request", _plain(part)))).alias("requests"), F.array_sort(F.collect_list(F.when(F.col("type") == "metadata", _plain(part)))).alias("metadata"))
+    part = _plain(F.struct("record_id", "type", "target_uri", "fields"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("type") == kind, part)))
+    nested = others.join(links, "_k").groupBy("_a").agg(of("request").alias("requests"), of("metadata").alias("metadata"))
     none = F.array().cast(nested.schema["requests"].dataType)
-    out = anchors.drop("concurrent_to").join(nested, "capture_id", "left")
+    out = anchors.drop("concurrent_to").join(nested, "_a", "left").drop("_a")
     return out.withColumns({c: F.coalesce(c, none) for c in ("requests", "metadata")})
 
 

@@ -102,7 +102,10 @@ def test_archives_roll_and_uncommitted_files_are_not_read(spark, tmp_path):
 
 
 def test_broken_and_plain_archives(spark, tmp_path):
-    whole = W.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<a>"), ("Content-Type", "text/plain")], b"one\r\n\r\ntwo") + W.record([("WARC-Type", "metadata"), ("WARC-Record-ID", "<b>"), ("WARC-Concurrent-To", "<a>"), ("Content-Type", "application/warc-fields")], b"k: v\r\n")
+    heads = [[("WARC-Type", "resource"), ("WARC-Record-ID", "<a>"), ("Content-Type", "text/plain"), ("None", None)], [("WARC-Type", "metadata"), ("WARC-Record-ID", "<b>"), ("WARC-Concurrent-To", "<a>"), ("Content-Type", "application/warc-fields")]]
+    made = [W.record([(k, F.lit(v).cast("string")) for k, v in h], F.lit(block)) for h, block in zip(heads, (b"one\r\n\r\ntwo", b"k: v\r\n"))]
+    whole = b"".join(bytes(v) for v in spark.range(1).select(*[m.alias(f"r{i}") for i, m in enumerate(made)]).first())
+    assert [b for _, b in parse(whole)] == [b"one\r\n\r\ntwo", b"k: v\r\n"] and b"None" not in whole
     (tmp_path / "plain").mkdir()
     (tmp_path / "plain/a.warc").write_bytes(whole)
     got = {r["record_id"]: r for r in W.read_archives(spark, f"file://{tmp_path}/plain").collect()}
@@ -126,6 +129,7 @@ def test_captures_join_either_direction_and_through_one(spark):
         rec("m3", "metadata", ["r1", "r3"]),  # of two captures
     ]
     got = {r["capture_id"]: ([q["record_id"] for q in r["requests"]], [m["record_id"] for m in r["metadata"]], r["k"]) for r in W.captures(spark.createDataFrame(rows, W.RECORD)).withColumn("k", W.field_of("metadata", "k")).collect()}
+    assert W.captures(spark.createDataFrame([], W.RECORD)).count() == 0
     assert got == {"r1": (["q1"], ["m1", "m3"], "1"), "r2": (["q2"], ["m2"], "2"), "r3": ([], ["m3"], None)}
 
 
