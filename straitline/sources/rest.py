@@ -10,6 +10,7 @@ import csv
 import datetime as dt
 import io
 import json
+import logging
 import time
 import urllib.error
 import urllib.parse
@@ -22,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from straitline.config import require_setting
 
+log = logging.getLogger("straitline")
+
 PRICE_PAGE, LAYER_PAGE, MAX_RECORDS = 5000, 1000, 500_000
 ATTEMPTS, BASE_DELAY_S = 4, 3.0
 
@@ -234,11 +237,16 @@ def read_price_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.to_date(d).alias("date"), F.try_to_number(F.nullif(F.col(v), F.lit(".")), F.lit("S999999D999999")).cast("double").alias("value")).where("date is not null and value is not null")
 
 
+def between(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    df = df.where(F.col("date") >= F.lit(start).cast("date")) if start else df
+    return df.where(F.col("date") <= F.lit(end).cast("date")) if end else df
+
+
 def spot(primary: Callable[[], DataFrame], fallback: Callable[[], DataFrame], start: str | None = None, end: str | None = None) -> DataFrame:
-    """The primary source; on any error of it the fallback, filtered to the dates here. An empty reply is no error."""
+    """The primary source; on any error of it, a missing key too, the fallback, filtered to the dates here. The change of
+    source is logged with its reason. An empty reply is no error."""
     try:
         return primary()
-    except Exception:  # noqa: BLE001  any failure of a remote source
-        df = fallback()
-    df = df.where(F.col("date") >= F.lit(start).cast("date")) if start else df
-    return df.where(F.col("date") <= F.lit(end).cast("date")) if end else df
+    except Exception as e:  # noqa: BLE001  any failure of a remote source
+        log.warning("the primary source failed (%s: %s); using the fallback", type(e).__name__, str(e).splitlines()[0] if str(e) else "")
+        return between(fallback(), start, end)

@@ -76,11 +76,16 @@ def test_paging_and_retry():
         rest.with_retry(lambda u, p: {"error": "bad"}, "u", {})
 
 
-def test_price_csv_and_fallback(spark, tmp_path):
+def test_price_csv_and_fallback(spark, tmp_path, caplog):
     (tmp_path / "p.csv").write_text("DATE,V\n2024-01-02,77.5\n2024-01-03,.\n2024-01-04,-3\n")
     df = rest.read_price_csv(spark, str(tmp_path / "p.csv"))
     assert [(r.date.day, r.value) for r in df.orderBy("date").collect()] == [(2, 77.5), (4, -3.0)]
-    got = rest.spot(lambda: 1 / 0, lambda: df, "2024-01-03")
+
+    def down():
+        raise RuntimeError("set EIA_API_KEY in the environment")
+
+    got = rest.spot(down, lambda: df, "2024-01-03")
+    assert "EIA_API_KEY" in caplog.text and "fallback" in caplog.text
     assert got.count() == 1 and rest.spot(lambda: df.limit(0), lambda: df).count() == 0
 
 
