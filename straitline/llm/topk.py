@@ -71,7 +71,7 @@ class Block:
             vec, dim = np.nonzero(level == b)
             if len(vec):
                 rest = np.sqrt((np.where(level < b, x, 0).astype(np.float64) ** 2).sum(1)) * (1 + 1e-12)
-                self.segments.append((vec.astype(np.int32), dim.astype(np.int16), rest))
+                self.segments.append((vec.astype(np.int32), dim.astype(np.int16 if x.shape[1] <= 1 << 15 else np.int32), rest))
 
     def dump(self) -> bytes:
         top = int(np.abs(self.x).max(initial=0))

@@ -35,6 +35,16 @@ def test_stops_on_proof_only():
         assert [(-int(a), int(b)) for a, b in zip(s[qi == i], ci[qi == i])] == full
 
 
+def test_wide_vectors():
+    r = np.random.default_rng(2)
+    x = r.integers(-60, 60, (90, 40_000))
+    q = x[:5]
+    qi, ci, s = T.search_block(np.arange(5), q, T.Block.load(T.Block(np.arange(90), x).dump()), 10)
+    for i in range(5):
+        full = sorted((-int(v), j) for j, v in enumerate(q[i] @ x.T) if j != i)[:10]
+        assert [(-int(a), int(b)) for a, b in zip(s[qi == i], ci[qi == i])] == full
+
+
 def test_segments_hold_every_entry_once_by_impact():
     r = np.random.default_rng(4)
     x = r.integers(-70, 70, (200, 9))
