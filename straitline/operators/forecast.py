@@ -167,16 +167,46 @@ def dm_p_value(stat: float | None, n: int) -> float | None:
     return None if stat is None else t_two_sided(stat, n - 1)
 
 
-def compare(frame: DataFrame, target: str, price_features: list[str], ais_features: list[str], horizon: int = 1, min_train: int = 500, model: Callable[[], Estimator] = Ridge) -> DataFrame:
-    """Scoreboard of zero, mean, price and price + AIS models over their common dates, best first."""
-    ladder = {"zero": (Zero, price_features), "mean": (Mean, price_features), "price_only": (model, price_features), "price_plus_ais": (model, [*price_features, *ais_features])}
+def ladder(frame: DataFrame, target: str, price_features: list[str], ais_features: list[str], horizon: int = 1, min_train: int = 500, model: Callable[[], Estimator] = Ridge) -> DataFrame:
+    """Predictions of zero, mean, price and price + AIS models (column ``model``) on their common dates."""
+    steps = {"zero": (Zero, price_features), "mean": (Mean, price_features), "price_only": (model, price_features), "price_plus_ais": (model, [*price_features, *ais_features])}
     frame = written(frame.select("date", target, *dict.fromkeys([*price_features, *ais_features])), "panel")
-    runs = {k: written(walk_forward(frame, target, f, m, horizon, min_train), f"forecast-{k}") for k, (m, f) in ladder.items()}
-    dates = None
-    for r in runs.values():
-        dates = r.select("date") if dates is None else dates.join(r.select("date"), "date", "left_semi")
-    both = [r.join(dates, "date", "left_semi").withColumn("model", F.lit(k)) for k, r in runs.items()]
-    board = both[0]
-    for b in both[1:]:
-        board = board.unionByName(b)
-    return scores(board, ["model"]).orderBy("rmse")
+    every = None
+    for k, (m, f) in steps.items():
+        run = walk_forward(frame, target, f, m, horizon, min_train).withColumn("model", F.lit(k))
+        every = run if every is None else every.unionByName(run)
+    every = written(every, "forecasts")
+    common = every.groupBy("date").count().where(F.col("count") == len(steps)).select("date")
+    return every.join(common, "date", "left_semi")
+
+
+def compare(frame: DataFrame, target: str, price_features: list[str], ais_features: list[str], horizon: int = 1, min_train: int = 500, model: Callable[[], Estimator] = Ridge) -> DataFrame:
+    """Scoreboard of the ladder, best first."""
+    return scores(ladder(frame, target, price_features, ais_features, horizon, min_train, model), ["model"]).orderBy("rmse")
+
+
+#: Families of targets, by the name of their column at a horizon.
+FAMILIES = {"Direction": "brent_fwd_ret_{h}d", "Volatility": "brent_fwd_rv_{h}d", "Brent-WTI spread": "brent_wti_spread_fwd_chg_{h}d"}
+
+
+def verdicts(frame: DataFrame, price_features: list[str], ais_features: list[str], horizons: tuple[int, ...] = (1, 5, 20), min_train: int = 500, model: Callable[[], Estimator] = Ridge, level: float = 0.05) -> DataFrame:
+    """family, horizon, dm_stat, p_value, n, verdict of price + AIS against price alone, for the targets that are there.
+
+    A significant negative statistic is ``improves``, a positive one ``worsens``; a target with too few rows is ``undecided``.
+    """
+    out = []
+    for family, name in FAMILIES.items():
+        for h in horizons:
+            target = name.format(h=h)
+            if target not in frame.columns:
+                continue
+            try:
+                runs = ladder(frame, target, price_features, ais_features, h, min_train, model)
+            except ValueError:  # not enough complete rows
+                out.append((family, h, None, None, 0, "undecided"))
+                continue
+            r = diebold_mariano(runs.where("model = 'price_plus_ais'"), runs.where("model = 'price_only'"), h).first()
+            p = dm_p_value(r["dm_stat"], r["n"])
+            word = "undecided" if p is None else "no difference" if p >= level else "improves" if r["dm_stat"] < 0 else "worsens"
+            out.append((family, h, r["dm_stat"], p, r["n"], word))
+    return frame.sparkSession.createDataFrame(out, "family string, horizon int, dm_stat double, p_value double, n long, verdict string")

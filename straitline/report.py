@@ -83,10 +83,6 @@ def skill(board: DataFrame, benchmark: str = "price_only") -> DataFrame:
     return board.withColumn("rmse_vs_benchmark_pct", (F.col("rmse") / base - 1) * 100)
 
 
-def verdict(p, better):
-    return F.when(p.isNull(), "undecided").when((p < 0.05) & better, "improves").when(p < 0.05, "worsens").otherwise("no difference")
-
-
 def generate(table: DataFrame, events: DataFrame, horizons: tuple[int, ...] = (1, 5, 20), min_train: int = 500) -> str:
     cols = discover(table.columns)
     first = cols["flow"][0] if cols["flow"] else None
@@ -104,6 +100,7 @@ def generate(table: DataFrame, events: DataFrame, horizons: tuple[int, ...] = (1
             section("Granger", lambda: markdown(dynamics.granger_both(table, "brent_ret_1d", first))),
             section("Local projection", lambda: markdown(dynamics.local_projection(table, "brent_ret_1d", first, 10).orderBy("horizon"))),
             section("Forecasts", forecasts),
+            section("Verdicts", lambda: markdown(forecast.verdicts(table, cols["price"][:3], cols["flow"][:3], horizons, min_train))),
             section("Limitations", lambda: "Research output, not advice. Published series are lagged to their release; own counts depend on collection."),
         ]
     )

@@ -214,3 +214,18 @@ def test_infinite_errors_leave_the_comparison(spark):
     rows = lambda k: spark.createDataFrame([(D0 + dt.timedelta(days=i), float("inf") if i == 3 else float("nan") if i == 4 else k * math.sin(i * i)) for i in range(40)], "date date, error double")
     r = forecast.diebold_mariano(rows(1.0), rows(2.0)).first()
     assert r.n == 38 and r.dm_stat < 0 and math.isfinite(r.mean_loss_differential)
+
+
+def test_verdicts_name_what_the_extra_features_do(spark):
+    r = np.random.default_rng(9)
+    n = 420
+    price, flow = r.normal(size=n), r.normal(size=n)
+    rows = [(D0 + dt.timedelta(days=i), float(price[i]), float(flow[i]), float(0.2 * price[i] + 0.9 * flow[i] + 0.1 * r.normal()), float(r.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "date date, p double, f double, brent_fwd_ret_1d double, brent_fwd_rv_5d double")
+    got = {(x.family, x.horizon): x for x in forecast.verdicts(df, ["p"], ["f"], (1, 5), 300).collect()}
+    assert set(got) == {("Direction", 1), ("Volatility", 5)} and got["Direction", 1].verdict == "improves" and got["Direction", 1].dm_stat < 0
+    assert got["Volatility", 5].verdict in ("no difference", "worsens") and got["Volatility", 5].n == 120
+    few = forecast.verdicts(df.limit(50), ["p"], ["f"], (1,), 300).collect()
+    assert [(x.family, x.verdict, x.dm_stat) for x in few] == [("Direction", "undecided", None)]
+    board = forecast.compare(df, "brent_fwd_ret_1d", ["p"], ["f"], 1, 300).collect()
+    assert [b.model for b in board][0] == "price_plus_ais" and {b.n for b in board} == {120}
