@@ -9,7 +9,9 @@ small Hamming distance. Bit sampling keeps some random steps of the whole walk,
 item of equal size that agree on all bits of one repeat are a candidate pair, and their exact edit distance is computed.
 Edits grow with the size of an item and walks drift apart, so bits and repeats are chosen for each size: walks over pairs
 with exactly the allowed edits (anywhere, in either half, in one burst, substitutions, insertions, deletions and mixtures)
-are measured, and the repeats are as many as find MEASURED of every kind.
+are measured, and the repeats are as many as find MEASURED of every kind. A passage that lost its beginning is found by the
+window in which the rest stands at its own place; at the start of a text that window begins before the text, by at most
+the allowed edits, and other words stand for what is missing.
 
 Before the walk a lossless screen removes windows: an edit breaks at most two pairs of neighbouring words, so a match with
 e edits holds at least m - 1 - 2 e of the item's pairs within m + e words. Only places with enough such pairs are walked.
@@ -292,11 +294,17 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
         starts = places(where[group["mine"][at]], owner, m - 1 - 2 * e, max(m + e - 1, 1))
         if not len(starts):
             continue
-        ends, pairs = np.minimum(starts + m, stops[owner[starts]]), []
+        # windows that begin up to e words before their text, for passages that lost their beginning there
+        heads = np.flatnonzero(starts == offsets[owner[starts]])
+        origin = np.concatenate([np.arange(len(starts)), np.repeat(heads, e)])
+        lead = np.concatenate([np.zeros(len(starts), np.int64), np.tile(np.arange(1, e + 1), len(heads))])
+        begins = starts[origin]
+        firsts, ends, pairs = begins - lead, np.minimum(begins - lead + m, stops[owner[begins]]), []
         block = max(WINDOW_WORDS // (m + 1), 1)
-        for i in range(0, len(starts), block):
-            read = starts[i : i + block, None] + np.arange(m + 1)
-            windows = np.where(read < ends[i : i + block, None], seq[np.minimum(read, len(seq) - 1)], items.pad)
+        for i in range(0, len(firsts), block):
+            read = firsts[i : i + block, None] + np.arange(m + 1)
+            windows = np.where(read < ends[i : i + block, None], seq[np.clip(read, 0, len(seq) - 1)], items.pad)
+            windows[read < begins[i : i + block, None]] = unknown
             for repeat, (picks, (keys, order, sampled)) in enumerate(zip(group["plan"], group["tables"])):
                 alive, own, _ = items.walk(windows, repeat, picks, sampled)
                 lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
@@ -304,7 +312,7 @@ def match(items: Items, docs: list[list[str]]) -> tuple[np.ndarray, ...]:
                 if len(w):
                     n = hi[w] - lo[w]
                     item = order[np.repeat(lo[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    pairs.append(np.repeat(alive[w] + i, n) * len(group["ids"]) + item)
+                    pairs.append(origin[np.repeat(alive[w] + i, n)] * len(group["ids"]) + item)
         if not pairs:
             continue
         pair = np.unique(np.concatenate(pairs))

@@ -136,15 +136,21 @@ def test_decontaminate_edges(spark, docs, no_docs, monkeypatch):
     assert D.decontaminate(docs, bench.limit(0)).count() == docs.count()
 
 
-def recall_at_the_limit(m, kind, items=20, copies=6):
+def without_block(x, kind, e, rng):
+    """``x`` without e words in a row: the first, the last, or some between."""
+    at = {"lost head": 0, "lost tail": len(x) - e}.get(kind, int(rng.integers(0, len(x) - e + 1)))
+    return x[:at] + x[at + e :]
+
+
+def recall_at_the_limit(m, kind, items=20, copies=6, before=9):
     """Share found of passages of m words after exactly the allowed number of edits of a kind."""
     r, rng = random.Random(m), np.random.default_rng(m)
     vocab = [f"w{i}" for i in range(5000)]
     rows = [(i, [r.choice(vocab) for _ in range(m)]) for i in range(items)]
     docs = []
     for _, w in rows * copies:
-        x = D.edited(w, kind, D.allowed(m), rng, lambda: f"new{r.randrange(5000)}")
-        docs.append([r.choice(vocab) for _ in range(9)] + x + [r.choice(vocab) for _ in range(9)])
+        x = without_block(w, kind, D.allowed(m), rng) if kind.startswith("lost") else D.edited(w, kind, D.allowed(m), rng, lambda: f"new{r.randrange(5000)}")
+        docs.append([r.choice(vocab) for _ in range(before)] + x + [r.choice(vocab) for _ in range(9)])
     doc, item, *_, dist = D.match(D.Items(rows), docs)
     assert (dist <= D.allowed(m)).all()
     return len({(d, i) for d, i in zip(doc.tolist(), item.tolist()) if d % items == i}) / len(docs)
@@ -156,6 +162,23 @@ def test_recall_holds_at_exactly_the_allowed_edits_wherever_they_lie(m):
     assert min(found.values()) >= D.RECALL, found
 
 
+@pytest.mark.parametrize("before", [0, 9, 250])
+@pytest.mark.parametrize("m", [8, 10, 25, 60, 200])
+def test_recall_of_passages_that_lost_a_block_wherever_they_stand(m, before):
+    found = {kind: recall_at_the_limit(m, kind, before=before) for kind in ("lost head", "lost tail", "lost block")}
+    assert min(found.values()) >= D.RECALL, found
+
+
+def test_a_lost_beginning_is_reported_at_the_start_of_the_text():
+    item = [f"w{i}" for i in range(100)]
+    doc, _, m, start, dist = D.match(D.Items([(7, item)]), [item[20:], ["x", "y", *item[18:]], item[21:]])
+    best = {}
+    for k, s, d in zip(doc.tolist(), start.tolist(), dist.tolist()):
+        best[k] = min(best.get(k, (d, s)), (d, s))
+    assert best == {0: (20, 0), 1: (18, 0)}
+    assert (start >= 0).all() and m.tolist() == [100] * len(m)
+
+
 def test_short_items_match_exactly():
     items = [(m, [f"a{m}_{i}" for i in range(m)]) for m in range(1, 8)]
     docs = [["x", *w, "y"] for _, w in items] + [w for _, w in items] + [[*w[:-1], "other"] for _, w in items]
