@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from straitline.config import ZONES
 from straitline.functions import windows as W
-from straitline.operators import dynamics, forecast, laden, series, study, tracks, zone_daily
+from straitline.operators import dynamics, forecast, laden, polygons, series, study, tracks, zone_daily
 from straitline.session import ensure_workers
 from straitline.testbed import ZONE_KEYS, Bed, with_views
 
@@ -73,6 +73,20 @@ def zone_tag(bed: Bed) -> DataFrame:
     return tracks.tag_zones(bed.positions, ZONES).select("event_id", "zone_key")
 
 
+#: A diamond and one of half its size, the hole in it: center and half axes.
+_DIAMOND = (56.45, 26.4, 0.8137, 0.7771)
+
+
+@query(f"""{with_views('positions')} SELECT event_id, 'hormuz' AS polygon FROM positions WHERE lon > 55.6 AND lon < 57.3 AND lat > 25.6 AND lat < 27.2
+UNION ALL SELECT event_id, 'ring' FROM positions WHERE abs(lon - {_DIAMOND[0]}) / {_DIAMOND[2]} + abs(lat - {_DIAMOND[1]}) / {_DIAMOND[3]} BETWEEN 0.5 AND 1""")
+def polygon_holders(bed: Bed) -> DataFrame:
+    x, y, a, b = _DIAMOND
+    rings = [("ring", [(x - a * k, y), (x, y - b * k), (x + a * k, y), (x, y + b * k)]) for k in (1.0, 0.5)]
+    zones = polygons.layer_of(bed.spark, ZONES)
+    cells = polygons.cover(zones.unionByName(bed.spark.createDataFrame(rings, zones.schema)))
+    return polygons.holders(bed.positions, cells).select("event_id", F.explode("polygons").alias("polygon"))
+
+
 @query(f"{with_views('positions')} SELECT event_id, 'hormuz' AS scope FROM positions WHERE lon BETWEEN 55.6 AND 57.3 AND lat BETWEEN 25.6 AND 27.2")
 def bbox_scope(bed: Bed) -> DataFrame:
     return tracks.scope(bed.positions, ZONES).select("event_id", "scope")
