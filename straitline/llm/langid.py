@@ -6,7 +6,8 @@ to shorter ones, then to the penalty. A text takes the language of the greatest
 
 Word and n-gram frequencies are sums over all labelled training rows. An entry stays if its share of its language's
 words (of n-grams of its length) is at least FLOOR, so a language keeps at most 1/FLOOR words and 1/FLOOR n-grams of a
-length, and there are at most MAX_LANGUAGES: that bounds what is broadcast at any size.
+length. What is broadcast are (entry, language, value) triples, so it is bounded by 5/FLOOR of them for each language,
+whatever the size of the corpus, and grows in proportion to the number of languages, which has no limit.
 
 Cases: a null text or one without a letter is ``und`` with score 0; ties go to the language that sorts first; rows without
 a language don't train; if none trains, all is ``und``; repeated rows count each; other columns are ignored.
@@ -20,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, crc_mod, materialize, slices
+from .common import bounded, column, crc_mod, discard, materialize, slices
 
-FLOOR, MAX_N, MAX_LANGUAGES = 5e-6, 4, 512
+FLOOR, MAX_N = 5e-6, 4
 PENALTY = -7.0
-FLUSH, REMEMBER = 300_000, 200_000
+FLUSH = 300_000
+#: Pairs of entry and language that a task expands or remembers at once, and cells of a dense block of scores.
+PAIRS, CELLS = 4_000_000, 4_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -79,90 +83,121 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
+class Entries:
+    """Words or n-grams with what each adds to the penalty, as (language, value) pairs of an entry in a row."""
+
+    def __init__(self, at: dict[str, int], ends: np.ndarray, lang: np.ndarray, value: np.ndarray):
+        self.at, self.ends, self.lang, self.value = at, np.concatenate([[0], ends]).astype(np.int64), lang.astype(np.int32), value
+
+    @classmethod
+    def of(cls, entries: dict[str, dict[str, float]], langs: list[str]) -> Entries:
+        place = {lang: j for j, lang in enumerate(langs)}
+        pairs = [(place[lang], v - PENALTY) for by in entries.values() for lang, v in by.items()]
+        lang, value = zip(*pairs) if pairs else ((), ())
+        return cls({w: i for i, w in enumerate(entries)}, np.cumsum([len(by) for by in entries.values()]), np.array(lang, np.int32), np.array(value, float))
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table, langs: list[str]) -> Entries:
+        """Of rows (entry, lang, v), those of an entry together."""
+        at: dict[str, int] = {}
+        own = np.array([at.setdefault(w, len(at)) for w in rows.column(0).to_pylist()], dtype=np.int64)
+        lang = pc.index_in(rows.column(1), value_set=pa.array(langs, pa.string())).to_numpy()
+        return cls(at, np.cumsum(np.bincount(own, minlength=len(at))), lang, rows.column(2).to_numpy() - PENALTY)
+
+    @classmethod
+    def of_dense(cls, names: list[str], scores: np.ndarray) -> Entries:
+        own, lang = np.nonzero(scores)
+        return cls({w: i for i, w in enumerate(names)}, np.cumsum(np.bincount(own, minlength=len(names))), lang, scores[own, lang])
+
+    @classmethod
+    def joined(cls, parts: list[Entries]) -> Entries:
+        names = [w for p in parts for w in p.at]
+        sizes = np.concatenate([np.diff(p.ends) for p in parts])
+        return cls({w: i for i, w in enumerate(names)}, np.cumsum(sizes), np.concatenate([p.lang for p in parts]), np.concatenate([p.value for p in parts]))
+
+    def add(self, out: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> None:
+        """Add each entry's pairs to the row of ``out`` that owns it, at most some PAIRS at once."""
+        langs, n = out.shape[1], np.diff(self.ends)[ids]
+        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()), PAIRS)) + 1 if len(n) else []
+        for who, which, k in zip(*(np.split(x, np.unique(cuts)) for x in (owner, ids, n))):
+            at = np.repeat(self.ends[which], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            out += np.bincount(np.repeat(who, k) * langs + self.lang[at], weights=self.value[at], minlength=out.size).reshape(out.shape)
+
+
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, dict[str, float]], ngrams: list[dict[str, dict[str, float]]]):
-        self.langs = langs
-        self.words, self.word_scores = self._pack(words)
-        self.grams = [self._pack(g) for g in ngrams]
-        self.cache: dict[str, int] = {}
-        self.extra: list[np.ndarray] = []
-
-    def _pack(self, entries: dict[str, dict[str, float]]) -> tuple[dict[str, int], np.ndarray]:
-        scores = np.full((len(entries), len(self.langs)), PENALTY)
-        at = {lang: j for j, lang in enumerate(self.langs)}
-        for i, by in enumerate(entries.values()):
-            for lang, v in by.items():
-                scores[i, at[lang]] = v
-        return {w: i for i, w in enumerate(entries)}, scores
+    """Languages, words and n-grams by length. ``words`` and ``ngrams`` are Entries, or dicts of an entry's scores."""
 
-    def back_off(self, unseen: list[str]) -> np.ndarray:
-        """Scores of words that no language knows."""
-        out, open_ = np.full((len(unseen), len(self.langs)), PENALTY), np.arange(len(unseen))
+    def __init__(self, langs: list[str], words: Entries | dict, ngrams: list):
+        entries = lambda e: e if isinstance(e, Entries) else Entries.of(e, langs)
+        self.langs, self.words, self.grams = langs, entries(words), [entries(g) for g in ngrams]
+
+    def raised(self, unseen: list[str]) -> np.ndarray:
+        """Scores above the penalty of words that no language knows, a row a word."""
+        out, open_ = np.zeros((len(unseen), len(self.langs))), np.arange(len(unseen))
         for size in range(len(self.grams), 0, -1):
-            ids, scores = self.grams[size - 1]
-            if not len(open_) or not len(scores):
-                continue
-            get, flat, owner = ids.get, [], []
+            get, flat, owner = self.grams[size - 1].at.get, [], []
             for i in open_.tolist():
                 found = [g for g in map(get, grams(unseen[i], size)) if g is not None]
                 flat += found
                 owner += [i] * len(found)
             if flat:
                 own = np.array(owner)
-                sums = np.stack([np.bincount(own, weights=scores[flat, j], minlength=len(unseen)) for j in range(len(self.langs))], axis=1)
+                self.grams[size - 1].add(out, own, np.array(flat))
                 n = np.bincount(own, minlength=len(unseen))
                 got = open_[n[open_] > 0]
-                out[got] = sums[got] / n[got, None]
+                out[got] /= n[got, None]
                 open_ = open_[n[open_] == 0]
         return out
 
-    def score(self, docs: list[list[str]]) -> np.ndarray:
-        """Mean score of each text's words, a row a text; NaN without words."""
-        get, flat = self.words.get, [w for ws in docs for w in ws]
-        ids = np.array([get(w, -1) for w in flat], dtype=np.int64)
-        table = self.word_scores
-        missing = np.flatnonzero(ids < 0)
-        if len(missing):
-            if len(self.cache) > REMEMBER:
-                self.cache.clear()
-                self.extra.clear()
-            fresh = list(dict.fromkeys(flat[i] for i in missing if flat[i] not in self.cache))
-            base = len(self.cache)
-            self.cache.update((w, base + i) for i, w in enumerate(fresh))
-            if fresh:
-                self.extra.append(self.back_off(fresh))
-                self.extra = [np.concatenate(self.extra)]
-            ids[missing] = len(table) + np.array([self.cache[flat[i]] for i in missing])
-            table = np.concatenate([table, self.extra[0]]) if len(table) else self.extra[0]
-        out = np.full((len(docs), len(self.langs)), np.nan)
-        n = np.array([len(ws) for ws in docs])
-        some = np.flatnonzero(n)
-        if len(some):
-            starts = (np.cumsum(n) - n)[some]
-            out[some] = np.add.reduceat(table[ids], starts, axis=0) / n[some, None]
-        return out
+    def back_off(self, unseen: list[str]) -> np.ndarray:
+        return PENALTY + self.raised(unseen)
+
+    def score(self, docs: list[list[str]], memory: list[Entries] | None = None) -> np.ndarray:
+        """Mean score of each text's words, a row a text; NaN without words.
+
+        ``memory`` keeps the scores of unseen words from call to call: one Entries of at most PAIRS pairs.
+        """
+        memory = [] if memory is None else memory
+        flat, sizes = [w for ws in docs for w in ws], np.array([len(ws) for ws in docs], dtype=np.int64)
+        owner, out = np.repeat(np.arange(len(docs)), sizes), np.zeros((len(docs), len(self.langs)))
+
+        def add(known: Entries, at: np.ndarray) -> np.ndarray:
+            """Add the words at these places that are known; the places of the others."""
+            ids = np.array([known.at.get(flat[i], -1) for i in at.tolist()], dtype=np.int64)
+            known.add(out, owner[at[ids >= 0]], ids[ids >= 0])
+            return at[ids < 0]
+
+        left = add(self.words, np.arange(len(flat)))
+        for known in memory:
+            left = add(known, left)
+        fresh, new = list(dict.fromkeys(flat[i] for i in left.tolist())), []
+        block = max(CELLS // max(len(self.langs), 1), 1)
+        for i in range(0, len(fresh), block):
+            found = Entries.of_dense(fresh[i : i + block], self.raised(fresh[i : i + block]))
+            left = add(found, left)
+            if sum(len(e.value) + len(e.at) for e in (*new, found)) <= PAIRS:
+                new.append(found)
+        if new:
+            every = [*memory, *new]
+            memory[:] = [Entries.joined(every if sum(len(e.value) + len(e.at) for e in every) <= PAIRS else new)]
+        with np.errstate(invalid="ignore"):
+            return PENALTY + out / np.where(sizes, sizes, np.nan)[:, None]
 
 
 def fit(train: DataFrame) -> Model:
     """Model of rows (text, lang); counts cover all rows."""
-    counts = materialize(train.where("lang is not null").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    langs = sorted(totals)
-
-    def kept(rows: DataFrame, entry: str, sizes: DataFrame, by: list[str]) -> list:
-        often = rows.join(F.broadcast(sizes.withColumnRenamed("n", "_all")), by)  # a row a language, or language and length
-        return often.where(F.col("n") >= F.lit(FLOOR) * F.col("_all")).select(*by, entry, F.log10(F.col("n") / F.col("_all")).alias("v")).orderBy(entry, "lang").collect()
-
-    words: dict[str, dict[str, float]] = {}
-    for r in kept(counts, "word", counts.groupBy("lang").agg(F.sum("n").alias("n")), ["lang"]):
-        words.setdefault(r.word, {})[r.lang] = r.v
-    grams_ = materialize(counts.mapInArrow(_count_grams, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
-    ngrams: list[dict] = [{} for _ in range(MAX_N)]
-    for r in kept(grams_, "gram", grams_.groupBy("lang", "size").agg(F.sum("n").alias("n")), ["lang", "size"]):
-        ngrams[r.size - 1].setdefault(r.gram, {})[r.lang] = r.v
-    return Model(langs, words, ngrams)
+    counts = materialize(train.where("lang is not null").mapInArrow(bounded(_count_words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+
+    def kept(rows: DataFrame, entry: str, by: list[str]) -> DataFrame:
+        often = rows.join(rows.groupBy(*by).agg(F.sum("n").alias("_all")), by)  # a row a language, or language and length
+        return often.where(F.col("n") >= F.lit(FLOOR) * F.col("_all")).select(entry, "lang", F.log10(F.col("n") / F.col("_all")).alias("v"), *[c for c in by if c != "lang"]).orderBy(entry, "lang")
+
+    words = Entries.of_rows(kept(counts, "word", ["lang"]).toArrow(), langs)
+    grams_ = materialize(counts.mapInArrow(bounded(_count_grams), "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "langid-grams")
+    found = kept(grams_, "gram", ["lang", "size"]).toArrow()
+    discard(counts, grams_)
+    return Model(langs, words, [Entries.of_rows(found.filter(pc.equal(found.column("size"), n)), langs) for n in range(1, MAX_N + 1)])
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
@@ -173,20 +208,21 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, memory = shared.value, []
+        rows_at_once = max(CELLS // max(len(m.langs), 1), 1)
         for batch in batches:
             texts = column(batch, "_text")
             for a, b in slices(texts):
                 langs, scores = ["und"] * (b - a), [0.0] * (b - a)
-                if m.langs:
-                    means = m.score([text_words(t) for t in texts[a:b]])
+                for first in range(a, b if m.langs else a, rows_at_once):
+                    means = m.score([text_words(t) for t in texts[first : min(first + rows_at_once, b)]], memory)
                     for i in np.flatnonzero(~np.isnan(means[:, 0])):
                         j = int(means[i].argmax())
-                        langs[i], scores[i] = m.langs[j], float(1 / np.sum(10.0 ** (means[i] - means[i, j])))
+                        langs[first - a + i], scores[first - a + i] = m.langs[j], float(1 / np.sum(10.0 ** (means[i] - means[i, j])))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(bounded(run), f"{fields}, lang_pred string, score double")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

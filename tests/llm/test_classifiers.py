@@ -32,6 +32,51 @@ def test_backoff_goes_to_shorter_grams():
     assert m.back_off(["qq"]).tolist() == [[L.PENALTY, L.PENALTY]]
 
 
+def plain_scores(langs, words, ngrams, ws):
+    """Mean score of a text by plain dictionaries."""
+
+    def of(w, lang):
+        if w in words:
+            return words[w].get(lang, L.PENALTY)
+        for n in range(len(ngrams), 0, -1):
+            found = [ngrams[n - 1][g] for g in L.grams(w, n) if g in ngrams[n - 1]]
+            if found:
+                return sum(by.get(lang, L.PENALTY) for by in found) / len(found)
+        return L.PENALTY
+
+    return [sum(of(w, lang) for w in ws) / len(ws) for lang in langs]
+
+
+@pytest.mark.parametrize("limit", [7, 60, 4_000_000])
+def test_sparse_scores_equal_plain_ones(monkeypatch, limit):
+    r, langs = random.Random(9), [f"l{i:02}" for i in range(12)]
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randrange(1, 6)))
+    scores = lambda: {lang: -r.uniform(1, 7) for lang in r.sample(langs, r.randrange(1, 5))}
+    words = {word(): scores() for _ in range(60)}
+    ngrams = [{g: scores() for g in {g for _ in range(6) for g in L.grams(word(), n)}} for n in range(1, 5)]
+    docs = [[word() for _ in range(r.randrange(0, 40))] for _ in range(50)]
+    monkeypatch.setattr(L, "PAIRS", limit)
+    monkeypatch.setattr(L, "CELLS", limit)
+    m, memory = L.Model(langs, words, ngrams), []
+    for part in (docs[:20], docs[20:], docs[:5]):
+        got = m.score(part, memory)
+        for row, ws in zip(got, part):
+            assert np.isnan(row).all() if not ws else np.allclose(row, plain_scores(langs, words, ngrams, ws), rtol=0, atol=1e-9)
+        assert len(memory) <= 1
+
+
+def test_more_languages_than_any_table_of_old(make):
+    r = random.Random(2)
+    own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)] for i in range(600)}
+    texts = [(i, " ".join(r.choice(own[f"l{i % 600:03}"]) for _ in range(12))) for i in range(1800)]
+    langs = {i: f"l{i % 600:03}" for i, _ in texts}
+    docs = make(texts, langs=langs)
+    model = L.fit(docs.where("doc_id < 1200").select("text", "lang"))
+    rows = L.identify(docs.where("doc_id >= 1200"), model).collect()
+    assert len(model.langs) == 600 and len(model.words.value) <= 3000
+    assert sum(x.lang_pred == langs[x.doc_id] for x in rows) >= 0.99 * len(rows) == 594.0
+
+
 def test_language_edges(docs, no_docs):
     model = L.fit(docs.select("text", "lang"))
     rows = {r.doc_id: r for r in L.identify(docs, model).collect()}
