@@ -109,11 +109,15 @@ class Entries:
         own, lang = np.nonzero(scores)
         return cls({w: i for i, w in enumerate(names)}, np.cumsum(np.bincount(own, minlength=len(names))), lang, scores[own, lang])
 
-    @classmethod
-    def joined(cls, parts: list[Entries]) -> Entries:
-        names = [w for p in parts for w in p.at]
-        sizes = np.concatenate([np.diff(p.ends) for p in parts])
-        return cls({w: i for i, w in enumerate(names)}, np.cumsum(sizes), np.concatenate([p.lang for p in parts]), np.concatenate([p.value for p in parts]))
+    def extend(self, others: list[Entries]) -> None:
+        """Take in entries that are not here yet."""
+        for e in others:
+            self.at.update((w, i) for i, w in enumerate(e.at, len(self.at)))
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(e.ends) for e in (self, *others)]))])
+        self.lang, self.value = (np.concatenate([getattr(e, c) for e in (self, *others)]) for c in ("lang", "value"))
+
+    def size(self) -> int:
+        return len(self.at) + len(self.value)
 
     def add(self, out: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> None:
         """Add each entry's pairs to the row of ``out`` that owns it, at most some PAIRS at once."""
@@ -175,11 +179,14 @@ class Model:
         for i in range(0, len(fresh), block):
             found = Entries.of_dense(fresh[i : i + block], self.raised(fresh[i : i + block]))
             left = add(found, left)
-            if sum(len(e.value) + len(e.at) for e in (*new, found)) <= PAIRS:
+            if sum(e.size() for e in (*new, found)) <= PAIRS:
                 new.append(found)
+        if sum(e.size() for e in (*memory, *new)) > PAIRS:
+            memory.clear()
+        if new and not memory:
+            memory.append(new.pop(0))
         if new:
-            every = [*memory, *new]
-            memory[:] = [Entries.joined(every if sum(len(e.value) + len(e.at) for e in every) <= PAIRS else new)]
+            memory[0].extend(new)
         with np.errstate(invalid="ignore"):
             return PENALTY + out / np.where(sizes, sizes, np.nan)[:, None]
 
