@@ -14,10 +14,11 @@ All counts are sums over every training row, and MIN_COUNT is absolute, so the t
 (a gram) has as key the mix of the keys of its prefix and its suffix, so the context of a transition is its prefix, and
 what it backs off to is its suffix. A task sends its counts as sorted arrays of keys, one a bucket of the key space; the
 number of buckets follows the size of the corpus, so a bucket's size doesn't. In logarithms each order adds a term, so a
-text's score is a sum over its grams of one value each. Values are a table that is joined by a shuffle on keys. Two things
-are broadcast, both of bounded size: grams with a share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only
-saves their shuffle; and bit sets of keys, which let a task drop grams that can't be in a table. They err to the safe side
-only, so neither changes a score.
+text's score is a sum over its grams of one value each. Texts are turned into hashes once, in chunks that are written. To
+score, a chunk sends the keys that it asks for to their buckets of the key space, where the values are, and gets values
+back: two shuffles of arrays, whatever the order of the tree. Two things are broadcast, both of bounded size: grams with a
+share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only saves their shuffle; and bit sets of keys, which let
+a task drop grams that can't be in a table. They err to the safe side only, so neither changes a score.
 
 Cases: a null or empty text is its end alone; repeated rows and ids are scored row by row; with nothing to train on,
 every probability is that of an empty unigram, 1; an empty table gives an empty result; other columns are ignored.
@@ -38,11 +39,14 @@ from .common import Remembered, bounded, broadcasting, column, crc_mod, discard,
 
 #: Share of all tokens from which an entry is broadcast.
 P_TABLE = 5e-7
-MAX_ORDER, MIN_COUNT = 3, 12
+MAX_ORDER, MIN_COUNT = 4, 4
 #: Smoothing weight of the suffix, and least divergence in nats an occurrence that retains a context.
 ALPHA, DIVERGENCE = 4.0, 0.02
 #: Entries that a task counts before it emits them, and bytes of text for which a bucket of the key space is made.
 FLUSH, BUCKET_BYTES = 1_000_000, 1 << 24
+#: Keys of one message to a bucket, so a batch of messages is small, and the kinds of rows that meet there.
+MESSAGE = 1024
+WORDS, GRAMS, ASK_WORDS, ASK_GRAMS, OWN = range(5)
 #: Bits of a bit set for each key and at most, and bits of a segment of it.
 SCREEN_PER_KEY, SCREEN_BITS, SEGMENT = 16, 1 << 29, 1 << 16
 END = b""  # the end of a text as a token; no word is empty
@@ -65,6 +69,35 @@ def encode(texts: list, hashes: Remembered) -> tuple[np.ndarray, np.ndarray]:
     return np.array(out, dtype=np.uint64), np.array([len(ws) + 1 for ws in tokens], dtype=np.int64)
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """(chunk, id array, held_out array, length array, size, tokens binary) of rows (id, held_out, text binary).
+
+    A chunk is about CHUNK_CHARS of text; ``tokens`` are the packed hashes of its texts, an END after each; ``size`` is the
+    bytes of those that are not held out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            texts, held = column(batch, "text"), column(batch, "held_out")
+            for a, b in slices(texts):
+                x, lengths = encode(texts[a:b], hashes)
+                size = sum(len(t) for t, h in zip(texts[a:b], held[a:b]) if t and not h)
+                lists = [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), v) for v in (batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([size], pa.int64()), pa.array([pack(x[1:])], pa.binary())], names=["id", "held_out", "length", "size", "tokens"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    chunks = rows.mapInArrow(bounded(run), f"id array<{kind}>, held_out array<boolean>, length array<long>, size long, tokens binary")
+    return materialize(chunks.withColumn("chunk", F.monotonically_increasing_id()), "pst-tokens", "zstd")
+
+
+def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of a chunk with an END before them, lengths of its texts, and which of these are held out."""
+    get = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+    x = np.concatenate([[END_HASH], unpack(get("tokens").as_py())])
+    return x, *(get(c).values.to_numpy(zero_copy_only=False) for c in ("length", "held_out"))
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Key of a gram from those of its prefix and its suffix."""
     x = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -160,10 +193,14 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [key[first], *[p[order[first]] for p in payload], np.add.reduceat(n[order], first) if len(first) else n]
 
 
-def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
-    """(key, n) of all words for order 0; (key, ctx, sub, n) of the grams of ``order`` words and the next that occur
+def bucket_bits(buckets: int) -> int:
+    return max(buckets - 1, 1).bit_length()
+
+
+def count(chunks: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
+    """(key, n) of all words of texts that are not held out for order 0; (key, ctx, sub, n) of the grams of ``order`` words and the next that occur
     MIN_COUNT times and have their prefix in the first of the broadcast ``screens`` and their suffix in the second."""
-    bits = np.uint64(max(buckets - 1, 1).bit_length())
+    bits = np.uint64(bucket_bits(buckets))
     names = ["ctx", "sub"] if order else ["key"]
 
     def found(x: np.ndarray) -> list[np.ndarray]:
@@ -189,11 +226,11 @@ def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in (*columns, counts)]], names=["bucket", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, size = word_hashes(), [], 0
+        parts, size = [], 0
         for batch in batches:
-            texts = column(batch, "text")
-            for a, b in slices(texts):
-                parts.append(found(encode(texts[a:b], hashes)[0]))
+            for i in range(batch.num_rows):
+                x, lengths, held = unpacked(batch, i)
+                parts.append(found(x[np.concatenate([[True], np.repeat(~held.astype(bool), lengths)])]))
                 size += len(parts[-1][0])
                 if size > 2 * FLUSH:
                     parts = [merged(parts)]
@@ -227,7 +264,7 @@ def count(docs: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(names if order else ()), "n"])
 
     kinds = ", ".join(f"{x} binary" for x in (*names, "n"))
-    dealt = docs.mapInArrow(bounded(run), f"bucket int, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = chunks.select("tokens", "length", "held_out").mapInArrow(bounded(run), f"bucket int, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(bounded(summed), f"key long, {'ctx long, sub long, ' if order else ''}n long")
 
 
@@ -268,14 +305,15 @@ class Model:
         return out[1:]
 
 
-def grow(train: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple[DataFrame | None, int]:
-    """(values (key, n, raised, weight) of all nodes and their transitions, depth of the tree); None for a bare root."""
-    spark, values, depth, last = train.sparkSession, None, 0, train
+def grow(chunks: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple[DataFrame | None, int, list[DataFrame]]:
+    """(values (key, n, raised, weight) of all nodes and their transitions, depth of the tree, the written tables that the
+    values read); None for a bare root."""
+    spark, values, depth, read, last = chunks.sparkSession, None, 0, [], None
     counted = vocab.where(F.col("n") >= MIN_COUNT)
     live = counted.select("key", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))  # log10 probability in the order below
     for order in range(1, MAX_ORDER + 1):
         with broadcasting(spark, (Screen(counted), Screen(live))) as screens:
-            found = count(train, order, buckets, screens)
+            found = count(chunks, order, buckets, screens)
             t = materialize(found.join(live.select(F.col("key").alias("sub"), F.col("s").alias("below")), "sub").select("key", "ctx", "n", "below"), f"pst-order{order}")
         seen = counted.select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
         rest = F.greatest(F.col("seen") - F.col("own"), F.lit(0))
@@ -288,94 +326,194 @@ def grow(train: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple
         nodes = materialize(gain.where(kept).select("ctx", "seen", "rest", "weight"), f"pst-nodes{order}")
         own = t.join(nodes, "ctx").select("key", "n", logp.alias("s"), (logp - F.col("below") - F.col("weight")).alias("raised"))
         own = materialize(own, f"pst-live{order}")
+        if last is not None:
+            discard(last)
+        last = t
         if not own.take(1):
-            discard(t, nodes, own)
+            discard(nodes, own)
             break
         depth = order
-        discard(last)
-        last = t
+        read += [nodes, own]
         counted, live = t.select("key", "n"), own.select("key", "s")
         new = own.select("key", "n", "raised", F.lit(0.0).alias("weight")).unionByName(nodes.select(F.col("ctx").alias("key"), F.col("seen").alias("n"), F.lit(0.0).alias("raised"), "weight"))
         values = new if values is None else values.unionByName(new)
-    return values, depth
+        found = contexts = gain = None
+        spark.sparkContext._jvm.System.gc()  # the context cleaner then deletes the shuffle files of finished steps
+    if last is not None:
+        discard(last)
+    return values, depth, read
 
 
 def learn(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """(model, vocabulary (key, n), values (key, value) that are not broadcast) of rows (text binary)."""
-    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """``fit`` for rows (text binary)."""
+    return fit(written(train.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), "text")))[:3]
+
+
+def fit(chunks: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
+    """(model, words (key, value) and values (key, value) that are not broadcast, number of buckets) of ``written`` texts."""
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(8, size // BUCKET_BYTES)
-    vocab = materialize(count(train, 0, buckets), "pst-vocab")
+    vocab = materialize(count(chunks, 0, buckets), "pst-vocab")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = max(1.0, P_TABLE * total)
-    values, depth = grow(train, vocab, math.log10(total + distinct + 1), buckets)
+    values, depth, read = grow(chunks, vocab, math.log10(total + distinct + 1), buckets)
     if values is None:
         values = vocab.limit(0).select("key", "n", F.lit(0.0).alias("raised"), F.lit(0.0).alias("weight"))
     values = materialize(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("raised").alias("raised"), F.sum("weight").alias("weight")), "pst-values")
+    discard(*read)
     rare = values.where(F.col("n") < often).select("key", (F.col("raised") + F.col("weight")).alias("value"))
     model = Model(vocab.where(F.col("n") >= often).toArrow(), total, distinct, values.where(F.col("n") >= often).toArrow(), Screen(rare), depth)
-    return model, vocab, rare
-
-
-def by_text(owner: np.ndarray, keys: np.ndarray, texts: int) -> list[pa.ListArray]:
-    """For each text the distinct keys and how often it has them, as two lists."""
-    at = np.lexsort((keys, owner))
-    owner, keys = owner[at], keys[at]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else np.empty(0, np.int64)
-    n = np.diff(np.concatenate([new, [len(keys)]]))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=texts))]).astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (keys[new].view(np.int64), n.astype(np.int32))]
+    return model, vocab.where(F.col("n") < often).select("key", F.log10(F.col("n") + 1.0).alias("value")), rare, buckets
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_when: Column | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    train_when = F.lit(True) if train_when is None else train_when
-    rows = docs.select(docs[id_col].alias("id"), (~train_when).alias("held_out"), docs[text_col].cast("binary").alias("text"))
-    model, vocab, values = learn(rows.where(~F.col("held_out")).select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, norm = model.total, math.log10(model.total + model.distinct + 1)
-    kind = docs.schema[id_col].dataType.simpleString()
+def asked(chunks: DataFrame, shared, buckets: int) -> DataFrame:
+    """(bucket, kind, key, at, keys) messages: of each chunk (``key``) the hashes of words and the keys of grams that are not
+    broadcast, with the text that each counts for; and one OWN message with what the broadcast gives its texts."""
+    bits = np.uint64(bucket_bits(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = shared.value, word_hashes()
+        m = shared.value
         both = m.raised + m.weight
         for batch in batches:
-            texts = column(batch, "text")
-            for a, b in slices(texts):
-                x, lengths = encode(texts[a:b], hashes)
-                starts, owner = np.concatenate([[0], np.cumsum(lengths)[:-1]]), np.repeat(np.arange(b - a), lengths)
+            for i in range(batch.num_rows):
+                chunk = batch.column(batch.schema.get_field_index("chunk"))[i].as_py()
+                x, lengths, _ = unpacked(batch, i)
+                texts, owner = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
                 ids = lookup(m.hashes, x[1:])
                 known = ids >= 0
-                base = np.where(known, m.logs[np.maximum(ids, 0)], 0.0) if len(m.logs) else np.zeros(len(ids))
+                extra = np.zeros(texts)
+                asks = [(ASK_WORDS, owner[~known], x[1:][~known])]
                 # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
-                owners, keys = [owner], [x[:-1]]
-                for at, key, _, _ in grams(x, m.order):
-                    owners.append(owner[at - 1])
-                    keys.append(key)
-                who, key = np.concatenate(owners), np.concatenate(keys)
-                at = lookup(m.keys, key)
-                hit = at >= 0
-                extra = np.bincount(who[hit], weights=both[at[hit]], minlength=b - a) if len(both) else np.zeros(b - a)
-                may = ~hit & m.screen.has(key)
-                lists = [*by_text(owner[~known], x[1:][~known], b - a), *by_text(who[may], key[may], b - a)]
-                sums = [np.add.reduceat(v, starts) for v in (known.astype(np.int64), base)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(lengths), *map(pa.array, sums), pa.array(extra.astype(float)), *lists], names=["id", "held_out", "n_tokens", "n_known", "base", "extra", "rare_h", "rare_n", "gram_h", "gram_n"])
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, extra double, rare_h array<long>, rare_n array<int>, gram_h array<long>, gram_n array<int>"
-    scored = materialize(rows.mapInArrow(bounded(run), schema).withColumn("row", F.monotonically_increasing_id()), "pst-scored")
-    pairs = lambda kind: scored.select("row", F.explode(F.arrays_zip(f"{kind}_h", f"{kind}_n")).alias("r")).select("row", F.col(f"r.{kind}_h").alias("key"), F.col(f"r.{kind}_n").alias("c"))
-    counted = pairs("rare").join(vocab.where(F.col("n") < max(1.0, P_TABLE * total)), "key")
-    counted = counted.groupBy("row").agg(F.sum("c").alias("known"), F.sum(F.col("c") * F.log10(F.col("n") + 1.0)).alias("log"))
-    valued = pairs("gram").join(values, "key").groupBy("row").agg(F.sum(F.col("c") * F.col("value")).alias("value"))
-    out = scored.drop("rare_h", "rare_n", "gram_h", "gram_n").join(counted, "row", "left").join(valued, "row", "left")
-    base = F.col("base") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
+                for who, key in ((owner, x[:-1]), *((owner[at - 1], key) for at, key, _, _ in grams(x, m.order))):
+                    at = lookup(m.keys, key)
+                    hit = at >= 0
+                    if len(both):
+                        extra += np.bincount(who[hit], weights=both[at[hit]], minlength=texts)
+                    may = ~hit & m.screen.has(key)
+                    asks.append((ASK_GRAMS, who[may], key[may]))
+                base = np.bincount(owner[known], weights=m.logs[ids[known]], minlength=texts) if len(m.logs) else np.zeros(texts)
+                own = np.concatenate([np.bincount(owner[known], minlength=texts).astype(float), base, extra])
+                rows = [(chunk & 7, OWN, own.tobytes(), b"")]
+                for kind in (ASK_WORDS, ASK_GRAMS):
+                    who, key = (np.concatenate([a[j] for a in asks if a[0] == kind]) for j in (1, 2))
+                    to = (key >> (np.uint64(64) - bits)).astype(np.int64)
+                    order = np.lexsort((who, to))
+                    who, key, to = who[order].astype(np.uint16 if texts <= 1 << 16 else np.uint32), key[order], to[order]
+                    for start, end in zip(*runs(to)):
+                        for j in range(start, end, MESSAGE):
+                            rows.append((int(to[j]), kind, who[j : min(j + MESSAGE, end)].tobytes(), key[j : min(j + MESSAGE, end)].tobytes()))
+                for j in range(0, len(rows), MESSAGE):
+                    to, kind, at, keys = zip(*rows[j : j + MESSAGE])
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array([chunk] * len(to), pa.int64()), pa.array(at, pa.binary()), pa.array(keys, pa.binary())], names=["bucket", "kind", "key", "at", "keys"])
+
+    return chunks.select("chunk", "tokens", "length", "held_out").mapInArrow(bounded(run), "bucket int, kind int, key long, at binary, keys binary")
+
+
+def runs(*columns: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs of equal rows."""
+    size = len(columns[0])
+    if not size:
+        return [], []
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    starts = np.flatnonzero(new).tolist()
+    return starts, [*starts[1:], size]
+
+
+def answered(messages: DataFrame, vocab: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, kind, at, value) for each message: the texts and values of those of its keys that have one; OWN as it is."""
+    bucket = F.shiftrightunsigned("key", 64 - bucket_bits(buckets)).cast("int").alias("bucket")
+    both = messages.withColumn("value", F.lit(None).cast("double"))
+    for kind, t in ((WORDS, vocab), (GRAMS, values)):
+        both = both.unionByName(t.select(bucket, F.lit(kind).alias("kind"), "key", "value"), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables = None, {}
+        for batch in batches:
+            get = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "kind", "key", "at", "keys", "value")}
+            bucket, kind, key = (get[c].to_numpy(zero_copy_only=False) for c in ("bucket", "kind", "key"))
+            rows = []
+            for a, b in zip(*runs(bucket, kind)):
+                if bucket[a] != now:
+                    now, tables = bucket[a], {WORDS: [], GRAMS: []}
+                if kind[a] <= GRAMS:
+                    tables[kind[a]].append([key[a:b].astype(np.int64).view(np.uint64), get["value"].slice(a, b - a).to_numpy(zero_copy_only=False)])
+                    continue
+                if kind[a] == OWN:
+                    rows += [(int(key[i]), OWN, get["at"][i].as_py(), b"") for i in range(a, b)]
+                    continue
+                table = tables[kind[a] - ASK_WORDS]
+                if len(table) != 1 or len(table[0]) != 3:
+                    keys, found = (np.concatenate([t[j] for t in table] or [np.empty(0, kind_)]) for j, kind_ in ((0, np.uint64), (1, float)))
+                    order = np.argsort(keys)
+                    table[:] = [[keys[order], found[order], True]]
+                keys, found, _ = table[0]
+                for i in range(a, b):
+                    at, wanted = get["at"][i].as_py(), np.frombuffer(get["keys"][i].as_py(), np.uint64)
+                    at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(wanted) else np.uint32)
+                    where = lookup(keys, wanted)
+                    hit = where >= 0
+                    at, value = at[hit], found[where[hit]] if len(keys) else np.empty(0)
+                    if kind[a] == ASK_GRAMS and len(at):  # sorted by text, so its values can be added up here
+                        first = np.array(runs(at)[0])
+                        at, value = at[first], np.add.reduceat(value, first)
+                    if len(at):
+                        rows.append((int(key[i]), int(kind[a]), at.tobytes(), value.tobytes()))
+            for j in range(0, len(rows), MESSAGE):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[j : j + MESSAGE]), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "kind", "at", "value"])
+
+    return both.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(bounded(run), "chunk long, kind int, at binary, value binary")
+
+
+def summed_up(answers: DataFrame) -> DataFrame:
+    """(chunk, sums array of (known, log, value) a text) of the answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, None
+        for batch in batches:
+            for chunk, kind, at, value in zip(*(column(batch, c) for c in ("chunk", "kind", "at", "value"))):
+                if kind == OWN:  # the first of its chunk
+                    if now is not None:
+                        yield rows_of(now, sums)
+                    now, sums = chunk, np.frombuffer(at, float).reshape(3, -1).copy()
+                    continue
+                value = np.frombuffer(value, float)
+                at = np.frombuffer(at, np.uint16 if len(at) * 4 == 8 * len(value) else np.uint32)
+                if kind == ASK_WORDS:
+                    np.add.at(sums[0], at, 1.0)
+                    np.add.at(sums[1], at, value)
+                else:
+                    np.add.at(sums[2], at, value)
+        if now is not None:
+            yield rows_of(now, sums)
+
+    def rows_of(chunk: int, sums: np.ndarray) -> pa.RecordBatch:
+        known, *others = sums
+        ends = pa.array([0, sums.shape[1]], pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (known.astype(np.int64), *others))], names=["chunk", "known", "log", "value"])
+
+    dealt = answers.repartition("chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    return dealt.mapInArrow(bounded(run), "chunk long, known array<long>, log array<double>, value array<double>")
+
+
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_when: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    train_when = F.lit(True) if train_when is None else train_when
+    chunks = written(docs.select(docs[id_col].alias("id"), (~train_when).alias("held_out"), docs[text_col].cast("binary").alias("text")))
+    model, vocab, values, buckets = fit(chunks)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    total, norm = model.total, math.log10(model.total + model.distinct + 1)
+    sums = summed_up(answered(asked(chunks, shared, buckets), vocab, values, buckets))
+    out = chunks.select("chunk", "id", "held_out", "length").join(sums, "chunk")
+    out = out.select(F.explode(F.arrays_zip("id", "held_out", "length", "known", "log", "value")).alias("r")).select("r.*")
+    base = F.col("log") - F.col("length") * F.lit(norm)
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.col("length").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("extra") + F.coalesce("value", F.lit(0.0))).alias("score"),
+        (base + F.col("value")).alias("score"),
     )
 
 
