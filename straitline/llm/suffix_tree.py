@@ -278,7 +278,7 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """What is broadcast for scoring: frequent words, frequent grams with their values, a screen of the other grams."""
+    """What is broadcast for scoring: frequent words, frequent grams with their values, a screen of all grams with a value."""
 
     def __init__(self, vocab: pa.Table, total: int, distinct: int, values: pa.Table, screen: Screen, order: int):
         def sorted_columns(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -362,7 +362,7 @@ def fit(chunks: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
     values = materialize(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("raised").alias("raised"), F.sum("weight").alias("weight")), "pst-values")
     discard(*read)
     rare = values.where(F.col("n") < often).select("key", (F.col("raised") + F.col("weight")).alias("value"))
-    model = Model(vocab.where(F.col("n") >= often).toArrow(), total, distinct, values.where(F.col("n") >= often).toArrow(), Screen(rare), depth)
+    model = Model(vocab.where(F.col("n") >= often).toArrow(), total, distinct, values.where(F.col("n") >= often).toArrow(), Screen(values), depth)
     return model, vocab.where(F.col("n") < often).select("key", F.log10(F.col("n") + 1.0).alias("value")), rare, buckets
 
 
@@ -385,12 +385,13 @@ def asked(chunks: DataFrame, shared, buckets: int) -> DataFrame:
                 asks = [(ASK_WORDS, owner[~known], x[1:][~known])]
                 # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
                 for who, key in ((owner, x[:-1]), *((owner[at - 1], key) for at, key, _, _ in grams(x, m.order))):
+                    may = m.screen.has(key)
+                    who, key = who[may], key[may]
                     at = lookup(m.keys, key)
                     hit = at >= 0
                     if len(both):
                         extra += np.bincount(who[hit], weights=both[at[hit]], minlength=texts)
-                    may = ~hit & m.screen.has(key)
-                    asks.append((ASK_GRAMS, who[may], key[may]))
+                    asks.append((ASK_GRAMS, who[~hit], key[~hit]))
                 base = np.bincount(owner[known], weights=m.logs[ids[known]], minlength=texts) if len(m.logs) else np.zeros(texts)
                 own = np.concatenate([np.bincount(owner[known], minlength=texts).astype(float), base, extra])
                 rows = [(chunk & 7, OWN, own.tobytes(), b"")]
