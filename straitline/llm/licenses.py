@@ -2,7 +2,8 @@
 
 A text is read as lower-cased runs of letters and digits. Sentences may begin and end at line ends, sentence marks that
 blanks follow, and before links. A known sentence is found where all its words stand between two such places, whatever marks
-and single line breaks are inside it; a line without words ends it. The longest wins, and the search goes on behind it. A
+and single line breaks are inside it; a line without words ends it. A slot, words in braces, in a known sentence stands
+for one to MAX_SLOT words, as few as possible: a holder's name, say. The longest wins, and the search goes on behind it. A
 rule is a license and an ordered list of identifiers; it matches a place where they follow in order with at most MAX_GAP
 unknown sentences between neighbours, and unknown sentences run over single line breaks too. Rules are tried longest first
 at each place, and a sentence belongs to one match, so the notice inside a full license text isn't reported beside it.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-MAX_GAP = 2
+MAX_GAP, MAX_SLOT = 2, 12
 
 #: Sentences of public license notices, by identifier.
 SENTENCES: dict[str, str] = {
@@ -51,7 +52,7 @@ SENTENCES: dict[str, str] = {
     "bsd.grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "bsd.endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd.endorse": "Neither the name of {the copyright holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "isc.grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "cc0": "Released under CC0 1.0",
@@ -60,6 +61,17 @@ SENTENCES: dict[str, str] = {
     "ccbync.notice": "Licensed under CC BY-NC 4.0",
     "ccbyncnd.notice": "Licensed under CC BY-NC-ND 4.0",
     "reserved": "All rights reserved",
+    "mit.notice3": "This code is under the MIT License",
+    "bsd.endorse2": "The name of {the author} may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "lgpl21.free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl21.hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl3.title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl2.title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "epl.notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "boost.notice": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib.asis": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib.liable": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib.grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 
 #: Fixed values: (license, ordered identifiers).
@@ -70,8 +82,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MPL-2.0", ("mpl.notice", "mpl.copy")), ("MPL-2.0", ("mpl.notice",)),
     ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")), ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")), ("BSD-2-Clause", ("bsd.grant",)),
     ("ISC", ("isc.grant",)), ("Unlicense", ("unlicense",)), ("CC0-1.0", ("cc0",)), ("CC-BY-4.0", ("ccby.notice",)), ("CC-BY-SA-4.0", ("ccbysa.notice",)), ("CC-BY-NC-4.0", ("ccbync.notice",)), ("CC-BY-NC-ND-4.0", ("ccbyncnd.notice",)), ("All-Rights-Reserved", ("reserved",)),
+    ("MIT", ("mit.notice3",)), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse2")),
+    ("LGPL-2.1", ("lgpl21.free", "lgpl21.hope")), ("LGPL-2.1", ("lgpl21.free",)), ("GPL-3.0", ("gpl3.title",)), ("GPL-2.0", ("gpl2.title",)), ("EPL-2.0", ("epl.notice",)), ("BSL-1.0", ("boost.notice",)), ("Zlib", ("zlib.asis", "zlib.liable", "zlib.grant")), ("Zlib", ("zlib.grant",)),
 )
 
+# each license above has its identifier line too, those with versions of their own in three forms
+for _name in dict.fromkeys(name for name, _ in RULES if name != "All-Rights-Reserved"):
+    for _form in ("", "-only", "-or-later") if "GPL" in _name else ("",):
+        SENTENCES[f"spdx.{_name}{_form}"] = f"SPDX-License-Identifier: {_name}{_form}"
+        RULES += ((_name, (f"spdx.{_name}{_form}",)),)
+
+SLOT = "{}"
+_SLOT = re.compile(r"\{[^}]*\}")
 _TOKEN = re.compile(r"[^\W_]+")
 #: Where a sentence ends (and the next begins), among the characters between two words.
 _CUT = re.compile(r"\n|(?<=[.!?:;])[^\S\n]+")
@@ -80,7 +102,24 @@ _LINK = re.compile(r"https?://", re.I)
 
 
 def normalise(sentence: str) -> str:
-    return " ".join(_TOKEN.findall(sentence.lower()))
+    """Words of a known sentence, with SLOT for its slots."""
+    return f" {SLOT} ".join(" ".join(_TOKEN.findall(part.lower())) for part in _SLOT.split(sentence))
+
+
+def matched(words: list[str], k: int, known: list[str]) -> int | None:
+    """Where a known sentence that starts at word k ends, or None."""
+    i = 0
+    while i < len(known):
+        end = known.index(SLOT, i) if SLOT in known[i:] else len(known)
+        part = known[i:end]
+        for at in range(k + 1, k + MAX_SLOT + 1) if i else (k,):
+            if words[at : at + len(part)] == part:
+                k = at + len(part)
+                break
+        else:
+            return None
+        i = end + 1
+    return k
 
 
 class Words:
@@ -131,7 +170,7 @@ class Scanner:
         for of in self.rules.values():
             of.sort(key=lambda x: (-len(x[1]), x[2]))
         # a text without any of these is clean: one of the words of each sentence, the longest
-        self.probe = re.compile("|".join(sorted({max(w, key=lambda x: (len(x), x)) for w in words})))
+        self.probe = re.compile("|".join(sorted({max(w, key=lambda x: (len(x) if x != SLOT else 0, x)) for w in words})))
 
     def scan(self, text: str | None) -> list[dict]:
         """Matches in order: license, rule, start, end (code points), sentences."""
@@ -144,10 +183,10 @@ class Scanner:
             n = 0
             if t.words[k] in self.first and (a := t.begin(k)) is not None:
                 for known in self.first[t.words[k]]:
-                    j = k + len(known)
-                    if t.words[k:j] == known and (b := t.end(j)) is not None and not any(t.broken(i) for i in range(k + 1, j)):
+                    j = matched(t.words, k, known)
+                    if j is not None and (b := t.end(j)) is not None and not any(t.broken(i) for i in range(k + 1, j)):
                         seen.append((k, j, self.ids[" ".join(known)], a, b))
-                        n = len(known)
+                        n = j - k
                         break
             k += n or 1
         begun = t.begun() if len(seen) > 1 else []

@@ -148,6 +148,40 @@ def test_license_edges(docs, no_docs):
     assert C.find(docs).count() == docs.count() and C.find(no_docs).collect() == []
 
 
+def test_license_slots_and_identifier_lines():
+    s = C.Scanner()
+    names = lambda t: [m["license"] for m in s.scan(t)]
+    bsd = "\n".join(C.SENTENCES[k] for k in ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")).replace("{the copyright holder}", "{}")
+    for holder in ("the University", "the copyright holder", "Example Labs, Inc.", "X", "the Regents of the State Technical College of Somewhere in the North"):
+        assert names(textwrap.fill(bsd.replace("{}", holder), 72)) == ["BSD-3-Clause"], holder
+    assert names(bsd.replace("{}", " ".join(f"w{i}" for i in range(C.MAX_SLOT + 1)))) == ["BSD-2-Clause"]
+    assert names(bsd.replace("{} ", "")) == ["BSD-2-Clause"]  # a slot has a word at least
+    for line, name in (("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("/* SPDX-License-Identifier: BSL-1.0 */", "BSL-1.0"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1")):
+        assert names(f"{line}\n\nint main;") == [name], line
+    assert names("x SPDX-License-Identifier: MITX") == [] and names("This code is under the MIT License.") == ["MIT"]
+    assert names("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright") == ["GPL-3.0"]
+
+
+def test_slots_against_all_ways_to_fill_them():
+    def brute(words, k, known):
+        if not known:
+            return k
+        if known[0] != C.SLOT:
+            return brute(words, k + 1, known[1:]) if words[k : k + 1] == known[:1] else None
+        return next((e for n in range(1, C.MAX_SLOT + 1) if k + n <= len(words) and (e := brute(words, k + n, known[1:])) is not None), None)
+
+    r = np.random.default_rng(3)
+    hits = 0
+    for _ in range(3000):
+        words = list(r.choice(["a", "b", "c"], 9))
+        known = ["a", C.SLOT, *r.choice(["a", "b", "c"], 2), *([C.SLOT, "c"] if r.random() < 0.5 else [])]
+        want = brute(words, 0, known)
+        hits += want is not None
+        got = C.matched(words, 0, known)
+        assert (got is None) == (want is None) and (got is None or got == want), (words, known)
+    assert hits > 300
+
+
 def test_every_license_rule_on_its_own_text():
     s = C.Scanner()
     for r, (name, seq) in enumerate(C.RULES):
