@@ -102,3 +102,16 @@ def test_rare_contexts_and_next_words_keep_their_mass(make, monkeypatch):
         monkeypatch.setattr(P, "P_TABLE", share)
         got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
         assert max(abs(got[i] - brute_score(t, train)[0]) for i, t in texts[::10] + texts[-1:]) < 1e-9, share
+
+
+def test_shipped_setting_against_brute_force(make, monkeypatch):
+    """Greatest order and least count as they are shipped; nothing broadcast and all broadcast."""
+    r = np.random.default_rng(4)
+    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.3, 14) if x < 40)) for i in range(250)] + [(i, ["p a b c y", "q a b c z", "e b c w", "f c v"][i % 4]) for i in range(250, 410)]
+    docs = make(texts)
+    train = [t for _, t in texts]
+    assert brute_score("w1", train)[1] == P.MAX_ORDER
+    for share in (P.P_TABLE, 1.0):
+        monkeypatch.setattr(P, "P_TABLE", share)
+        got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
+        assert len(got) == len(texts) and max(abs(got[i] - brute_score(t, train)[0]) for i, t in texts[::25] + texts[-4:]) < 1e-9, share
