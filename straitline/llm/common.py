@@ -57,6 +57,11 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the driver's garbage: the context cleaner then deletes the shuffle files of finished steps."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -6,8 +6,9 @@ points shares at most ``sum(min(a_g, hi_g))`` with any: no pair below it can rea
 
 Plan. (1) Documents with equal sets are one class from the start. (2) Two classes can only be similar if they share one of
 the least frequent ``n - ceil(0.8 n) + 1`` shingles of either, under one global order; the order ranks shingles by a
-count sketch, so passages that many documents share come last. Classes meet in blocks by those shingles. (3) In each block an R-tree over the points
-finds a spanning forest of the pairs that its bound can't exclude. (4) The connected parts of all forests are clusters: a
+count sketch, so passages that many documents share come last. Classes meet in blocks by those shingles. Shingles of one class
+only are told by a count and dropped by a bit set before the rest travels, and of blocks with the same classes one is searched.
+(3) In each block an R-tree over the points finds a spanning forest of the pairs that its bound can't exclude. (4) The connected parts of all forests are clusters: a
 superset of the wanted classes. Each cluster's sets are fetched once, an R-tree over its points prunes again, and
 survivors are verified on the exact sets. A search from each member compares it with all members not yet reached, so no
 link between two classes is left out although pairs within a class are not enumerated.
@@ -25,14 +26,17 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, column, discard, materialize
+from .common import bounded, column, discard, materialize, release
 from .components import components
 from .shingles import SIZE, shingle_sets, word_hashes
+from .suffix_tree import Screen
 
 SHINGLE_WORDS = SIZE
 DIMS, PER_GROUP = 64, 12
@@ -43,6 +47,7 @@ BLOCK_LIMIT, CLUSTER_LIMIT = 4096, 2048
 MEAN_SHINGLES = 1000  # shingles of a cluster count as a member at least each, which bounds the memory of a task
 #: Bits of the filter that spares unneeded texts, for each class that needs one and at most; when it is full, more travel.
 BLOOM_PER_CLASS, BLOOM_BITS = 16, 1 << 28
+SHORT = 24  # bits of a shingle that its first count leaves out: fewer bytes travel, and what meets by chance is told apart afterwards
 SALTS = 16  # shares of a class that a third of all rows may carry
 
 
@@ -287,6 +292,36 @@ def _fetch(bloom):
     return run
 
 
+def _may(shared: Broadcast, key: Column) -> Column:
+    """Whether the broadcast ``Screen`` may hold the key, a 64-bit hash."""
+
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.has(h.to_numpy().astype(np.int64).view(np.uint64)))
+
+    return F.pandas_udf(may, "boolean")(key)
+
+
+def blocks_of(keys: DataFrame) -> DataFrame:
+    """(class, key, _met) of ``keys`` (class, key, each pair once): the keys that several classes have, ``_met`` of them, and
+    of keys with the same classes one.
+
+    Most keys have one class. They are counted by an aggregation and dropped where they are, and only the others are joined,
+    so no task holds all classes of a common key.
+    """
+    short = F.shiftrightunsigned("key", SHORT)
+    counted = keys.groupBy(short.alias("_short")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    several = materialize(counted.select(F.xxhash64("_short").alias("key")), "several")
+    shared = keys.sparkSession.sparkContext.broadcast(Screen(several))
+    some = materialize(keys.where(_may(shared, F.xxhash64(short))), "blocks")
+    shared.unpersist()
+    discard(several)
+    met = some.groupBy("key").agg(F.count(F.lit(1)).alias("_met"), F.bit_xor(F.xxhash64("class")).alias("_who")).where("_met > 1")
+    once = met.groupBy("_met", "_who").agg(F.min("key").alias("key"))
+    out = materialize(some.join(once.select("key", "_met"), "key").select("class", "key", "_met"), "blocks")
+    discard(some)
+    return out
+
+
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per row of ``docs``."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
@@ -301,13 +336,14 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     some = described.where("class is not null")
     keys = materialize(some.groupBy("class").agg(F.first("rare").alias("rare")).select("class", F.explode("rare").alias("key")), "keys")
-    # counted by an aggregation and joined back, so that no task holds all classes of a common shingle
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_met")).where("_met > 1")
-    blocks = keys.join(met, "key")
+    blocks = blocks_of(keys)
+    discard(keys)
+    release(spark)
     vectors = some.groupBy("class").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     tasks = tiled(blocks, "key", BLOCK_LIMIT).join(vectors, "class").select("_task", "class", "n", "vec")
     pairs = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_block_forests, "a long, b long").distinct(), "pairs")
-    discard(keys)
+    discard(blocks)
+    release(spark)
     clusters = materialize(components(pairs), "clusters")
 
     reps = some.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -316,6 +352,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     while bits < min(BLOOM_PER_CLASS * wanted.count(), BLOOM_BITS):
         bits *= 2
     bloom = sc.broadcast(_bloom(wanted.select(F.xxhash64("rep").alias("h")), "h", bits))
+    release(spark)
     fetched = rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(bounded(_fetch(bloom)), "class long, set array<long>").groupBy("class").agg(F.first("set").alias("set"))
     named = clusters.withColumnRenamed("node", "class").join(vectors.select("class", "n"), "class")
     weight = F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / F.lit(MEAN_SHINGLES)))  # long texts count as several
@@ -323,6 +360,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     tasks = tasks.join(fetched, "class").select("_task", "class", "set")
     links = materialize(tasks.repartition("_task").sortWithinPartitions("_task").mapInArrow(_cluster_forests, "a long, b long"), "links")
     bloom.unpersist()
+    release(spark)
 
     # the least id of a component goes to its linked classes, then to the rows of classes that are linked or have copies;
     # both joins deal a hot key over SALTS shares
@@ -336,21 +374,30 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     out = described.select("id", "n", "class", salt("id")).join(ids.select("*", shares), ["class", "_salt"], "left")
     result = materialize(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), "near")
     discard(described, pairs, clusters, wanted, links)
+    release(spark)
     return result
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of its smallest id. Rows without shingles, linked with nothing, all stay.
 
-    An id that several rows carry is rare; only of those rows the texts are compared, and equal rows count once. Columns
-    may have any names.
+    An id that several rows carry is rare; only of those rows the texts are compared, and equal rows count once. Rows whose id
+    is kept and is theirs alone, which are most, stay where they are; only those that a bit set of the other ids may hold are
+    joined. Columns may have any names.
     """
     near = near_classes(docs, id_col=id_col, text_col=text_col)
+    alone = (F.count(F.lit(1)) == 1) & F.bool_and(F.col(id_col).eqNullSafe(F.col("component_id")))
+    others = near.groupBy(F.col(id_col).alias("_id")).agg(alone.alias("_alone")).where("NOT _alone")
+    others = materialize(others.select(F.xxhash64("_id").alias("key")), "others")
+    shared = docs.sparkSession.sparkContext.broadcast(Screen(others))
+    discard(others)
     keep = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
     alias = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
-    kept = docs.select(*[docs[c].alias(a) for c, a in alias.items()]).join(keep, F.col(alias[id_col]).eqNullSafe(F.col("_keep")))
+    rows = docs.select(*[docs[c].alias(a) for c, a in alias.items()])
+    other = _may(shared, F.xxhash64(alias[id_col]))
+    kept = rows.where(other).join(keep, F.col(alias[id_col]).eqNullSafe(F.col("_keep")))
     several = kept.where("_rows > 1").withColumn("_text", F.xxhash64(alias[text_col])).dropDuplicates(["_keep", "_text"]).drop("_text")
-    return kept.where("_rows = 1").unionByName(several).select(*[F.col(a).alias(c) for c, a in alias.items()])
+    return rows.where(~other).unionByName(kept.where("_rows = 1").unionByName(several).drop("_keep", "_rows")).select(*[F.col(a).alias(c) for c, a in alias.items()])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,8 +156,9 @@ class Screen:
 
         size = SEGMENT // 8
         sent = keys.select("key").mapInArrow(bounded(run), "segment long, bits binary").repartition("segment").mapInArrow(bounded(either), "segment long, bits binary")
-        for r in sent.toLocalIterator():
-            self.bytes[r.segment * size : (r.segment + 1) * size] |= np.frombuffer(bytes(r.bits), np.uint8)
+        for batch in sent.toArrow().to_batches():  # one job, whatever the number of partitions; SCREEN_BITS at most
+            for segment, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                self.bytes[segment * size : (segment + 1) * size] |= np.frombuffer(part.as_buffer(), np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         return self._bit(keys & self.mask) & self._bit((keys >> SHIFT) & self.mask)

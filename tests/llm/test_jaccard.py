@@ -74,3 +74,37 @@ def test_edges(docs, no_docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 3, 4, 7, 8, 9, 10]
+
+
+def test_blocks_of_the_same_classes_are_searched_once(spark):
+    members = {1: [10, 11], 2: [10, 11], 3: [10, 11, 12], 4: [10, 12], 5: [13], -7: [11, 10]}
+    keys = spark.createDataFrame([(c, k << 24) for k, cs in members.items() for c in cs] + [(14, (9 << 24) + 1), (15, (9 << 24) + 2)], "class long, key long")
+    found = {}
+    for r in J.blocks_of(keys).collect():
+        found.setdefault((r.key, r._met), set()).add(r["class"])
+    assert sorted(map(sorted, found.values())) == [[10, 11], [10, 11, 12], [10, 12]]
+    assert all(met == len(cs) for (_, met), cs in found.items())
+
+
+def test_texts_of_kept_documents_stay_where_they_are(spark, make, tmp_path):
+    """Bytes that the last step shuffles: texts of a few documents only, not of all."""
+    r = random.Random(3)
+    texts = [(i, " ".join(f"{r.getrandbits(60):x}" for _ in range(300))) for i in range(400)]
+    texts += [(1000 + i, texts[i][1]) for i in range(5)]
+    make(texts).repartition(4).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = J.deduplicate(spark.read.parquet(f"{tmp_path}/in"))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = shuffled(spark)
+        assert sorted(x.doc_id for x in kept.collect()) == list(range(400))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert shuffled(spark) - before < 0.1 * sum(len(t) for _, t in texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
