@@ -170,6 +170,40 @@ def _from_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield last, np.full(len(last), -1, np.int64), *pairs(last)
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each key of sorted ``keys`` begins."""
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def distinct(held: list[np.ndarray], least: int, small: type) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of ``held``, sorted, and their counts up to ``least``; ``held`` is emptied, and one copy of it is sorted in place."""
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    first = _starts(keys)
+    n = np.minimum(np.diff(first, append=len(keys)), least).astype(small)
+    return keys[first], n
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all arrays, sorted, and the sums of their counts up to ``least``; the lists are emptied.
+
+    Counts stay in their narrow type, and no array but the order is wider than its input, so a task holds few times its keys.
+    """
+    small = counts[0].dtype
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
+    order = np.argsort(every, kind="stable")  # runs are sorted already
+    every, n = every[order], n[order]
+    del order
+    first = _starts(every)
+    total = np.add.reduceat(n, first, dtype=np.int64) if len(first) else np.empty(0, np.int64)
+    return every[first], np.minimum(total, least, out=total).astype(small)
+
+
 def candidates(slots: DataFrame, least: int) -> DataFrame:
     """Packed keys (``keys`` binary, ``m`` of them) that at least ``least`` positions have; each key in one row only."""
     segments = int((slots.agg(F.sum(F.octet_length("slots"))).first()[0] or 0) // (4 * SEGMENT) + 1)
@@ -182,14 +216,15 @@ def candidates(slots: DataFrame, least: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            n = np.minimum(n, least).astype(small)
-            of = (mix(keys, 1) % np.uint64(segments)).astype(np.int64)
+            keys, n = distinct(held, least, small)
+            of = np.empty(len(keys), np.int32)
+            for a in range(0, len(keys), BLOCK):
+                of[a : a + BLOCK] = mix(keys[a : a + BLOCK], 1) % np.uint64(segments)
             order = np.argsort(of, kind="stable")
             keys, n, of = keys[order], n[order], of[order]
-            ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
-            for a, b in zip(np.append(0, ends[:-1]), ends):
+            del order
+            starts = _starts(of)
+            for a, b in zip(starts, np.append(starts[1:], len(of))):
                 yield to_batch(packed, segment=[int(of[a])], keys=[keys[a:b].tobytes()], counts=[n[a:b].tobytes()])
 
         for batch in batches:
@@ -203,23 +238,16 @@ def candidates(slots: DataFrame, least: int) -> DataFrame:
             yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums, new, more, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            every, at = np.unique(np.concatenate([keys, *new]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([sums, *more])).astype(np.int64)
-            return every, np.minimum(total, least)
-
+        new, more, size = [np.empty(0, np.uint64)], [np.empty(0, small)], 0
         for batch in batches:
             for k, c in zip(batch.column("keys"), batch.column("counts")):
                 new.append(np.frombuffer(k.as_buffer(), np.uint64))
-                more.append(np.frombuffer(c.as_buffer(), small).astype(np.int64))
+                more.append(np.frombuffer(c.as_buffer(), small))
                 size += len(new[-1])
-                if size >= HELD:
-                    keys, sums = merged()
-                    new, more, size = [], [], 0
-        if new:
-            keys, sums = merged()
+                if size >= HELD // 4:
+                    keys, sums = added(new, more, least)
+                    new, more, size = [keys], [sums], 0
+        keys, sums = added(new, more, least)
         keys = keys[sums >= least]
         for i in range(0, len(keys), BLOCK):
             part = keys[i : i + BLOCK]
