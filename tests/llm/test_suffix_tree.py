@@ -115,3 +115,21 @@ def test_shipped_setting_against_brute_force(make, monkeypatch):
         monkeypatch.setattr(P, "P_TABLE", share)
         got = {x.doc_id: x.score for x in P.score_texts(docs).collect()}
         assert len(got) == len(texts) and max(abs(got[i] - brute_score(t, train)[0]) for i, t in texts[::25] + texts[-4:]) < 1e-9, share
+
+
+def test_a_bit_set_comes_in_one_job(spark):
+    """Jobs don't grow with the number of partitions; before, each partition was a job of its own."""
+    keys = np.unique(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 5000))
+    table = spark.createDataFrame([(int(k),) for k in keys], "key long").repartition(2)
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        sc.setJobGroup("screen", "")
+        screen = P.Screen(table)
+        assert len(sc.statusTracker().getJobIdsForGroup("screen")) < 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert screen.has(keys.view(np.uint64)).all()
