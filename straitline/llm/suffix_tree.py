@@ -12,13 +12,15 @@ word is a context too.
 
 All counts are sums over every training row, and MIN_COUNT is absolute, so the tree grows with the corpus. A run of words
 (a gram) has as key the mix of the keys of its prefix and its suffix, so the context of a transition is its prefix, and
-what it backs off to is its suffix. A task sends its counts as sorted arrays of keys, one a bucket of the key space; the
-number of buckets follows the size of the corpus, so a bucket's size doesn't. In logarithms each order adds a term, so a
+what it backs off to is its suffix. A task sends its counts in one message a bucket of the key space; the number of buckets
+follows the size of the corpus, so a bucket's size doesn't. A message has the words of its grams, from which the keys follow:
+two or five bytes for each of the OFTEN most frequent words, which are broadcast, and the hash of any other. So the bytes of
+a gram don't grow with the number of buckets. In logarithms each order adds a term, so a
 text's score is a sum over its grams of one value each. Texts are turned into hashes once, in chunks that are written. To
 score, a chunk sends the keys that it asks for to their buckets of the key space, where the values are, and gets values
-back: two shuffles of arrays, whatever the order of the tree. Two things are broadcast, both of bounded size: grams with a
-share of P_TABLE of all tokens, at most 1/P_TABLE an order, which only saves their shuffle; and bit sets of keys, which let
-a task drop grams that can't be in a table. They err to the safe side only, so neither changes a score.
+back: two shuffles of arrays, whatever the order of the tree. Three things are broadcast, all of bounded size: the OFTEN
+most frequent words with their counts and grams with a share of P_TABLE of all tokens, at most 1/P_TABLE an order, which
+only saves their shuffle; and bit sets of keys, which let a task drop grams that can't be in a table. They err to the safe side only, so neither changes a score.
 
 Cases: a null or empty text is its end alone; repeated rows and ids are scored row by row; with nothing to train on,
 every probability is that of an empty unigram, 1; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +29,7 @@ every probability is that of an empty unigram, 1; an empty table gives an empty
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import Remembered, bounded, broadcasting, column, crc_mod, discard, materialize, slices, words
 
-#: Share of all tokens from which an entry is broadcast.
+#: Share of all tokens from which a gram is broadcast.
 P_TABLE = 5e-7
 MAX_ORDER, MIN_COUNT = 4, 4
 #: Smoothing weight of the suffix, and least divergence in nats an occurrence that retains a context.
 ALPHA, DIVERGENCE = 4.0, 0.02
 #: Entries that a task counts before it emits them, and bytes of text for which a bucket of the key space is made.
-FLUSH, BUCKET_BYTES = 1_000_000, 1 << 24
+FLUSH, BUCKET_BYTES = 2_000_000, 1 << 24
+#: Frequent words that are broadcast at most; the code of all others; codes from MORE on take three bytes more.
+OFTEN, RARE, MORE = 1_000_000, (1 << 24) - 1, (1 << 16) - 1
+#: Buckets of counts that make one of values: fewer of these leave fewer partial sums of a text.
+WIDER = 4
 #: Keys of one message to a bucket, so a batch of messages is small, and the kinds of rows that meet there.
 MESSAGE = 1024
 WORDS, GRAMS, ASK_WORDS, ASK_GRAMS, OWN = range(5)
@@ -91,11 +97,12 @@ def written(rows: DataFrame) -> DataFrame:
     return materialize(chunks.withColumn("chunk", F.monotonically_increasing_id()), "pst-tokens", "zstd")
 
 
-def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of a chunk with an END before them, lengths of its texts, and which of these are held out."""
+def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token hashes of a chunk, the index into them of each token with an END before them, lengths of its texts,
+    and which of these are held out."""
     get = lambda name: batch.column(batch.schema.get_field_index(name))[i]
-    x = np.concatenate([[END_HASH], unpack(get("tokens").as_py())])
-    return x, *(get(c).values.to_numpy(zero_copy_only=False) for c in ("length", "held_out"))
+    table, code = unpack(get("tokens").as_py())
+    return table, np.concatenate([code[-1:], code]), *(get(c).values.to_numpy(zero_copy_only=False) for c in ("length", "held_out"))
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,21 +113,16 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def grams(x: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(positions, keys, keys of contexts, keys of suffixes) of the grams of 1, 2 .. ``order`` words before a token.
+    """(ok, keys, keys of contexts, keys of suffixes) of the runs of 2, 3 .. ``order`` + 1 tokens, by their first token.
 
-    A gram ends at its position; only its first token and its last may be an END.
+    ``ok`` tells grams from other runs: only the first token of a gram and its last may be an END.
     """
-    at, key = np.arange(len(x)), x
-    for _ in range(order):
-        full = np.zeros(len(x), np.uint64)
-        full[at] = key
-        has = np.zeros(len(x), bool)
-        has[at] = True
-        at = at[at > 0]
-        at = at[has[at - 1] & ((x[at - 1] != END_HASH) if _ else True)]
-        ctx, sub = full[at - 1], full[at]
+    inner, ok, key = x != END_HASH, np.ones(len(x), bool), x
+    for j in range(order):
+        ctx, sub = key[:-1], key[1:]
+        ok = ok[:-1] & inner[j:-1] if j else ok[:-1]
         key = mix(ctx, sub)
-        yield at, key, ctx, sub
+        yield ok, key, ctx, sub
 
 
 class Screen:
@@ -161,7 +163,10 @@ class Screen:
                 self.bytes[segment * size : (segment + 1) * size] |= np.frombuffer(part.as_buffer(), np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        return self._bit(keys & self.mask) & self._bit((keys >> SHIFT) & self.mask)
+        out = self._bit(keys & self.mask)
+        some = np.flatnonzero(out)
+        out[some] = self._bit((keys[some] >> SHIFT) & self.mask)
+        return out
 
     def _bit(self, at: np.ndarray) -> np.ndarray:
         return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -178,11 +183,40 @@ def pack(v: np.ndarray) -> bytes:
     return bytes(4) + v.tobytes()
 
 
-def unpack(b: bytes) -> np.ndarray:
+def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the index into them of each."""
     size = int.from_bytes(b[:4], "little")
     if not size:
-        return np.frombuffer(b, np.uint64, offset=4)
-    return np.frombuffer(b, np.uint64, size, 4)[np.frombuffer(b, np.uint16, offset=4 + 8 * size)]
+        return np.unique(np.frombuffer(b, np.uint64, offset=4), return_inverse=True)
+    return np.frombuffer(b, np.uint64, size, 4), np.frombuffer(b, np.uint16, offset=4 + 8 * size)
+
+
+def narrow(v: np.ndarray) -> bytes:
+    """Integers of at least 0 in as few bytes each as the largest needs; a byte before them says how many."""
+    kind = np.min_scalar_type(int(v.max()) if len(v) else 0)
+    return bytes([kind.itemsize]) + v.astype(kind).tobytes()
+
+
+def wide(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"u{b[0]}", offset=1)
+
+
+def squeeze(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Codes of the words of grams (a row a place) and counts, packed by zstd; low and high bytes of codes lie apart."""
+    apart = lambda v, kind, used: v.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)[:, :used].T.tobytes()
+    raw = apart(np.minimum(codes, MORE).ravel(), "<u2", 2) + apart(codes[codes >= MORE], "<u4", 3) + narrow(n)
+    return codes.shape[1].to_bytes(4, "little") + len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(b: bytes, places: int) -> tuple[np.ndarray, np.ndarray]:
+    size, length = int.from_bytes(b[:4], "little"), int.from_bytes(b[4:8], "little")
+    raw = pa.decompress(b[8:], decompressed_size=length, codec="zstd", asbytes=True)
+    low, high = np.frombuffer(raw, np.uint8, 2 * places * size).reshape(2, -1).astype(np.uint32)
+    codes = low | high << np.uint32(8)
+    more = np.flatnonzero(codes == MORE)
+    low, mid, high = np.frombuffer(raw, np.uint8, 3 * len(more), 2 * len(codes)).reshape(3, -1).astype(np.uint32)
+    codes[more] = low | mid << np.uint32(8) | high << np.uint32(16)
+    return codes.reshape(places, size), wide(raw[2 * len(codes) + 3 * len(more) :]).astype(np.int64)
 
 
 def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
@@ -190,70 +224,130 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     key, *payload, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    first = np.flatnonzero(starts(key))
     return [key[first], *[p[order[first]] for p in payload], np.add.reduceat(n[order], first) if len(first) else n]
 
 
+def starts(v: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    return np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.empty(0, bool)
+
+
 def bucket_bits(buckets: int) -> int:
     return max(buckets - 1, 1).bit_length()
 
 
-def count(chunks: DataFrame, order: int, buckets: int, screens=None) -> DataFrame:
+class Frequent:
+    """At most OFTEN words, those of the greatest counts, the most frequent first: hashes, counts, and their Index; ``rest``
+    has the other words."""
+
+    def __init__(self, vocab: DataFrame):
+        level, least, room = F.floor(8 * F.log2("n")), None, OFTEN
+        for r in sorted(vocab.groupBy(level.alias("level")).count().collect(), reverse=True):  # a row an eighth of a doubling
+            room -= r["count"]
+            if room < 0:
+                break
+            least = r["level"]
+        here = F.lit(False) if least is None else level >= least
+        t = vocab.where(here).select("key", "n").toArrow()
+        key, n = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
+        by = np.lexsort((key, -n))
+        self.hashes, self.n, self.rest = key[by].view(np.uint64), n[by], vocab.where(~here)
+        self.index = Index(self.hashes)
+
+
+def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None) -> DataFrame:
     """(key, n) of all words of texts that are not held out for order 0; (key, ctx, sub, n) of the grams of ``order`` words and the next that occur
-    MIN_COUNT times and have their prefix in the first of the broadcast ``screens`` and their suffix in the second."""
+    MIN_COUNT times and have their prefix in the first of the broadcast ``screens`` and their suffix in the second; ``often``
+    is the broadcast (hashes, Index) of the most frequent words."""
     bits = np.uint64(bucket_bits(buckets))
-    names = ["ctx", "sub"] if order else ["key"]
 
     def found(x: np.ndarray) -> list[np.ndarray]:
-        if not order:
-            key, n = np.unique(x[1:], return_counts=True)
-            return [key, n]
-        *_, (_, key, ctx, sub) = grams(x, order)
-        ok = screens.value[1].has(sub)
-        key, ctx, sub = key[ok], ctx[ok], sub[ok]
-        ok = screens.value[0].has(ctx)
-        return merged([[key[ok], ctx[ok], sub[ok], np.ones(int(ok.sum()), np.int64)]])
-
-    def packed(key: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-        """A row a bucket; inside, sorted by context, which compresses well."""
-        own = (key >> (np.uint64(64) - bits)).astype(np.int64)
-        *payload, n = rest
-        payload = payload or [key]
-        order_ = np.lexsort((payload[0], own))
-        own = own[order_]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, np.int64)
-        columns = [[pack(x) for x in np.split(p[order_], first[1:])] if len(own) else [] for p in payload]
-        counts = [x.astype(np.uint8 if x.max() < 256 else np.int64).tobytes() for x in np.split(n[order_], first[1:])] if len(own) else []
-        return pa.RecordBatch.from_arrays([pa.array(own[first].astype(np.int32)), *[pa.array(c, pa.binary()) for c in (*columns, counts)]], names=["bucket", *names, "n"])
+        """[key, first token, n] of the grams of a chunk."""
+        for ok, key, ctx, sub in grams(x, order):  # noqa: B007
+            pass
+        at = np.flatnonzero(ok)
+        at = at[screens.value[1].has(sub[at])]
+        at = at[screens.value[0].has(ctx[at])]
+        key = key[at]
+        by = np.argsort(key)
+        key = key[by]
+        first = np.flatnonzero(starts(key))
+        return [key[first], at[by[first]].astype(np.uint32), np.diff(first, append=len(key))]
+
+    def packed(key: np.ndarray, at: np.ndarray, n: np.ndarray, x: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+        """A row a bucket; inside, sorted by the first words, which compresses well."""
+        own = key >> (np.uint64(64) - bits)
+        by = own
+        for j in range(min(order + 1, 3)):  # 16 bits of the bucket and of each of three words
+            by = by << np.uint64(16) | np.minimum(code[at + np.uint32(j)], MORE)
+        by = np.argsort(by)
+        own, at, n = own[by], at[by], n[by]
+        start, to = runs(own)
+        rows = []
+        for a, b in zip(start, to):
+            places = at[a:b] + np.arange(order + 1, dtype=np.uint32)[:, None]
+            codes = code[places]
+            rows.append((int(own[a]), squeeze(codes, n[a:b]), x[places[codes == RARE]].tobytes()))
+        return messages(rows)
+
+    def packed_words(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        own = key >> (np.uint64(64) - bits)  # the keys are sorted
+        return messages([(int(own[a]), narrow(n[a:b]), key[a:b].tobytes()) for a, b in zip(*runs(own))])
+
+    def messages(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "n", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, xs, tokens = [], 0, [], 0
+
+        def flushed() -> pa.RecordBatch:
+            return packed(*merged(parts), *(np.concatenate(x) for x in zip(*xs))) if order else packed_words(*merged(parts))
+
         for batch in batches:
             for i in range(batch.num_rows):
-                x, lengths, held = unpacked(batch, i)
-                parts.append(found(x[np.concatenate([[True], np.repeat(~held.astype(bool), lengths)])]))
+                table, code, lengths, held = unpacked(batch, i)
+                code = code[np.concatenate([[True], np.repeat(~held.astype(bool), lengths)])]
+                if order:
+                    x = table[code]
+                    key, at, n = found(x)
+                    parts.append([key, at + np.uint32(tokens), n])
+                    at = often.value[1].find(table)
+                    xs.append((x, np.where(at >= 0, at, RARE).astype(np.uint32)[code]))
+                    tokens += len(x)
+                else:
+                    n = np.bincount(code[1:], minlength=len(table))
+                    parts.append([table[n > 0], n[n > 0]])
                 size += len(parts[-1][0])
-                if size > 2 * FLUSH:
+                if size > 2 * FLUSH or tokens > 8 * FLUSH:
                     parts = [merged(parts)]
                     size = len(parts[0][0])
-                    if size > FLUSH:
-                        yield packed(*parts[0])
-                        parts, size = [], 0
+                    if size > FLUSH or tokens > 8 * FLUSH:
+                        yield flushed()
+                        parts, size, xs, tokens = [], 0, [], 0
         if parts:
-            yield packed(*merged(parts))
+            yield flushed()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                if (b := batch.column(0)[i].as_py()) != bucket and parts:
+                b, n, keys = (batch.column(c)[i].as_py() for c in range(3))
+                if b != bucket and parts:
                     yield from rows_of(parts)
                     parts = []
-                bucket = b
-                *payload, n = (batch.column(c + 1)[i].as_py() for c in range(len(names) + 1))
-                payload = [unpack(p) for p in payload]
-                n = np.frombuffer(n, np.uint8 if len(n) == len(payload[0]) else np.int64).astype(np.int64)
-                parts.append([mix(*payload), *payload, n] if order else [payload[0], n])
+                bucket, keys = b, np.frombuffer(keys, np.uint64)
+                if order:
+                    codes, n = expand(n, order + 1)
+                    rare = codes == RARE
+                    hashes = often.value[0]
+                    level = hashes[np.where(rare, 0, codes)] if len(hashes) else np.zeros(codes.shape, np.uint64)
+                    level[rare] = keys
+                    while len(level) > 2:
+                        level = mix(level[:-1], level[1:])
+                    parts.append([mix(*level), *level, n])
+                else:
+                    parts.append([keys, wide(n).astype(np.int64)])
         if parts:
             yield from rows_of(parts)
 
@@ -262,13 +356,32 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None) -> DataFram
         ok = n >= (MIN_COUNT if order else 1)
         keys, n = [k[ok].view(np.int64) for k in keys], n[ok]
         for i in range(0, len(n), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(names if order else ()), "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(("ctx", "sub") if order else ()), "n"])
 
-    kinds = ", ".join(f"{x} binary" for x in (*names, "n"))
-    dealt = chunks.select("tokens", "length", "held_out").mapInArrow(bounded(run), f"bucket int, {kinds}").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = chunks.select("tokens", "length", "held_out").mapInArrow(bounded(run), "bucket int, n binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(bounded(summed), f"key long, {'ctx long, sub long, ' if order else ''}n long")
 
 
+class Index:
+    """Positions of distinct keys: they are uniform, so the upper bits of a key tell about where it stands among the sorted ones."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys), 1).bit_length()
+        self.shift, self.at = np.uint64(64 - bits), np.argsort(keys).astype(np.int32)
+        self.keys = np.concatenate([keys[self.at], [np.uint64(2**64 - 1)]])
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.at = np.append(self.at, np.int32(-1))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Position of each wanted key among ``keys`` as they were given, or -1."""
+        i = self.first[(wanted >> self.shift).astype(np.int64)]
+        below = np.flatnonzero(self.keys[i] < wanted)
+        while len(below):
+            i[below] += 1
+            below = below[self.keys[i[below]] < wanted[below]]
+        return np.where(self.keys[i] == wanted, self.at[i], -1)
+
+
 def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Position of each wanted key in sorted ``keys``, or -1."""
     if not len(keys):
@@ -281,32 +394,34 @@ def lookup(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Model:
     """What is broadcast for scoring: frequent words, frequent grams with their values, a screen of all grams with a value."""
 
-    def __init__(self, vocab: pa.Table, total: int, distinct: int, values: pa.Table, screen: Screen, order: int):
+    def __init__(self, frequent: Frequent, total: int, distinct: int, values: pa.Table, screen: Screen, order: int):
         def sorted_columns(t: pa.Table, *names: str) -> list[np.ndarray]:
             key, *rest = (t.column(c).to_numpy() for c in ("key", *names))
             key = key.astype(np.int64).view(np.uint64)
             at = np.argsort(key)
             return [key[at], *[r[at] for r in rest]]
 
-        self.hashes, n = sorted_columns(vocab, "n")
+        self.hashes = frequent.hashes
         self.keys, raised, weight = sorted_columns(values, "raised", "weight")
         self.raised, self.weight, self.screen, self.total, self.distinct, self.order = raised.astype(float), weight.astype(float), screen, total, distinct, order
-        self.logs = np.log10(n + 1.0)
+        self.word, self.gram = frequent.index, Index(self.keys)
+        self.logs = np.log10(frequent.n + 1.0)
         self.root = self.logs - math.log10(total + distinct + 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token but the first, by what is broadcast, for token hashes; a word that is not
         broadcast lacks its root probability."""
-        i = lookup(self.hashes, x)
+        i = self.word.find(x)
         out = np.where(i >= 0, self.root[np.maximum(i, 0)], 0.0) if len(self.root) else np.zeros(len(x))
-        for at, key, ctx, _ in grams(x, self.order):
+        for j, (ok, key, ctx, _) in enumerate(grams(x, self.order), 1):
             for values, wanted in ((self.raised, key), (self.weight, ctx)):
-                i = lookup(self.keys, wanted)
-                out[at[i >= 0]] += values[i[i >= 0]]
+                i = self.gram.find(wanted)
+                hit = np.flatnonzero((i >= 0) & ok)
+                out[hit + j] += values[i[hit]]
         return out[1:]
 
 
-def grow(chunks: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tuple[DataFrame | None, int, list[DataFrame]]:
+def grow(chunks: DataFrame, vocab: DataFrame, norm: float, buckets: int, often) -> tuple[DataFrame | None, int, list[DataFrame]]:
     """(values (key, n, raised, weight) of all nodes and their transitions, depth of the tree, the written tables that the
     values read); None for a bare root."""
     spark, values, depth, read, last = chunks.sparkSession, None, 0, [], None
@@ -314,7 +429,7 @@ def grow(chunks: DataFrame, vocab: DataFrame, norm: float, buckets: int) -> tupl
     live = counted.select("key", (F.log10(F.col("n") + 1.0) - F.lit(norm)).alias("s"))  # log10 probability in the order below
     for order in range(1, MAX_ORDER + 1):
         with broadcasting(spark, (Screen(counted), Screen(live))) as screens:
-            found = count(chunks, order, buckets, screens)
+            found = count(chunks, order, buckets, screens, often)
             t = materialize(found.join(live.select(F.col("key").alias("sub"), F.col("s").alias("below")), "sub").select("key", "ctx", "n", "below"), f"pst-order{order}")
         seen = counted.select(F.col("key").alias("ctx"), F.col("n").alias("seen"))
         rest = F.greatest(F.col("seen") - F.col("own"), F.lit(0))
@@ -351,20 +466,22 @@ def learn(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
 
 
 def fit(chunks: DataFrame) -> tuple[Model, DataFrame, DataFrame, int]:
-    """(model, words (key, value) and values (key, value) that are not broadcast, number of buckets) of ``written`` texts."""
+    """(model, words (key, n) and values (key, value) that are not broadcast, number of buckets of values) of ``written`` texts."""
     size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(8, size // BUCKET_BYTES)
     vocab = materialize(count(chunks, 0, buckets), "pst-vocab")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    often = max(1.0, P_TABLE * total)
-    values, depth, read = grow(chunks, vocab, math.log10(total + distinct + 1), buckets)
+    least = max(1.0, P_TABLE * total)
+    frequent = Frequent(vocab)
+    with broadcasting(chunks.sparkSession, (frequent.hashes, frequent.index)) as often:
+        values, depth, read = grow(chunks, vocab, math.log10(total + distinct + 1), buckets, often)
     if values is None:
         values = vocab.limit(0).select("key", "n", F.lit(0.0).alias("raised"), F.lit(0.0).alias("weight"))
     values = materialize(values.groupBy("key").agg(F.max("n").alias("n"), F.sum("raised").alias("raised"), F.sum("weight").alias("weight")), "pst-values")
     discard(*read)
-    rare = values.where(F.col("n") < often).select("key", (F.col("raised") + F.col("weight")).alias("value"))
-    model = Model(vocab.where(F.col("n") >= often).toArrow(), total, distinct, values.where(F.col("n") >= often).toArrow(), Screen(values), depth)
-    return model, vocab.where(F.col("n") < often).select("key", F.log10(F.col("n") + 1.0).alias("value")), rare, buckets
+    rare = values.where(F.col("n") < least).select("key", (F.col("raised") + F.col("weight")).alias("value"))
+    model = Model(frequent, total, distinct, values.where(F.col("n") >= least).toArrow(), Screen(values), depth)
+    return model, frequent.rest, rare, max(8, buckets // WIDER)
 
 
 def asked(chunks: DataFrame, shared, buckets: int) -> DataFrame:
@@ -378,21 +495,34 @@ def asked(chunks: DataFrame, shared, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = batch.column(batch.schema.get_field_index("chunk"))[i].as_py()
-                x, lengths, _ = unpacked(batch, i)
+                table, code, lengths, _ = unpacked(batch, i)
                 texts, owner = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
-                ids = lookup(m.hashes, x[1:])
+                x = table[code]
+                ids = m.word.find(table)[code[1:]]
                 known = ids >= 0
                 extra = np.zeros(texts)
                 asks = [(ASK_WORDS, owner[~known], x[1:][~known])]
-                # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
-                for who, key in ((owner, x[:-1]), *((owner[at - 1], key) for at, key, _, _ in grams(x, m.order))):
-                    may = m.screen.has(key)
-                    who, key = who[may], key[may]
-                    at = lookup(m.keys, key)
+
+                def gathered(may: np.ndarray, key: np.ndarray, at: np.ndarray, j: int) -> None:
+                    nonlocal extra
+                    who, key, at = owner[may + max(j - 1, 0)], key[may], at[may]  # noqa: B023
                     hit = at >= 0
                     if len(both):
-                        extra += np.bincount(who[hit], weights=both[at[hit]], minlength=texts)
-                    asks.append((ASK_GRAMS, who[~hit], key[~hit]))
+                        extra += np.bincount(who[hit], weights=both[at[hit]], minlength=texts)  # noqa: B023
+                    asks.append((ASK_GRAMS, who[~hit], key[~hit]))  # noqa: B023
+
+                # a gram counts for the text of its end; a word, or the boundary, for the text of the token after it
+                gathered(np.flatnonzero(m.screen.has(table)[code[:-1]]), x, m.gram.find(table)[code], 0)
+                may = np.ones(len(x), bool)
+                for j, (ok, key, _, _) in enumerate(grams(x, m.order), 1):
+                    # a gram of three words or more has a value only if its suffix has one
+                    try_ = np.flatnonzero(ok & may[1:] if j > 1 else ok)
+                    try_ = try_[m.screen.has(key[try_])]
+                    at = np.full(len(key), -1)
+                    at[try_] = m.gram.find(key[try_])
+                    gathered(try_, key, at, j)
+                    may = np.zeros(len(key), bool)
+                    may[try_] = True
                 base = np.bincount(owner[known], weights=m.logs[ids[known]], minlength=texts) if len(m.logs) else np.zeros(texts)
                 own = np.concatenate([np.bincount(owner[known], minlength=texts).astype(float), base, extra])
                 rows = [(chunk & 7, OWN, own.tobytes(), b"")]
@@ -400,10 +530,10 @@ def asked(chunks: DataFrame, shared, buckets: int) -> DataFrame:
                     who, key = (np.concatenate([a[j] for a in asks if a[0] == kind]) for j in (1, 2))
                     to = (key >> (np.uint64(64) - bits)).astype(np.int64)
                     order = np.lexsort((who, to))
-                    who, key, to = who[order].astype(np.uint16 if texts <= 1 << 16 else np.uint32), key[order], to[order]
+                    who, key, to = who[order], key[order], to[order]
                     for start, end in zip(*runs(to)):
                         for j in range(start, end, MESSAGE):
-                            rows.append((int(to[j]), kind, who[j : min(j + MESSAGE, end)].tobytes(), key[j : min(j + MESSAGE, end)].tobytes()))
+                            rows.append((int(to[j]), kind, narrow(who[j : min(j + MESSAGE, end)]), key[j : min(j + MESSAGE, end)].tobytes()))
                 for j in range(0, len(rows), MESSAGE):
                     to, kind, at, keys = zip(*rows[j : j + MESSAGE])
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array([chunk] * len(to), pa.int64()), pa.array(at, pa.binary()), pa.array(keys, pa.binary())], names=["bucket", "kind", "key", "at", "keys"])
@@ -422,23 +552,49 @@ def runs(*columns: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def answered(messages: DataFrame, vocab: DataFrame, values: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, kind, at, value) for each message: the texts and values of those of its keys that have one; OWN as it is."""
-    bucket = F.shiftrightunsigned("key", 64 - bucket_bits(buckets)).cast("int").alias("bucket")
-    both = messages.withColumn("value", F.lit(None).cast("double"))
-    for kind, t in ((WORDS, vocab), (GRAMS, values)):
-        both = both.unionByName(t.select(bucket, F.lit(kind).alias("kind"), "key", "value"), allowMissingColumns=True)
+    """(chunk, kind, at, value) for each message: the texts and counts or values of those of its keys that have one; OWN as it is."""
+    bits = np.uint64(bucket_bits(buckets))
+
+    def tables(kind: int) -> Callable:
+        """Messages (bucket, kind, 0, values, keys) of rows (key, value)."""
+
+        def packed(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            to = (key >> (np.uint64(64) - bits)).astype(np.int64)
+            rows = [(int(to[a]), kind, 0, narrow(value[a:b]) if kind == WORDS else value[a:b].tobytes(), key[a:b].tobytes()) for a, b in zip(*runs(to))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "kind", "key", "at", "keys"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+            for batch in batches:
+                parts.append([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False)])
+                size += batch.num_rows
+                if size > FLUSH:
+                    yield packed(*(np.concatenate(p) for p in zip(*parts)))
+                    parts, size = [], 0
+            if size:
+                yield packed(*(np.concatenate(p) for p in zip(*parts)))
+
+        return bounded(run)
+
+    both = messages
+    for kind, t, value in ((WORDS, vocab, "n"), (GRAMS, values, "value")):
+        both = both.unionByName(t.select("key", value).mapInArrow(tables(kind), messages.schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tables = None, {}
         for batch in batches:
-            get = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "kind", "key", "at", "keys", "value")}
+            get = {c: batch.column(batch.schema.get_field_index(c)) for c in ("bucket", "kind", "key", "at", "keys")}
             bucket, kind, key = (get[c].to_numpy(zero_copy_only=False) for c in ("bucket", "kind", "key"))
             rows = []
             for a, b in zip(*runs(bucket, kind)):
                 if bucket[a] != now:
                     now, tables = bucket[a], {WORDS: [], GRAMS: []}
                 if kind[a] <= GRAMS:
-                    tables[kind[a]].append([key[a:b].astype(np.int64).view(np.uint64), get["value"].slice(a, b - a).to_numpy(zero_copy_only=False)])
+                    for i in range(a, b):
+                        v = get["at"][i].as_py()
+                        tables[kind[a]].append([np.frombuffer(get["keys"][i].as_py(), np.uint64), wide(v) if kind[a] == WORDS else np.frombuffer(v, float)])
                     continue
                 if kind[a] == OWN:
                     rows += [(int(key[i]), OWN, get["at"][i].as_py(), b"") for i in range(a, b)]
@@ -450,16 +606,15 @@ def answered(messages: DataFrame, vocab: DataFrame, values: DataFrame, buckets:
                     table[:] = [[keys[order], found[order], True]]
                 keys, found, _ = table[0]
                 for i in range(a, b):
-                    at, wanted = get["at"][i].as_py(), np.frombuffer(get["keys"][i].as_py(), np.uint64)
-                    at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(wanted) else np.uint32)
+                    at, wanted = wide(get["at"][i].as_py()), np.frombuffer(get["keys"][i].as_py(), np.uint64)
                     where = lookup(keys, wanted)
                     hit = where >= 0
-                    at, value = at[hit], found[where[hit]] if len(keys) else np.empty(0)
+                    at, value = at[hit], found[where[hit]]
                     if kind[a] == ASK_GRAMS and len(at):  # sorted by text, so its values can be added up here
                         first = np.array(runs(at)[0])
                         at, value = at[first], np.add.reduceat(value, first)
                     if len(at):
-                        rows.append((int(key[i]), int(kind[a]), at.tobytes(), value.tobytes()))
+                        rows.append((int(key[i]), int(kind[a]), narrow(at), narrow(value) if kind[a] == ASK_WORDS else value.tobytes()))
             for j in range(0, len(rows), MESSAGE):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[j : j + MESSAGE]), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "kind", "at", "value"])
 
@@ -478,13 +633,12 @@ def summed_up(answers: DataFrame) -> DataFrame:
                         yield rows_of(now, sums)
                     now, sums = chunk, np.frombuffer(at, float).reshape(3, -1).copy()
                     continue
-                value = np.frombuffer(value, float)
-                at = np.frombuffer(at, np.uint16 if len(at) * 4 == 8 * len(value) else np.uint32)
+                at = wide(at)
                 if kind == ASK_WORDS:
                     np.add.at(sums[0], at, 1.0)
-                    np.add.at(sums[1], at, value)
+                    np.add.at(sums[1], at, np.log10(wide(value) + 1.0))
                 else:
-                    np.add.at(sums[2], at, value)
+                    np.add.at(sums[2], at, np.frombuffer(value, float))
         if now is not None:
             yield rows_of(now, sums)
 

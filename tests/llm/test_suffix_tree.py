@@ -133,3 +133,60 @@ def test_a_bit_set_comes_in_one_job(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert screen.has(keys.view(np.uint64)).all()
+
+
+def test_word_codes_give_the_counts_in_any_number_of_buckets(make, spark):
+    """The same counts in sixteen times the buckets, without contexts and suffixes in the shuffle, which were there before."""
+    r = np.random.default_rng(5)
+    docs = make([(i, " ".join(f"w{x}" for x in r.zipf(1.2, 600) if x < 5000)) for i in range(60)])
+    chunks = P.written(docs.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text")))
+    vocab = P.materialize(P.count(chunks, 0, 8), "t")
+    frequent = P.Frequent(vocab)
+    sc, sizes, rows = spark.sparkContext, [], []
+    screens, often = sc.broadcast((P.Screen(vocab), P.Screen(vocab))), sc.broadcast((frequent.hashes, frequent.index))
+    for buckets in (8, 128):
+        found = P.count(chunks, 1, buckets, screens, often)
+        rows.append({tuple(x) for x in found.collect()})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ctx" not in plan.split("Exchange")[-1]  # no hashes of contexts or suffixes are dealt
+        sizes.append(len(rows[-1]))
+    assert rows[0] == rows[1] and sizes[0] > 100
+    c = Counter(g for d in docs.collect() for x in [["", *d.text.split(), ""]] for g in zip(x, x[1:]))
+    assert sorted(n for *_, n in rows[0]) == sorted(n for n in c.values() if n >= P.MIN_COUNT)
+
+
+def test_codes_and_counts_return():
+    for top in (1, P.MORE, P.RARE + 1):
+        codes = np.random.default_rng(top).integers(0, top, (3, 500)).astype(np.uint32)
+        codes[0, 0] = top - 1
+        for n in (np.ones(500, np.int64), np.arange(500) << 30):
+            got = P.expand(P.squeeze(codes, n), 3)
+            assert (got[0] == codes).all() and (got[1] == n).all()
+    one, frequent = 2000, 4.2  # bytes a bigram of frequent words, in small messages; 17 before
+    codes = np.sort(np.random.default_rng(1).integers(0, 60_000, (2, one)).astype(np.uint32))
+    assert len(P.squeeze(codes, np.ones(one, np.int64))) < frequent * one
+
+
+def test_index_finds_as_a_search_does():
+    r = np.random.default_rng(2)
+    for size in (0, 1, 2, 1000):
+        keys = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        r.shuffle(keys)
+        wanted = np.concatenate([keys, r.integers(0, 1 << 63, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert P.Index(keys).find(wanted).tolist() == [at.get(int(w), -1) for w in wanted]
+
+
+def test_words_that_are_asked_for(make, monkeypatch):
+    """Few words and grams broadcast, so most counts, codes and values go by hash."""
+    r = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{x}" for x in r.zipf(1.4, 12) if x < 90)) for i in range(200)]
+    docs, train = make(texts), [t for _, t in texts]
+    monkeypatch.setattr(P, "P_TABLE", 1.0)
+    want = brute_base(train, train)
+    for often in (0, 12):
+        monkeypatch.setattr(P, "OFTEN", often)
+        for x in P.score_texts(docs).where("doc_id % 10 = 0").collect():
+            t = texts[x.doc_id][1]
+            assert (x.n_tokens, x.n_known) == want[t][:2] and abs(x.base_score - want[t][3]) < 1e-9
+            assert abs(x.score - brute_score(t, train)[0]) < 1e-9, often
