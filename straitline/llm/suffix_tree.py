@@ -46,6 +46,8 @@ MAX_ORDER, MIN_COUNT = 4, 4
 ALPHA, DIVERGENCE = 4.0, 0.02
 #: Entries that a task counts before it emits them, and bytes of text for which a bucket of the key space is made.
 FLUSH, BUCKET_BYTES = 2_000_000, 1 << 24
+#: Upper bits of the keys that a task merges and packs at a time.
+RANGE_BITS = 4
 #: Frequent words that are broadcast at most; the code of all others; codes from MORE on take three bytes more.
 OFTEN, RARE, MORE = 1_000_000, (1 << 24) - 1, (1 << 16) - 1
 #: Buckets of counts that make one of values: fewer of these leave fewer partial sums of a text.
@@ -225,7 +227,24 @@ def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(starts(key))
-    return [key[first], *[p[order[first]] for p in payload], np.add.reduceat(n[order], first) if len(first) else n]
+    return [key[first], *[p[order[first]] for p in payload], np.add.reduceat(n[order], first, dtype=n.dtype) if len(first) else n]
+
+
+def summed_from(parts: list[list[np.ndarray]], least: int) -> list[np.ndarray]:
+    """``merged`` of unsorted parts without the keys whose sum is below ``least``; empties ``parts``, and copies the payload of the others only."""
+    keys, *payload, n = zip(*parts)
+    parts.clear()
+    key, n = np.concatenate(keys), np.concatenate(n)
+    del keys
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(starts(key))
+    n = np.add.reduceat(n[order], first) if len(first) else n
+    ok = n >= least
+    first, n = first[ok], n[ok]
+    key, at = key[first], order[first]
+    del order
+    return [key, *[np.concatenate(p)[at] for p in payload], n]
 
 
 def starts(v: np.ndarray) -> np.ndarray:
@@ -263,7 +282,7 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None)
     bits = np.uint64(bucket_bits(buckets))
 
     def found(x: np.ndarray) -> list[np.ndarray]:
-        """[key, first token, n] of the grams of a chunk."""
+        """[key, first token, n] of the grams of a chunk, sorted by key."""
         for ok, key, ctx, sub in grams(x, order):  # noqa: B007
             pass
         at = np.flatnonzero(ok)
@@ -273,10 +292,10 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None)
         by = np.argsort(key)
         key = key[by]
         first = np.flatnonzero(starts(key))
-        return [key[first], at[by[first]].astype(np.uint32), np.diff(first, append=len(key))]
+        return [key[first], at[by[first]].astype(np.uint32), np.diff(first, append=len(key)).astype(np.uint32)]
 
-    def packed(key: np.ndarray, at: np.ndarray, n: np.ndarray, x: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-        """A row a bucket; inside, sorted by the first words, which compresses well."""
+    def packed(key: np.ndarray, at: np.ndarray, n: np.ndarray, code: np.ndarray, rare: np.ndarray) -> pa.RecordBatch:
+        """A row a bucket; inside, sorted by the first words, which compresses well. A code from RARE on is a place in ``rare``."""
         own = key >> (np.uint64(64) - bits)
         by = own
         for j in range(min(order + 1, 3)):  # 16 bits of the bucket and of each of three words
@@ -286,9 +305,8 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None)
         start, to = runs(own)
         rows = []
         for a, b in zip(start, to):
-            places = at[a:b] + np.arange(order + 1, dtype=np.uint32)[:, None]
-            codes = code[places]
-            rows.append((int(own[a]), squeeze(codes, n[a:b]), x[places[codes == RARE]].tobytes()))
+            codes = code[at[a:b] + np.arange(order + 1, dtype=np.uint32)[:, None]]
+            rows.append((int(own[a]), squeeze(np.minimum(codes, RARE), n[a:b]), rare[codes[codes >= RARE] - RARE].tobytes()))
         return messages(rows)
 
     def packed_words(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -299,34 +317,52 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "n", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, xs, tokens = [], 0, [], 0
+        high = min(bits, np.uint64(RANGE_BITS))  # a range of keys is one bucket or more
+        edges = np.arange(1, 1 << int(high), dtype=np.uint64) << (np.uint64(64) - high)
+
+        def nothing() -> tuple[list[list], int, bytearray, list[np.ndarray], int]:
+            """Parts of each range of keys and their entries; codes of the tokens, hashes of those that have none, and their number."""
+            return [[] for _ in range(len(edges) + 1)], 0, bytearray(), [], 0
 
-        def flushed() -> pa.RecordBatch:
-            return packed(*merged(parts), *(np.concatenate(x) for x in zip(*xs))) if order else packed_words(*merged(parts))
+        def flushed() -> Iterator[pa.RecordBatch]:
+            code, hashes = np.frombuffer(codes, np.uint32), np.concatenate(rare) if rare else np.empty(0, np.uint64)
+            for own in parts:
+                sums = merged(own)
+                own.clear()
+                yield packed(*sums, code, hashes) if order else packed_words(*sums)
 
+        parts, size, codes, rare, rares = nothing()
         for batch in batches:
             for i in range(batch.num_rows):
                 table, code, lengths, held = unpacked(batch, i)
                 code = code[np.concatenate([[True], np.repeat(~held.astype(bool), lengths)])]
                 if order:
-                    x = table[code]
-                    key, at, n = found(x)
-                    parts.append([key, at + np.uint32(tokens), n])
+                    key, at, n = found(table[code])
+                    got = [key, at + np.uint32(len(codes) // 4), n]
                     at = often.value[1].find(table)
-                    xs.append((x, np.where(at >= 0, at, RARE).astype(np.uint32)[code]))
-                    tokens += len(x)
+                    new = np.flatnonzero(at < 0)
+                    at[new] = RARE + rares + np.arange(len(new))
+                    rare.append(table[new])
+                    rares += len(new)
+                    codes += at.astype(np.uint32)[code].data
                 else:
                     n = np.bincount(code[1:], minlength=len(table))
-                    parts.append([table[n > 0], n[n > 0]])
-                size += len(parts[-1][0])
-                if size > 2 * FLUSH or tokens > 8 * FLUSH:
-                    parts = [merged(parts)]
-                    size = len(parts[0][0])
-                    if size > FLUSH or tokens > 8 * FLUSH:
-                        yield flushed()
-                        parts, size, xs, tokens = [], 0, [], 0
-        if parts:
-            yield flushed()
+                    got = [table[n > 0], n[n > 0]]
+                cuts = [0, *np.searchsorted(got[0], edges), len(got[0])]
+                for own, a, b in zip(parts, cuts, cuts[1:]):
+                    own.append([c[a:b] for c in got])
+                size += len(got[0])
+                full = len(codes) // 4 > 8 * FLUSH
+                if size > 2 * FLUSH or full:
+                    if not full:
+                        for own in parts:
+                            own[:] = [merged(own)]
+                        size = sum(len(own[0][0]) for own in parts)
+                    if size > FLUSH or full:
+                        yield from flushed()
+                        parts, size, codes, rare, rares = nothing()
+        if parts[0]:
+            yield from flushed()
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts = None, []
@@ -352,9 +388,8 @@ def count(chunks: DataFrame, order: int, buckets: int, screens=None, often=None)
             yield from rows_of(parts)
 
     def rows_of(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        *keys, n = merged(parts)
-        ok = n >= (MIN_COUNT if order else 1)
-        keys, n = [k[ok].view(np.int64) for k in keys], n[ok]
+        *keys, n = summed_from(parts, MIN_COUNT if order else 1)
+        keys = [k.view(np.int64) for k in keys]
         for i in range(0, len(n), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in (*keys, n)], names=["key", *(("ctx", "sub") if order else ()), "n"])
 
