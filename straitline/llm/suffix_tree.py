@@ -52,8 +52,8 @@ RANGE_BITS = 4
 OFTEN, RARE, MORE = 1_000_000, (1 << 24) - 1, (1 << 16) - 1
 #: Buckets of counts that make one of values: fewer of these leave fewer partial sums of a text.
 WIDER = 4
-#: Keys of one message to a bucket, so a batch of messages is small, and the kinds of rows that meet there.
-MESSAGE = 1024
+#: Keys of one message to a bucket, so a batch of messages (10,000 of them) is small, and the kinds of rows that meet there.
+MESSAGE = 256
 WORDS, GRAMS, ASK_WORDS, ASK_GRAMS, OWN = range(5)
 #: Bits of a bit set for each key and at most, and bits of a segment of it.
 SCREEN_PER_KEY, SCREEN_BITS, SEGMENT = 16, 1 << 29, 1 << 16

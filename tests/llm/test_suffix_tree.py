@@ -263,3 +263,14 @@ def test_counts_of_a_task_that_merges_and_sends_often(monkeypatch, order, bucket
         key = x[1:] if not order else [(ok, key) for ok, key, _, _ in P.grams(x, order)][-1]
         want.update((key if not order else key[1][key[0]]).view(np.int64).tolist())
     assert got == {k: n for k, n in want.items() if n >= (P.MIN_COUNT if order else 1)}
+
+
+def test_a_batch_of_messages_is_small(make, spark, monkeypatch):
+    """As many messages as the engine puts in one batch; before, they reached its limit of 64 MB."""
+    monkeypatch.setattr(P, "OFTEN", 0)
+    docs = make([(0, " ".join(f"w{i}" for i in range(20_000)))])
+    chunks = P.written(docs.select(F.lit(0).alias("id"), F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("text")))
+    model, *_, buckets = P.fit(chunks)
+    asked = P.asked(chunks, spark.sparkContext.broadcast(model), buckets).where(F.col("kind") == P.ASK_WORDS)
+    size = asked.select(F.max(F.length("keys") + F.length("at"))).first()[0]
+    assert 10_000 * size < 1 << 25
