@@ -58,7 +58,8 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Collect the driver's garbage: the context cleaner then deletes the shuffle files of finished steps."""
+    """Collect the driver's garbage: the context cleaner then deletes the shuffle files of finished steps, and the heap, which
+    grows with the events of many tasks, shrinks to what is in use."""
     spark.sparkContext._jvm.System.gc()
 
 
@@ -81,6 +82,13 @@ class Remembered(dict):
         return v
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; the allocators would keep its pages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``run`` over batches of at most ROWS rows; what the task has freed goes back to the system at its end.
 
@@ -91,9 +99,7 @@ def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batch.slice(i, ROWS) for batch in batches for i in range(0, max(batch.num_rows, 1), ROWS))
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return task
 

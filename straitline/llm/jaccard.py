@@ -333,6 +333,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     sketch = sc.broadcast(ranks)
     described = materialize(rows.mapInArrow(bounded(_describe(sketch)), f"id {kind}, n long, class long, rare array<long>, vec binary"), "sets")
     sketch.unpersist()
+    release(spark)
 
     some = described.where("class is not null")
     keys = materialize(some.groupBy("class").agg(F.first("rare").alias("rare")).select("class", F.explode("rare").alias("key")), "keys")
@@ -348,6 +349,7 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     reps = some.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     wanted = materialize(reps.join(clusters.select(F.col("node").alias("class")), "class", "left_semi"), "reps")
+    release(spark)
     bits = 1 << 16
     while bits < min(BLOOM_PER_CLASS * wanted.count(), BLOOM_BITS):
         bits *= 2
@@ -391,6 +393,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     others = materialize(others.select(F.xxhash64("_id").alias("key")), "others")
     shared = docs.sparkSession.sparkContext.broadcast(Screen(others))
     discard(others)
+    release(docs.sparkSession)
     keep = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count(F.lit(1)).alias("_rows"))
     alias = {c: f"_doc_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[docs[c].alias(a) for c, a in alias.items()])

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, release
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 ROUNDS, STEPS = 60, 2  # at most 120 Newton steps, tested for convergence after each round
@@ -75,6 +75,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, tol: float) ->
             step = step.select(*now.columns)
         last, now = now, materialize(step, "mix-dual")
         discard(last)
+        release(cells.sparkSession)
         # a source whose every rate is at the cap can't be met better
         left = now.agg(F.max(F.when(F.col("_hi") - F.col("_lo") > 1e-12, F.col("_left")))).first()[0]
         if left is None or left <= tol:
@@ -123,6 +124,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     rated = rated.withColumns({"_room": (F.col("_whole") + 1 <= F.lit(cap)) & (F.col("size") > 0), "_large": F.col("size") > F.col("source_size") * F.lit(SMALL)})
     columns = ["_src", "_s", "_b", "_h", "_t", "doc_id", "size", "source_size", "target", "rate", "_whole", "_part", "_room", "_large"]
     rated = materialize(rated.select(*columns), "mix-rated")
+    release(docs.sparkSession)
 
     part = F.col("_part") * F.col("size")
     sums = rated.groupBy("_src").agg(F.sum(F.col("_whole") * F.col("size")).alias("_given"), F.sum(F.when(~F.col("_large"), part).otherwise(0.0)).alias("_slack"))
@@ -144,6 +146,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     out = large.select(*names).unionByName(small.select(*names)).unionByName(rest.select(*names))
     out = out.withColumn("copies", (F.col("_whole") + F.when(F.col("_extra"), 1).otherwise(0)).cast("int"))
     discard(sizes, targets, cells, duals)
+    release(docs.sparkSession)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate", "copies")
 
 

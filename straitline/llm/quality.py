@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, bounded, column, crc_mod, slices, words
+from .common import Remembered, bounded, column, crc_mod, give_back, slices, words
 
 WORD_SLOTS, RANK = 1 << 16, 8
 SAMPLE, EPOCHS, BATCH, STEP, DECAY = 6000, 4, 64, 0.1, 1e-5
@@ -189,7 +189,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     got = found.groupBy("id").agg(F.min(F.struct("idx", "val", "y")).alias("r")).select("id", "r.*").toArrow().to_pandas().sort_values("id", kind="stable")
     if not len(got):
         return train(np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0))
-    return train(np.concatenate(got.idx.tolist()).astype(np.int64), np.concatenate(got.val.tolist()).astype(np.float32), got.idx.map(len).to_numpy(), got.y.to_numpy(dtype=np.float64))
+    machine = train(np.concatenate(got.idx.tolist()).astype(np.int64), np.concatenate(got.val.tolist()).astype(np.float32), got.idx.map(len).to_numpy(), got.y.to_numpy(dtype=np.float64))
+    del got
+    give_back()  # the sample would stay with the driver's process
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text", keep: dict[str, Column], threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted"), meta: tuple[str, ...] = METADATA) -> DataFrame:
